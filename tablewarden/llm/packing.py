@@ -25,38 +25,34 @@ PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 l
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _encoders(path: str):
+    """The tokenizer file itself, and its vocabulary in the faster byte-pair coder."""
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    slow = Tokenizer.from_file(path)
+    letters = {c: b for b, c in byte_letters().items()}
+    special = {i for i, t in slow.get_added_tokens_decoder().items() if t.special}
+    ranks = {bytes(letters[c] for c in token): i for token, i in slow.get_vocab().items() if i not in special}
+    return slow, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class ChunkTokenizer:
-    """Byte-level BPE ids of whole texts, with a bounded memory of chunks.
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
-    A space after a character that is no white space always begins a new pre-token, so a
-    text falls apart there into chunks whose ids are independent of each other.
-    """
 
-    def __init__(self, path: str, most: int = 200_000):
-        self.tokenizer, self.known, self.most = _tokenizer(path), {}, most
+#: Texts with other letters, or with what may be a special token, go to the tokenizer file's own library.
+UNUSUAL = re.compile("[^\\x00-\u024f]|<\\|")
 
-    def chunks(self, text: str) -> list[str]:
-        if re.search(r"\s ", text):
-            return re.split(r"(?<=\S)(?= )", text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.chunks(x) for x in texts]
-        known = self.known
-        new = list({x for chunks in cut for x in chunks if x not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list({x for chunks in cut for x in chunks})
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[x] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([known[x] for x in chunks]), np.uint32) for chunks in cut]
+def encode(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Byte-level BPE ids of whole texts, as the tokenizer file gives them without special tokens added."""
+    slow, fast = _encoders(path)
+    return [np.array(slow.encode(x, add_special_tokens=False).ids if UNUSUAL.search(x) else fast.encode_ordinary(x), np.uint32) for x in texts]
 
 
 def piece_lengths(n: int, capacity: int) -> list[int]:
@@ -68,13 +64,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     """Pieces of every document with the CRC-32 of their ids (little-endian unsigned 32-bit); a null text is empty: its only id is end_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ChunkTokenizer(tokenizer)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             texts, ids, row = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             out = []
             for i in range(0, len(ids), 64):
-                for k, x in enumerate(model.encode([t or "" for t in texts.slice(i, 64).to_pylist()]), i):
+                for k, x in enumerate(encode(tokenizer, [t or "" for t in texts.slice(i, 64).to_pylist()]), i):
                     x = np.concatenate([x, end])
                     at = 0
                     for p, n in enumerate(piece_lengths(len(x), capacity)):
