@@ -66,6 +66,14 @@ def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes of text (one text may be longer), so that a worker's memory is bounded."""
+    for b in batches:
+        _, offsets = utf8(b.column("text"))
+        for i, j in slices(offsets, most):
+            yield b.slice(i, j - i)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix64's finaliser)."""
     x = (x ^ (x >> U64(30))) * MIX[0]

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, prefix_hash, range_hash, slices, stored, tasks, utf8
+from .common import U64, mix, prefix_hash, range_hash, slices, small_batches, stored, tasks, utf8
 
 PLACE_BITS = 28  # positions inside a slice of texts; a single text has to be shorter than 256 MB
-SLICE = 1 << 20
+SLICE = 1 << 19
 RESULT = "doc_id long, whole boolean, key long"
 
 
@@ -175,7 +175,7 @@ def _settle(rows: pd.DataFrame, find_open: bool) -> pd.DataFrame:
 def _results(docs: DataFrame, mapper, find_open: bool) -> DataFrame:
     """Deal the mapper's payload to buckets and settle each."""
     dealt = docs.mapInArrow(mapper, PAYLOAD).repartition(tasks(docs.sparkSession), "bucket")
-    return stored(dealt.groupBy("bucket").applyInPandas(lambda rows: _settle(rows, find_open), RESULT).distinct())
+    return stored(dealt.groupBy("bucket").applyInPandas(lambda rows: _settle(rows, find_open), RESULT))
 
 
 def _record_batch(rows: list[dict]) -> pa.RecordBatch:
@@ -211,7 +211,7 @@ def repeated(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
     buckets = max(tasks(docs.sparkSession), 8)
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(batches):
+        for turn, b in enumerate(small_batches(batches)):
             ids, found = b.column("doc_id").to_numpy(zero_copy_only=False), []
             for rows, r in _batch_runs(b, length):
                 found.append((r["key"], ids[rows[r["row"]]] if len(r["row"]) else np.zeros(0, np.int64), r["anchor"]))
@@ -222,7 +222,7 @@ def repeated(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
                     yield _record_batch(out)
 
     def deal_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(batches):
+        for turn, b in enumerate(small_batches(batches)):
             ids, found = b.column("doc_id").to_numpy(zero_copy_only=False), []
             set_key, set_row = _lists(b.column("open_runs"))
             for rows, r in _batch_runs(b, length):
@@ -262,7 +262,7 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFra
     schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, *extra])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             data, offsets = utf8(b.column("text").cast(pa.string()))
             sets = [_lists(b.column(f"_set{i}")) for i in range(3)]
             removed, spans, digests, kept_texts = [], [], [], []
