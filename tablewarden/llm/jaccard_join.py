@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, binary, mix, shingles, slices, small_batches, stored, tasks, utf8
-from .components import components
+from .components import merged
 
 #: The share of the hash space whose shingles every document emits, so that their frequency is known; more than 1 - t.
 KNOWN = 0.36
-PIVOTS = (1, 4, 16, 32)
+PIVOTS = (1, 16, 32)
+LEAF = 64
 SALTS = [int(x) for x in mix(np.arange(1, 33, dtype=np.uint64)).view(np.int64)]
 TALLY = "kind int, doc_id long, cls long, token long, n long, known long, rare boolean"
 SLICE = 1 << 19
@@ -138,45 +139,52 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of all classes in regions: the components of exact links."""
+    """(node, label) of all classes in regions: the components of exact links.
+
+    Every region begins with one pivot. Of those that then still hold several components, a
+    region of at most LEAF sets is joined at once, between its components; a larger one goes
+    on with more pivots.
+    """
     radius = 1 - percent / 100 + 1e-9
-    regions = stored(regions)
-    nodes = stored(regions.select(F.col("cls").alias("node")).distinct())
-    labels, links, known, turn = nodes.select("node", F.col("node").alias("label")), None, None, 0
-    while not regions.isEmpty():
+    labels = stored(regions.select(F.col("cls").alias("node")).distinct().withColumn("label", F.col("node")))
+    state, known, turn = stored(_open(regions, labels)), None, 0
+    while not state.isEmpty():
         salts = SALTS[: PIVOTS[min(turn, len(PIVOTS) - 1)]]
-        turn += 1
-        tagged = regions.join(labels, regions["cls"] == labels["node"]).drop("node")
-        main = _main(tagged)
-        drawn = (tagged.join(main, "token").where("label <> main").groupBy("token")
+        large = state if turn == 0 else state.where(f"members > {LEAF}")
+        drawn = stored(large.where("label <> main").groupBy("token")
             .agg(*(F.min_by(F.struct("cls", "n"), F.expr(f"cls ^ {s}L")).alias(f"p{i}") for i, s in enumerate(salts)))
             .select("token", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(len(salts)))))).alias("p"))
             .select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n")))
-        drawn = stored(drawn)
-        near = regions.join(drawn, "token").where("cls <> pivot")
-        pairs = near.select("cls", "n", "pivot", "pivot_n").distinct()
+        pairs = large.join(drawn, "token").where("cls <> pivot").select("cls", "n", "pivot", "pivot_n")
+        if turn > 0:
+            leaf = state.where(f"members <= {LEAF}")
+            other = leaf.select("token", F.col("cls").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
+            near = f"label <> pivot_label and cls < pivot and 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
+            pairs = pairs.unionByName(leaf.join(other, "token").where(near).select("cls", "n", "pivot", "pivot_n"))
+        pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known.select("cls", "pivot"), ["cls", "pivot"], "left_anti")
         new = stored(measured(pairs, sets, percent))
         known = new if known is None else known.unionByName(new)
-        found = new.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        labels = components(nodes, links)
-        # what is left of each region: no pivots, no region of one component, and of its main component only the boundary
-        left = regions.join(drawn.select("token", F.col("pivot").alias("cls")), ["token", "cls"], "left_anti")
-        left = left.join(labels, left["cls"] == labels["node"]).drop("node")
-        left = stored(left.join(_main(left), "token"))
-        measured_left = left.join(drawn.select("token", "pivot"), "token").join(known, ["cls", "pivot"])
-        others = measured_left.where("label <> main").groupBy("token", "pivot").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
-        settled = measured_left.where("label = main").join(others, ["token", "pivot"]).where(f"hi < least - {radius} or lo > most + {radius}").select("token", "cls").distinct()
-        regions = stored(left.join(settled, ["token", "cls"], "left_anti").select("token", "cls", "n"))
+        labels = merged(labels, new.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+        # what is left of a region: no pivots, nothing of a region of one component, and of its main component only the boundary
+        left = _open(large.join(drawn.select("token", F.col("pivot").alias("cls")), ["token", "cls"], "left_anti").select("token", "cls", "n"), labels)
+        if turn > 0:
+            left = stored(left)
+            seen = left.join(drawn.select("token", "pivot"), "token").join(known, ["cls", "pivot"])
+            others = seen.where("label <> main").groupBy("token", "pivot").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+            settled = seen.where("label = main").join(others, ["token", "pivot"]).where(f"hi < least - {radius} or lo > most + {radius}").select("token", "cls").distinct()
+            left = left.join(settled, ["token", "cls"], "left_anti")
+        state, turn = stored(left), turn + 1
     return labels
 
 
-def _main(tagged: DataFrame) -> DataFrame:
-    """(token, main): the largest component of every region that has several."""
-    counts = tagged.groupBy("token", "label").agg(F.count("*").alias("members"))
-    return counts.groupBy("token").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("several")).where("several > 1").drop("several")
+def _open(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """The regions (token, cls, n) that hold several components, with each row's label and the region's main label and number of members."""
+    tagged = regions.join(labels, regions["cls"] == labels["node"]).drop("node")
+    counts = tagged.groupBy("token", "label").agg(F.count("*").alias("own"))
+    main = counts.groupBy("token").agg(F.max_by("label", F.struct("own", "label")).alias("main"), F.sum("own").alias("members"), F.count("*").alias("several")).where("several > 1").drop("several")
+    return tagged.join(main, "token")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
