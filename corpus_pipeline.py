@@ -1,19 +1,44 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Toxic documents go, one document of each group of near duplicates stays, passages that an
+earlier document holds are cut out, and what is left is packed into token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewarden.llm import packing, queries
+from tablewarden.llm import jaccard_join, packing, queries, suffix_dedup, toxicity
 from tablewarden.llm.common import stored
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels outside the held-out quarter, does not reject."""
+    model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group linked by shingle similarity the document with the smallest doc_id."""
+    groups = jaccard_join.near_duplicates(docs)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that a document with a smaller doc_id holds; n_chars follows."""
+    cut = suffix_dedup.dedup(docs, keep_text=True)
+    return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into token sequences; one row per piece."""
+    """What is left in token sequences; one row per piece."""
     return packing.pack(docs, queries.token_file("byte_bpe_50k.json"))
 
 
-STAGES = [("best_fit_packing", pack_stage)]
+STAGES = [("toxicity", toxicity_stage), ("ngram_jaccard_join", near_duplicate_stage), ("suffix_array_dedup", repeated_passage_stage), ("best_fit_packing", pack_stage)]
+#: The classifier's decisions and the packing are not to be had in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

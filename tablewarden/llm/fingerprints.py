@@ -22,7 +22,7 @@ from .common import tasks
 WIDTH = 8  # cells of a table
 CELLS = 3 * WIDTH
 ROUNDS = 12  # of peeling; no sketch of CELLS cells that peels at all needs more
-GROWTH = (1, 2, 4, 16)  # times the first larger size
+LOAD = 9  # digests to a sketch at the first larger size
 PARAGRAPH = r"[^\n.!?]{1,200}[.!?]*(?:[^\n.!?]{1,200}[.!?]*)?\n*|[.!?\n]+"
 
 
@@ -96,36 +96,51 @@ def peel(cells: Column) -> Column:
     return let(done, lambda s: F.struct((~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["proof"] != 0))).alias("ok"), s["found"].alias("found")))
 
 
-def difference(a: Column, b: Column, parts: Column) -> Column:
-    """peel() over as many sketches as parts (a power of two) says, the digests dealt by their low bits."""
-    mask = parts.cast("long") - 1
-    deal = lambda keys, m: F.transform(F.sequence(F.lit(0).cast("long"), m), lambda g: F.filter(keys, lambda k: k.bitwiseAND(m) == g))
-    each = let(mask, lambda m: F.transform(F.arrays_zip(deal(a, m).alias("x"), deal(b, m).alias("y")), lambda g: peel(subtract(sketch(placed(g["x"])), sketch(placed(g["y"]))))))
-    return let(each, lambda all_: F.struct(F.forall(all_, lambda p: p["ok"]).alias("ok"), F.flatten(F.transform(all_, lambda p: p["found"])).alias("found")))
+def recovered(x: Column, y: Column, at: int, retries: int) -> Column:
+    """How many digests differ between two small placed sets; a sketch that does not peel is retried as four, by the next two bits. Null: not even the last size peeled."""
+
+    def again(found: Column) -> Column:
+        if not retries:
+            return F.when(found["ok"], F.size(found["found"]))
+        part = lambda keys, g: F.filter(keys, lambda k: F.shiftrightunsigned(k["key"], at).bitwiseAND(F.lit(3)) == g)
+        four = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda g: recovered(part(x, g), part(y, g), at + 2, retries - 1))
+        return F.when(found["ok"], F.size(found["found"])).otherwise(F.aggregate(four, F.lit(0), lambda t, n: t + n))
+
+    return let(peel(subtract(sketch(x), sketch(y))), again)
 
 
 def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """df with `name`: 1 - (digests that differ) / (digests of both), by digest columns a and b; two empty documents: 1.
+    """df with `name`: 1 - (digests that differ) / (digests of both), by columns a and b of placed digests; two empty documents: 1.
 
-    Sizes are tried one after the other. Should the largest not peel either (digests that
-    collide in all cells), the digest sets themselves are compared.
+    The fingerprints are subtracted and peeled first. If that fails, the digests are dealt
+    by their bits to so many sketches that about LOAD come to each, and a sketch that still
+    fails is retried larger. Should the last size fail too, the digest sets are compared.
     """
     both = F.size(a) + F.size(b)
-    first = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2.0), both / 14)))).cast("long")
-    sizes = [F.lit(1).cast("long"), *(first * g for g in GROWTH)]
-    for i, parts in enumerate(sizes):
-        tried = difference(F.col(a), F.col(b), parts)
-        count = let(tried, lambda t: F.when(t["ok"], F.size(t["found"])))
-        df = df.withColumn(f"_d{i}", count if i == 0 else F.when(F.col(f"_d{i - 1}").isNotNull(), F.col(f"_d{i - 1}")).otherwise(count))
+    small = F.when(F.abs(F.size(a) - F.size(b)) > CELLS, None).otherwise(let(peel(subtract(sketch(F.col(a)), sketch(F.col(b)))), lambda p: F.when(p["ok"], F.size(p["found"]))))
+    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.lit(2.0), both / LOAD)))).cast("int")
+
+    def dealt(b_: Column) -> Column:
+        first = F.floor(b_ / 2).cast("int")
+        mask = lambda n: F.element_at(F.array(*(F.lit((1 << i) - 1).cast("long") for i in range(32))), n + 1)
+        low = lambda keys, m: lambda g: F.filter(keys, lambda k: k["key"].bitwiseAND(m) == g)
+        high = lambda keys, m, over: lambda g: F.filter(keys, lambda k: F.floor(k["key"].bitwiseAND(F.lit((1 << 32) - 1)) / over).cast("long").bitwiseAND(m) == g)
+        zero = F.lit(0).cast("long")
+        rough = let(mask(first), lambda m: F.transform(F.sequence(zero, m), lambda g: F.struct(low(F.col(a), m)(g).alias("x"), low(F.col(b), m)(g).alias("y"))))
+        fine = let(mask(b_ - first), lambda m: let(mask(first) + 1, lambda over: F.flatten(F.transform(rough, lambda p: F.transform(F.sequence(zero, m), lambda g: F.struct(high(p["x"], m, over)(g).alias("x"), high(p["y"], m, over)(g).alias("y")))))))
+        return F.aggregate(F.transform(fine, lambda p: recovered(p["x"], p["y"], 44, 2)), F.lit(0), lambda t, n: t + n)
+
+    df = df.withColumn("_small", small)
+    df = df.withColumn("_count", F.when(F.col("_small").isNotNull(), F.col("_small")).otherwise(let(bits, dealt)))
     plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    last = F.coalesce(f"_d{len(sizes) - 1}", plain)
-    return df.withColumn(name, F.when(both == 0, 1.0).otherwise(1 - last / both)).drop(*(f"_d{i}" for i in range(len(sizes))))
+    last = F.when(F.col("_count").isNotNull(), F.col("_count")).otherwise(plain)
+    return df.withColumn(name, F.when(both == 0, 1.0).otherwise(1 - last / both)).drop("_small", "_count")
 
 
 def fingerprint(keys: Column) -> Column:
-    """The smallest sketch as a string: count, digest and check of every cell in hexadecimal."""
+    """The sketch of placed digests as a string: count, digest and check of every cell in hexadecimal."""
     text = lambda c: F.concat(F.hex(c["n"].cast("long")), F.lit(":"), F.hex(c["key"]), F.lit(":"), F.hex(c["proof"]))
-    return F.array_join(F.transform(sketch(placed(keys)), text), " ")
+    return F.array_join(F.transform(sketch(keys), text), " ")
 
 
 def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
@@ -170,5 +185,6 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     pairs = with_next(rows, "doc_id", ["text", "keys"])
     versions = pairs.withColumn("edited_text", edited(F.col("text"), F.col("next_text"))).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "keys", "next_keys", digests(F.col("edited_text")).alias("edited_keys"))
+    versions = versions.withColumns({c: placed(F.col(c)) for c in ("keys", "edited_keys", "next_keys")})
     scored = likeness(likeness(versions, "keys", "edited_keys", "near_edited"), "keys", "next_keys", "near_next")
     return scored.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys")).alias("fingerprint"), fingerprint(F.col("edited_keys")).alias("edited_fingerprint"), "near_edited", "near_next")
