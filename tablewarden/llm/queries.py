@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, nn_descent, packing, piece_coder, recurrent_lm, suffix_dedup, toxicity, warc
+from . import compact_windows, fingerprints, jaccard_join, nn_descent, packing, piece_coder, recurrent_lm, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_versions(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_approximate_nearest_neighbours": op3_approximate_nearest_neighbours,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_lm_scoring": op5_lm_scoring,
