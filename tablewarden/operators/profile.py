@@ -52,7 +52,7 @@ def summary(df: DataFrame) -> DataFrame:
     """One row: rows, columns, duplicate_rows, null_cell_pct, pii_columns (by name)."""
     nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
     cells = df.agg(F.count("*").alias("rows"), nulls.alias("nulls"))
-    repeated = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicate_rows"))
+    repeated = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias("_times")).select("_times").agg(F.coalesce(F.sum(F.col("_times") - 1), F.lit(0)).alias("duplicate_rows"))
     width = len(df.columns)
     names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string").agg(F.count_if(pii_name(F.col("column"))).alias("pii_columns"))
     pct = F.when(F.col("rows") == 0, 0.0).otherwise(F.bround(100.0 * F.col("nulls") / (F.col("rows") * width), 2))

@@ -106,8 +106,8 @@ def predicate(rule: Rule, kinds: dict[str, str]) -> tuple[Column, Column]:
 
 def repeats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(n, bad): rows, and rows beyond the first of each value; nulls equal each other."""
-    counts = df.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count("*").alias("k"))
-    return counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("bad"))
+    counts = df.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count("*").alias("_times")).select("_times")
+    return counts.agg(F.coalesce(F.sum("_times"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("_times") - 1), F.lit(0)).alias("bad"))
 
 
 def _grouped(rule: Rule, df: DataFrame) -> DataFrame | None:
