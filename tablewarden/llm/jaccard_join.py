@@ -141,26 +141,27 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_classes(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all classes in regions: the components of exact links.
 
-    Every region begins with one pivot. Of those that then still hold several components, a
-    region of at most LEAF sets is joined at once, between its components; a larger one goes
-    on with more pivots.
+    Every region begins with one pivot. Where then at most LEAF sets are not of the region's
+    main component, these are measured at once against the sets of other components; a
+    region with more of them goes on with more pivots.
     """
     radius = 1 - percent / 100 + 1e-9
     labels = stored(regions.select(F.col("cls").alias("node")).distinct().withColumn("label", F.col("node")))
     state, known, turn = stored(_open(regions, labels)), None, 0
     while not state.isEmpty():
         salts = SALTS[: PIVOTS[min(turn, len(PIVOTS) - 1)]]
-        large = state if turn == 0 else state.where(f"members > {LEAF}")
+        large = state if turn == 0 else state.where(f"loose > {LEAF}")
         drawn = stored(large.where("label <> main").groupBy("token")
             .agg(*(F.min_by(F.struct("cls", "n"), F.expr(f"cls ^ {s}L")).alias(f"p{i}") for i, s in enumerate(salts)))
             .select("token", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(len(salts)))))).alias("p"))
             .select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n")))
         pairs = large.join(drawn, "token").where("cls <> pivot").select("cls", "n", "pivot", "pivot_n")
         if turn > 0:
-            leaf = state.where(f"members <= {LEAF}")
-            other = leaf.select("token", F.col("cls").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-            near = f"label <> pivot_label and cls < pivot and 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-            pairs = pairs.unionByName(leaf.join(other, "token").where(near).select("cls", "n", "pivot", "pivot_n"))
+            leaf = state.where(f"loose <= {LEAF}")
+            other = leaf.select("token", F.col("cls").alias("o"), F.col("n").alias("o_n"), F.col("label").alias("o_label"))
+            near = f"label <> o_label and 100 * least(n, o_n) >= {percent} * greatest(n, o_n)"
+            met = leaf.where("label <> main").join(other, "token").where(near)
+            pairs = pairs.unionByName(met.selectExpr("least(cls, o) as cls", "if(cls < o, n, o_n) as n", "greatest(cls, o) as pivot", "if(cls < o, o_n, n) as pivot_n"))
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known.select("cls", "pivot"), ["cls", "pivot"], "left_anti")
@@ -180,10 +181,10 @@ def link_classes(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _open(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """The regions (token, cls, n) that hold several components, with each row's label and the region's main label and number of members."""
+    """The regions (token, cls, n) that hold several components, with each row's label, the region's main label and how many are not of it."""
     tagged = regions.join(labels, regions["cls"] == labels["node"]).drop("node")
     counts = tagged.groupBy("token", "label").agg(F.count("*").alias("own"))
-    main = counts.groupBy("token").agg(F.max_by("label", F.struct("own", "label")).alias("main"), F.sum("own").alias("members"), F.count("*").alias("several")).where("several > 1").drop("several")
+    main = counts.groupBy("token").agg(F.max_by("label", F.struct("own", "label")).alias("main"), (F.sum("own") - F.max("own")).alias("loose")).where("loose > 0")
     return tagged.join(main, "token")
 
 
