@@ -156,8 +156,9 @@ def distance(a: str, b: str) -> Column:
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(query_id, node, score): the pool of every query (query_id, v, and own: its own node or null) after a greedy walk."""
-    entries = nodes.select("node").orderBy(F.xxhash64("node")).limit(s.entries)
-    start = queries.select("query_id").crossJoin(F.broadcast(entries)).unionByName(queries.where("own is not null").select("query_id", F.col("own").alias("node")))
+    entries = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64("node")).limit(s.entries).collect()]
+    everywhere = F.explode(F.array(*map(F.lit, entries)).cast("array<bigint>"))
+    start = queries.select("query_id", everywhere.alias("node")).unionByName(queries.where("own is not null").select("query_id", F.col("own").alias("node")))
     vectors = nodes.select("node", F.col("v").alias("nv"))
 
     def scored(pairs: DataFrame) -> DataFrame:
