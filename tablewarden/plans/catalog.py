@@ -166,7 +166,7 @@ def summarized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.summary(load(spark, sf_dir, "customer_d"))
 
 
-@query("f3_suggestions", "select * from (values ('unique', 'c_custkey'), ('not_null', 'name'), ('protect', 'name'), ('unique', 'email'), ('protect', 'email'), ('protect', 'full_name')) v(suggestion, \"column\")")
+@query("f3_suggestions", CTE + " select 'unique' as suggestion, 'full_name' as \"column\" from customer_d having count(distinct full_name) = count(*) union all select * from (values ('unique', 'c_custkey'), ('not_null', 'name'), ('protect', 'name'), ('unique', 'email'), ('protect', 'email'), ('protect', 'full_name')) v(suggestion, \"column\")")
 def suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "customer_d").drop("balance", "balance_text")
     p = profile.profile_table(df, "c_custkey")
