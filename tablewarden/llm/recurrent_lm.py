@@ -7,10 +7,10 @@ for head classes, smoothed corpus counts inside a tail class. The state is a gat
 recurrent unit's, trained by truncated backpropagation and carried from window to window,
 so that a document's score is the sum over all of its tokens.
 
-Every count comes from all training documents by Spark aggregation. The weights are
-learned data-parallel on a fixed share of them (`train_parts` out of 256 by a hash of the
-text, whatever the size of the corpus): every task runs over its own documents, and the
-tasks' weights are averaged after each round.
+Every count comes from all training documents by Spark aggregation. The weights too are
+learned from all of them, data-parallel and in one pass: every round takes its own share
+(by a hash of doc_id and text, so that copies of a text are spread over the rounds), every
+task runs over its own documents, and the tasks' weights are averaged after each round.
 """
 
 from collections.abc import Iterator
@@ -39,7 +39,7 @@ class Settings:
     score_lanes: int = 256
     frequent: int = 65_536  # words whose counts go with every task; the others' are joined
     rounds: int = 2
-    train_parts: int = 16  # of 256
+    train_parts: int = 256  # of 256: all training documents
     rate: float = 0.01
     smoothing: float = 0.1
 
@@ -296,9 +296,9 @@ def lexicon_of(counts: DataFrame, ends: int, s: Settings) -> Lexicon:
 
 
 def learn(training: DataFrame, lexicon: Lexicon) -> Network:
-    """Average of the tasks' networks, round by round; each round takes its own share of the chosen documents."""
+    """Average of the tasks' networks over training (doc_id, text), round by round; each round takes its own share of the documents."""
     spark, s, network = training.sparkSession, lexicon.settings, Network(lexicon)
-    part = F.pmod(F.xxhash64("text"), F.lit(256))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(256))
     shapes = {k: (x.shape, x.size) for k, x in network.w.items()}
     for turn in range(s.rounds):
         shared = spark.sparkContext.broadcast((lexicon, network.w))
@@ -345,8 +345,8 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """
     spark, s = docs.sparkSession, settings
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    training = rows.where(~is_held_out()).select("text")
-    counts = stored(word_counts(training))
+    training = rows.where(~is_held_out())
+    counts = stored(word_counts(training.select("text")))
     lexicon = lexicon_of(counts, training.count(), s)
     network = learn(training, lexicon)
     shared = spark.sparkContext.broadcast((lexicon, network.w))

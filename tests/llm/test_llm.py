@@ -201,6 +201,16 @@ def test_recurrent_lm(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_recurrent_lm_learns_from_every_training_document(spark):
+    small = {"head": 64, "members": 16, "tails": 8}
+    for seed in (31, 32, 33):
+        table = spark.createDataFrame([(seed, prose(80, seed))], "doc_id long, text string")
+        s = recurrent_lm.Settings(**small)
+        lexicon = recurrent_lm.lexicon_of(recurrent_lm.word_counts(table.select("text")), 1, s)
+        learned, fresh = recurrent_lm.learn(table, lexicon).w, recurrent_lm.Network(lexicon).w
+        assert any((learned[k] != fresh[k]).any() for k in fresh)
+
+
 def test_recurrent_lm_is_a_distribution_and_learns_by_true_gradients():
     s = recurrent_lm.Settings(head=6, members=4, tails=2, hidden=5, lanes=3, window=7)
     lex = recurrent_lm.Lexicon([(f"w{i}".encode(), 9 - i) for i in range(6)], 5, 60, 12, {0: (3, 2), 1: (4, 3), 2: (48, 7)}, s)
