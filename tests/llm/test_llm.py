@@ -265,6 +265,18 @@ def test_near_passages(spark, docs):
     assert ((hit.start_word < 200) & (hit.end_word > 190)).any()
 
 
+def test_near_passages_where_the_smaller_document_holds_it_twice(spark):
+    rows = []
+    for k in range(5):
+        passage = prose(60, 700 + k)
+        rows += [(10 * k, " ".join([prose(40, 710 + k), passage, prose(35 + k, 720 + k), passage, prose(40, 730 + k)])), (10 * k + 1, " ".join([prose(50, 740 + k), passage, prose(50, 750 + k)]))]
+    out = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    for k in range(5):
+        own = out[(out.doc_id == 10 * k + 1) & (out.other_doc_id == 10 * k)]
+        for start in (40, 135 + k):  # both places in the smaller document, all but the outermost words
+            assert ((own.start_word < 65) & (own.end_word > 95) & (own.other_start < start + 15) & (own.other_start > start - 40) & (own.other_end > start + 45)).any(), (k, start)
+
+
 def test_wide_nodes():
     for _ in range(200):
         n, least = int(RNG.integers(1, 80)), int(RNG.integers(1, 12))
