@@ -277,6 +277,18 @@ def test_near_passages_where_the_smaller_document_holds_it_twice(spark):
             assert ((own.start_word < 65) & (own.end_word > 95) & (own.other_start < start + 15) & (own.other_start > start - 40) & (own.other_end > start + 45)).any(), (k, start)
 
 
+def test_near_passages_whose_only_partner_is_among_other_variants(spark):
+    rows = []
+    for k in range(9):
+        base = prose(80, 800 + k).split()
+        variants = [" ".join(f"own{k}x{v}" if i in (12 + 4 * v, 46 + 4 * v) else w for i, w in enumerate(base)) for v in range(7)]
+        for i, v in enumerate([0, 1, 2, 3, 4, 5, 1]):
+            rows.append((20 * k + i, " ".join([prose(60, 900 + 20 * k + 2 * i), variants[v], prose(60, 901 + 20 * k + 2 * i)])))
+    out = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    pairs = set(zip(out.doc_id, out.other_doc_id))
+    assert {(20 * k + 6, 20 * k + 1) for k in range(9)} <= pairs
+
+
 def test_wide_nodes():
     for _ in range(200):
         n, least = int(RNG.integers(1, 80)), int(RNG.integers(1, 12))
