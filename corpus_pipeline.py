@@ -20,10 +20,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by shingle similarity the document with the smallest doc_id."""
-    groups = jaccard_join.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of every group linked by shingle similarity the row with the smallest doc_id (null last). Rows without shingles stay; repeats of one doc_id among them count once."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "_row")
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # rows are linked under ids of their own, as doc_id can be null or stand for different texts
+    groups = jaccard_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    kind = F.when(F.col("n_shingles") > 0, 0).when(F.col("doc_id").isNotNull(), 1).otherwise(2).alias("kind")
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull())).otherwise(F.col("_row")).alias("group")
+    kept = rows.join(groups, "_row").groupBy(kind, group).agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

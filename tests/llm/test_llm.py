@@ -357,3 +357,14 @@ def test_pipeline(spark, tmp_path):
     assert clean <= left["toxicity"] and len(left["toxicity"]) < len(rows)
     assert not {501, 502} & left["ngram_jaccard_join"] and {1, 2, 3, 600} <= left["ngram_jaccard_join"]
     assert left["best_fit_packing"] == left["suffix_array_dedup"] == left["ngram_jaccard_join"]
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_doc_ids(spark):
+    import corpus_pipeline
+
+    texts = [prose(60, 1200 + k) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4]), (9, texts[5]), (None, texts[5]), (10, None), (10, None), (11, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5]), (10, None), (11, ""), (None, None)]
+    assert left == sorted((str(i), str(x)) for i, x in want)
