@@ -83,7 +83,7 @@ def tenant_dictionary(t: dict[str, DataFrame]) -> DataFrame:
 
 def numbered_terms(rows: DataFrame, prefix: str, model: str, name: str, text: str) -> DataFrame:
     """Glossary rows M001... (or T001...) in each model by name."""
-    return rows.selectExpr("*", f"row_number() over (partition by {model} order by {name}) as k").select(F.concat(F.lit(prefix), F.lpad(F.col("k").cast("string"), 3, "0")).alias("term_id"), F.col(model).alias("dataset"), F.col(name).alias("term"), F.col(text).alias("definition"))
+    return rows.selectExpr("*", f"row_number() over (partition by {model} order by {name}) as k").select(F.concat(F.lit(prefix), F.format_string("%03d", "k")).alias("term_id"), F.col(model).alias("dataset"), F.col(name).alias("term"), F.col(text).alias("definition"))
 
 
 def tenant_lineage(t: dict[str, DataFrame]) -> DataFrame:

@@ -104,7 +104,7 @@ def dedup_report(members: DataFrame, report: DataFrame) -> DataFrame:
     """cluster_id (DUP-001 by falling confidence), rows, confidence in %, matched_on as text, row_indices."""
     ids = members.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("row_indices"))
     numbered = report.selectExpr("*", "row_number() over (order by confidence desc, component) as k")
-    return numbered.join(ids, "component").orderBy("k").select(F.concat(F.lit("DUP-"), F.lpad(F.col("k").cast("string"), 3, "0")).alias("cluster_id"), "rows", F.bround(F.col("confidence") * 100, 1).alias("confidence"), F.array_join("matched_on", ", ").alias("matched_on"), "row_indices")
+    return numbered.join(ids, "component").orderBy("k").select(F.format_string("DUP-%03d", "k").alias("cluster_id"), "rows", F.bround(F.col("confidence") * 100, 1).alias("confidence"), F.array_join("matched_on", ", ").alias("matched_on"), "row_indices")
 
 
 def golden_records(df: DataFrame, key: str, members: DataFrame) -> DataFrame:

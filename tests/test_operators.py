@@ -4,6 +4,7 @@ import pytest
 
 from tablewarden.functions import names
 from tablewarden.operators import bi_models, lineage, mdm, profile, rules
+from tablewarden.plans import catalog
 from tablewarden.sources import files
 
 
@@ -87,3 +88,14 @@ def test_files_and_stages(spark, tmp_path):
         files.save_stage(spark, root, "c", "s2", {"none": spark.range(0).toDF("id")})
     bad = files.scan_sources(spark, {"a": {"name": "A", "engine": "pg", "tables": lambda: 1 / 0}, "b": {"name": "B", "engine": "pg", "tables": list}, "c": {"name": "C", "engine": "pg", "tables": lambda: ["t1", "t2"]}})
     assert bad.count() == 4 and bad.where("error is not null").count() == 1
+
+
+def test_numbers_beyond_999_stay_apart(spark, monkeypatch):
+    members = spark.range(2400).selectExpr("id as node", "id div 2 as component")
+    found = members.groupBy("component").count().selectExpr("component", "count as rows", "1.0D as confidence", "array('a') as matched_on")
+    monkeypatch.setattr(catalog, "_people", lambda spark, sf_dir: (None, members, found))
+    got = {r["cluster_id"]: r["row_indices"] for r in catalog.report(spark, "").collect()}
+    assert got == {f"DUP-{k + 1:03d}": f"{2 * k},{2 * k + 1}" for k in range(1200)}
+    terms = spark.range(1200).selectExpr("'m' as model", "format_string('%05d', id) as measure", "'x' as expression")
+    ids = {r["term"]: r["term_id"] for r in bi_models.numbered_terms(terms, "M", "model", "measure", "expression").collect()}
+    assert ids == {f"{k:05d}": f"M{k + 1:03d}" for k in range(1200)}
