@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
 Equal vectors are one node. The graph starts from random-projection leaves and improves by
-local joins: around every node its neighbours (both ways) are compared with each other, on
-8-bit codes, and each keeps the nearest it has met. A query walks the graph: of its pool
+local joins: around every node its neighbours (both ways) are compared with each other, in
+float32, and each keeps the nearest it has met. A query walks the graph: of its pool
 the nearest nodes not yet expanded give their neighbours, until the pool is all expanded.
 Final distances are exact, on the original vectors in double precision.
 """
@@ -32,7 +32,7 @@ class Settings:
     most_steps: int = 40
 
 
-EDGES = "node long, other long, d float"
+EDGES = "node long, other long, d double"
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -70,14 +70,14 @@ def _squares(x: np.ndarray) -> np.ndarray:
 
 
 def coded(nodes: DataFrame) -> DataFrame:
-    """(node, code): every component in 8 bits, over the table's largest component."""
-    top = nodes.select(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 1.0
+    """(node, code): the components as float32, whatever their range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.finfo(np.float32).max
         for b in batches:
             if b.num_rows:
                 x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                code = np.rint(x / top * 127).astype(np.int8)
+                code = np.clip(x, -top, top).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in code], pa.binary())], ["node", "code"])
 
     return stored(nodes.mapInArrow(run, "node long, code binary"))
@@ -89,7 +89,7 @@ def first_graph(codes: DataFrame, count: int, s: Settings) -> DataFrame:
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("code").to_pylist(), np.int8).astype(np.float32)
+            x = _matrix(b.column("code").to_pylist(), np.float32).astype(np.float64)
             for t in range(s.trees):
                 plane = np.random.default_rng(t).standard_normal((x.shape[1], bits)).astype(np.float32)
                 leaf = ((x @ plane > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
@@ -100,7 +100,7 @@ def first_graph(codes: DataFrame, count: int, s: Settings) -> DataFrame:
     dealt = rows.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
 
     def nearest(group: pd.DataFrame) -> pd.DataFrame:
-        d = _squares(_matrix(group["code"], np.int8).astype(np.float32))
+        d = _squares(_matrix(group["code"], np.float32).astype(np.float64))
         np.fill_diagonal(d, np.inf)
         k = min(s.neighbours, len(d) - 1)
         at = np.argpartition(d, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(d), 0), np.int64)
@@ -123,7 +123,7 @@ def improve(edges: DataFrame, codes: DataFrame, s: Settings) -> DataFrame:
             lists = b.column("near")
             flat, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
             ids, fresh, worst = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("other", "fresh", "worst"))
-            x = _matrix(flat.field("code").to_pylist(), np.int8).astype(np.float32)
+            x = _matrix(flat.field("code").to_pylist(), np.float32).astype(np.float64)
             found = []
             for a, z in zip(cut[:-1], cut[1:]):
                 d = _squares(x[a:z])
@@ -132,7 +132,7 @@ def improve(edges: DataFrame, codes: DataFrame, s: Settings) -> DataFrame:
                 i, j = np.nonzero(better)
                 found.append((ids[a:z][i], ids[a:z][j], d[i, j]))
             cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.float32))], ["node", "other", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.float64))], ["node", "other", "d"])
 
     met = around.mapInArrow(compare, EDGES).groupBy("node", "other").agg(F.min("d").alias("d")).withColumn("fresh", F.lit(True))
     both = edges.withColumn("fresh", F.lit(False)).unionByName(met).groupBy("node", "other").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))

@@ -324,6 +324,23 @@ def test_nearest_neighbours(spark):
     assert nn_descent.nearest_neighbours(table.where("vec_id in (0, 1)")).count() == 1
 
 
+def test_graph_beside_a_huge_vector_and_in_a_dense_group(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1601, 8))
+    x[800:1600] = x[0] + 1e-3 * rng.standard_normal((800, 8))
+    x[1600] = 1e4
+    x = x.astype(np.float32).astype(np.float64)
+    graph = nn_descent.build_graph(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node long, v array<double>")).toPandas()
+    around = {i: set(g) for i, g in graph.groupby("node")["other"]}
+    for part in (range(1, 800, 8), range(800, 1600, 8)):
+        hit = 0
+        for i in part:
+            d = ((x - x[i]) ** 2).sum(1)
+            d[i] = np.inf
+            hit += len(set(np.argsort(d)[:10].tolist()) & around.get(i, set()))
+        assert hit >= 0.9 * 10 * len(part)
+
+
 def test_archive(spark):
     rows = [(3, "http://a", "<p>x</p>", 1), (1, "http://b\r\nX: y", "<p>x</p>", 2), (2, None, None, 3), (7, "u", "", 4), (5, "u", "ñ" * 1000, 5), (5, "u", "ñ" * 1000, 5), (None, "u", "null id", 6)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string, length int")
