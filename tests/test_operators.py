@@ -99,3 +99,15 @@ def test_numbers_beyond_999_stay_apart(spark, monkeypatch):
     terms = spark.range(1200).selectExpr("'m' as model", "format_string('%05d', id) as measure", "'x' as expression")
     ids = {r["term"]: r["term_id"] for r in bi_models.numbered_terms(terms, "M", "model", "measure", "expression").collect()}
     assert ids == {f"{k:05d}": f"M{k + 1:03d}" for k in range(1200)}
+
+
+def test_all_model_rules_with_orphan_columns(spark):
+    data = "/root/testdata/sf0.001"
+    region, nation, supplier = (spark.read.parquet(f"{data}/{t}.parquet").toPandas() for t in ("region", "nation", "supplier"))
+    got = catalog.QUERIES["q24_all_rules"](spark, data).toPandas()
+    assert set(got.rule_id) == {f"PBI-0{k}" for k in range(1, 6)} and (got.groupby("rule_id").size() == len(region)).all()
+    orphans = got[got.rule_id == "PBI-04"].set_index("dataset").affected_rows.to_dict()
+    for r in region.itertuples():
+        own = nation[nation.n_regionkey == r.r_regionkey].n_nationkey
+        formulas = " ".join(f"sum ( sales[s{k % 4}] )" for k in supplier[supplier.s_nationkey.isin(own)].s_suppkey)
+        assert orphans[r.r_name] == (sum(c not in formulas for c in ("s1", "email")) * len(own) if formulas else 0)
