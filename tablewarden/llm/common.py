@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 MIX = (U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
@@ -45,6 +46,12 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_of(docs: DataFrame, most: int = 16 << 20) -> int:
+    """Into how many parts docs (text) are dealt so that each gets about so many bytes of text; not less than the shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(tasks(docs.sparkSession), -(-total // most))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column (null: empty) and the n + 1 offsets of its rows, without copying the texts."""
     if column.null_count:

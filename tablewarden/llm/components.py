@@ -9,14 +9,14 @@ from .common import stored
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, label) after further links (a, b) between nodes: only the labels that the links join are worked on."""
-    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-    joined = stored(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    """labels (node, label) after further links (a, b): only the labels that the links join are worked on. A node not among labels is its own label so far."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    joined = stored(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct())
     if joined.isEmpty():
         return labels
     named = components(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct(), joined)
     new = named.select(F.col("node").alias("label"), F.col("label").alias("joined"))
-    return stored(labels.join(new, "label", "left").select("node", F.coalesce("joined", "label").alias("label")))
+    return stored(labels.join(new, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("joined", "label").alias("label")))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

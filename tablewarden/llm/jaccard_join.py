@@ -1,20 +1,26 @@
-"""Exact near-duplicate components under the Jaccard distance of word shingles, by pivots and triangle windows.
+"""Exact near-duplicate components under the Jaccard distance of word shingles, by Voronoi cells and triangle windows.
 
-1. Regions. Two sets of similarity t or more share a shingle among the first
+1. Root regions. Two sets of similarity t or more share a shingle among the first
    n - ceil(t * n) + 1 of each in any common order. Ordered from rare to frequent, a
    document's first shingles name the few regions in which all its partners are found;
    documents whose first shingles are theirs alone are settled at once.
-2. In every region pivots are drawn and the region's sets measured exactly against them.
-   Sets within 1 - t of a pivot fall into its Voronoi cell and are linked to it. A set of
-   the region's main component stays only if the triangle inequality leaves a partner of
-   another component possible: its distance to every pivot lies within the radius of the
-   others'. What stays (the rest and those boundary sets) is a smaller region, to which the
-   same is done until each region holds one component.
+2. Cells. In every region pivots are drawn and the region's sets measured exactly against
+   them. A set within r = 1 - t of a pivot joins the Voronoi cell of its nearest one and is
+   linked to it. Sets within 2 r of a pivot, but not r, are boundary sets: the triangle
+   inequality allows them partners in the pivot's cell, so they are replicated to it. Farther
+   sets have none there. What is in no cell is the region again, with eight times as many
+   pivots, until nobody is left.
+3. Boundaries. After one run of connected components only boundary sets of another component
+   than the cell's matter. Each cell with such sets is a region of its own: pivots are drawn
+   from its boundary sets and measured against those members of the cell whose distance to
+   the cell's centre lies within r of theirs, again with ever more pivots, until the
+   components meet or every boundary set has been a pivot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, mix, shingles, slices, small_batches, stored, tasks, utf8
-from .components import merged
+from .common import U64, binary, mix, parts_of, shingles, slices, small_batches, stored, utf8
+from .components import components, merged
 
 #: The share of the hash space whose shingles every document emits, so that their frequency is known; more than 1 - t.
 KNOWN = 0.36
-PIVOTS = (1, 16, 32)
-LEAF = 64
-SALTS = [int(x) for x in mix(np.arange(1, 33, dtype=np.uint64)).view(np.int64)]
+#: Pivots of a region grow by this factor from turn to turn.
+GROWTH = 8
 TALLY = "kind int, doc_id long, cls long, token long, n long, known long, rare boolean"
 SLICE = 1 << 19
 
@@ -53,8 +58,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def tally(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Two kinds of rows. 1: doc_id, class of its set, n, known (shingles in the known range). 0: a class, one of its emitted shingles (token) with n classes, if more than one; rare: the token is in the known range."""
-    spark = docs.sparkSession
-    buckets = max(8, tasks(spark))
+    buckets = parts_of(docs)
     limit = U64(int(KNOWN * 2**64))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +101,7 @@ def tally(docs: DataFrame, size: int, percent: int) -> DataFrame:
         first["doc_id"] = first["doc_id"].astype("Int64")
         return pd.concat([first, second])
 
-    dealt = docs.mapInArrow(deal, "bucket int, token binary, owner binary, ids array<long>, heads binary").repartition(tasks(spark), "bucket")
+    dealt = docs.mapInArrow(deal, "bucket int, token binary, owner binary, ids array<long>, heads binary").repartition(buckets, "bucket")
     return stored(dealt.groupBy("bucket").applyInPandas(count, TALLY))
 
 
@@ -129,63 +133,67 @@ def set_table(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """cls, pivot, linked, and bounds lo and hi of the distance; sets of too unlike sizes are settled by their sizes."""
-    far = F.expr(f"100 * least(n, pivot_n) < {percent} * greatest(n, pivot_n)")
-    by_size = pairs.where(far).selectExpr("cls", "pivot", "false as linked", "1 - least(n, pivot_n) / greatest(n, pivot_n) as lo", "1.0D as hi")
+    """cls, pivot, d and linked of the pairs (cls, n, pivot, pivot_n) that are at most 2 (1 - t) apart; pairs of too unlike sizes are not measured."""
+    wide = max(0, 2 * percent - 100)
+    near = pairs.where(f"100 * least(n, pivot_n) >= {wide} * greatest(n, pivot_n)")
     a, b = sets.select("cls", F.col("shingles").alias("x")), sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("y"))
-    both = pairs.where(~far).join(a, "cls").join(b, "pivot").select("cls", "pivot", "n", "pivot_n", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
-    exact = both.selectExpr("cls", "pivot", f"100 * common >= {percent} * (n + pivot_n - common) as linked", "1 - common / (n + pivot_n - common) as d")
-    return by_size.unionByName(exact.selectExpr("cls", "pivot", "linked", "d as lo", "d as hi"))
+    both = near.join(b, "pivot").join(a, "cls").select("cls", "pivot", "n", "pivot_n", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+    exact = both.withColumn("union", F.expr("n + pivot_n - common")).where(f"100 * common >= {wide} * union")
+    return exact.selectExpr("cls", "pivot", "1 - common / union as d", f"100 * common >= {percent} * union as linked")
+
+
+def drawn(rows: DataFrame, region: str, many: int) -> DataFrame:
+    """(region, pivot, pivot_n): of each region the first `many` classes by a hash, so that regions of the same classes draw the same pivots."""
+    first = rows.selectExpr("*", f"row_number() over (partition by {region} order by xxhash64(cls), cls) as k").where(f"k <= {many}")
+    return first.select(region, F.col("cls").alias("pivot"), F.col("n").alias("pivot_n"))
+
+
+def cells(regions: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs measured (cls, pivot, d, linked), and the cells (cls, pivot): of each region that a class left for a cell, its nearest pivot."""
+    state, many, tables, homes = regions, 1, [], []
+    while True:
+        pivots = stored(drawn(state, "token", many))
+        met = stored(state.join(pivots, "token").where("cls <> pivot"))
+        new = stored(measured(met.select("cls", "n", "pivot", "pivot_n").distinct(), sets, percent))
+        nearest = stored(met.join(new.where("linked"), ["cls", "pivot"]).groupBy("token", "cls").agg(F.min_by("pivot", F.struct("d", "pivot")).alias("pivot")))
+        tables.append(new)
+        homes.append(nearest.select("cls", "pivot").distinct())
+        gone = nearest.select("token", "cls").unionByName(pivots.select("token", F.col("pivot").alias("cls")))
+        left = stored(state.join(gone, ["token", "cls"], "left_anti"))
+        several = left.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+        state, many = stored(left.join(several, "token", "left_semi")), many * GROWTH
+        if state.isEmpty():
+            union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
+            return stored(union(tables)), stored(union(homes))
+
+
+def boundary_links(labels: DataFrame, met: DataFrame, homes: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels (node, label) after the links between cells and boundary sets of other components."""
+    radius = 1 - percent / 100 + 1e-9
+    core = homes.join(met.select("cls", "pivot", "d"), ["cls", "pivot"]).join(sizes, "cls")
+    edge = met.where("not linked").select(F.col("pivot").alias("cell"), "cls", "d").join(sizes, "cls")
+    many = 1
+    while True:
+        of_cls, of_cell = labels.select(F.col("node").alias("cls"), F.col("label").alias("own")), labels.select(F.col("node").alias("cell"), F.col("label").alias("main"))
+        # labels holds what has links; a class without any is its own component
+        apart = edge.join(of_cls, "cls", "left").join(of_cell, "cell", "left").where("coalesce(own, cls) <> coalesce(main, cell)").drop("own", "main")
+        edge = stored(apart)
+        if edge.isEmpty():
+            return labels
+        pivots = drawn(edge, "cell", many).join(edge.select("cell", F.col("cls").alias("pivot"), F.col("d").alias("pivot_d")), ["cell", "pivot"])
+        pivots = stored(pivots)
+        window = core.select(F.col("pivot").alias("cell"), "cls", "n", "d").join(pivots, "cell").where(f"cls <> pivot and abs(d - pivot_d) <= {radius}")
+        found = measured(window.select("cls", "n", "pivot", "pivot_n").distinct(), sets, percent).where("linked")
+        labels = merged(labels, found.select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+        edge, many = edge.join(pivots.select("cell", F.col("pivot").alias("cls")), ["cell", "cls"], "left_anti"), many * GROWTH
 
 
 def link_classes(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of all classes in regions: the components of exact links.
-
-    Every region begins with one pivot. Where then at most LEAF sets are not of the region's
-    main component, these are measured at once against the sets of other components; a
-    region with more of them goes on with more pivots.
-    """
-    radius = 1 - percent / 100 + 1e-9
-    labels = stored(regions.select(F.col("cls").alias("node")).distinct().withColumn("label", F.col("node")))
-    state, known, turn = stored(_open(regions, labels)), None, 0
-    while not state.isEmpty():
-        salts = SALTS[: PIVOTS[min(turn, len(PIVOTS) - 1)]]
-        large = state if turn == 0 else state.where(f"loose > {LEAF}")
-        drawn = stored(large.where("label <> main").groupBy("token")
-            .agg(*(F.min_by(F.struct("cls", "n"), F.expr(f"cls ^ {s}L")).alias(f"p{i}") for i, s in enumerate(salts)))
-            .select("token", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(len(salts)))))).alias("p"))
-            .select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n")))
-        pairs = large.join(drawn, "token").where("cls <> pivot").select("cls", "n", "pivot", "pivot_n")
-        if turn > 0:
-            leaf = state.where(f"loose <= {LEAF}")
-            other = leaf.select("token", F.col("cls").alias("o"), F.col("n").alias("o_n"), F.col("label").alias("o_label"))
-            near = f"label <> o_label and 100 * least(n, o_n) >= {percent} * greatest(n, o_n)"
-            met = leaf.where("label <> main").join(other, "token").where(near)
-            pairs = pairs.unionByName(met.selectExpr("least(cls, o) as cls", "if(cls < o, n, o_n) as n", "greatest(cls, o) as pivot", "if(cls < o, o_n, n) as pivot_n"))
-        pairs = pairs.distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("cls", "pivot"), ["cls", "pivot"], "left_anti")
-        new = stored(measured(pairs, sets, percent))
-        known = new if known is None else known.unionByName(new)
-        labels = merged(labels, new.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-        # what is left of a region: no pivots, nothing of a region of one component, and of its main component only the boundary
-        left = _open(large.join(drawn.select("token", F.col("pivot").alias("cls")), ["token", "cls"], "left_anti").select("token", "cls", "n"), labels)
-        if turn > 0:
-            left = stored(left)
-            seen = left.join(drawn.select("token", "pivot"), "token").join(known, ["cls", "pivot"])
-            others = seen.where("label <> main").groupBy("token", "pivot").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
-            settled = seen.where("label = main").join(others, ["token", "pivot"]).where(f"hi < least - {radius} or lo > most + {radius}").select("token", "cls").distinct()
-            left = left.join(settled, ["token", "cls"], "left_anti")
-        state, turn = stored(left), turn + 1
-    return labels
-
-
-def _open(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """The regions (token, cls, n) that hold several components, with each row's label, the region's main label and how many are not of it."""
-    tagged = regions.join(labels, regions["cls"] == labels["node"]).drop("node")
-    counts = tagged.groupBy("token", "label").agg(F.count("*").alias("own"))
-    main = counts.groupBy("token").agg(F.max_by("label", F.struct("own", "label")).alias("main"), (F.sum("own") - F.max("own")).alias("loose")).where("loose > 0")
-    return tagged.join(main, "token")
+    """(node, label) of all classes that have a link: the components of exact links."""
+    met, homes = cells(regions, sets, percent)
+    links = met.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+    labels = components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
+    return boundary_links(labels, met, homes, stored(regions.select("cls", "n").distinct()), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
