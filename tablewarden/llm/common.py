@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,8 +20,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir; a default only where it is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A fresh path in the folder that all executors share, spark.checkpoint.dir; where that is unset, a local one for local sessions and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+        base = tempfile.gettempdir() + "/checkpoints"
     return f"{base.rstrip('/')}/tablewarden-{uuid.uuid4().hex}"
 
 
@@ -46,6 +52,12 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh_names(df: DataFrame, many: int) -> list[str]:
+    """Column names that df does not have, in any spelling of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_own{i}" for i in range(many + len(taken))) if c not in taken][:many]
+
+
 def parts_of(docs: DataFrame, most: int = 16 << 20) -> int:
     """Into how many parts docs (text) are dealt so that each gets about so many bytes of text; not less than the shuffle partitions."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

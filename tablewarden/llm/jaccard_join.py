@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, mix, parts_of, shingles, slices, small_batches, stored, utf8
+from .common import U64, binary, mix, parts_of, shingles, slices, small_batches, stored, tasks, utf8
 from .components import components, merged
 
 #: The share of the hash space whose shingles every document emits, so that their frequency is known; more than 1 - t.
 KNOWN = 0.36
 #: Pivots of a region grow by this factor from turn to turn.
 GROWTH = 8
-TALLY = "kind int, doc_id long, cls long, token long, n long, known long, rare boolean"
 SLICE = 1 << 19
 
 
@@ -52,67 +51,107 @@ def set_key(x: np.ndarray) -> np.uint64:
     return mix(np.add.reduce(mix(x ^ U64(0x5851F42D4C957F2D)), dtype=np.uint64) + np.uint64([len(x)]))[0] if len(x) else U64(0)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+PAYLOAD = [("bucket", pa.int32()), ("token", pa.binary()), ("owner", pa.binary()), ("ids", pa.list_(pa.int64())), ("heads", pa.binary())]
 
 
-def tally(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Two kinds of rows. 1: doc_id, class of its set, n, known (shingles in the known range). 0: a class, one of its emitted shingles (token) with n classes, if more than one; rare: the token is in the known range."""
-    buckets = parts_of(docs)
-    limit = U64(int(KNOWN * 2**64))
+def _payload(token: np.ndarray, owner: np.ndarray, buckets: int, turn: int = 0, ids: list | None = None, heads: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per bucket with its tokens and their owners; ids and heads go with one of them."""
+    place = (mix(token) >> U64(32)) * U64(buckets) >> U64(32)
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))
+    used = [k for k in range(buckets) if cuts[k] < cuts[k + 1] or ids and k == turn % buckets]
+    at = [order[cuts[k] : cuts[k + 1]] for k in used]
+    mine = [bool(ids) and k == turn % buckets for k in used]
+    cols = [used, [binary(token[x]) for x in at], [binary(owner[x]) for x in at], [ids if m else [] for m in mine], [binary(heads) if m else b"" for m in mine]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, PAYLOAD)], [c for c, _ in PAYLOAD])
+
+
+def _met(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, owner and the token's number of owners, once for each pair of them in a bucket's rows."""
+    token, owner = (np.frombuffer(b"".join(rows[c]), np.uint64) for c in ("token", "owner"))
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+    token, owner = token[new], owner[new]
+    cut = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
+    many = np.diff(np.append(cut, len(token)))
+    return token, owner, np.repeat(many, many)
+
+
+def _bucketed(dealt: DataFrame, buckets: int):
+    """Four buckets to a partition, so that partitions get about as much each."""
+    return dealt.repartition(max(1, buckets // 4), "bucket").groupBy("bucket")
+
+
+def tally(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n, known): every row's set, its size and how many of its shingles lie in the known range; (cls, shared): how many of these another class has too."""
+    buckets, limit = 4 * parts_of(docs), U64(int(KNOWN * 2**64))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, b in enumerate(small_batches(batches)):
             data, offsets = utf8(b.column("text"))
-            ids, heads, tokens, owners = b.column("doc_id"), [], [], []
+            heads, tokens, owners = [], [], []
             for i, j in slices(offsets, SLICE):
                 for x in sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size):
                     key, known = set_key(x), int(np.searchsorted(x, limit))
                     heads.append((key, len(x), known))
-                    sent = x[: max(known, prefix_length(len(x), percent))] if len(x) else x
-                    tokens.append(sent)
-                    owners.append(np.full(len(sent), key))
+                    tokens.append(x[:known])
+                    owners.append(np.full(known, key))
             token, owner = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (tokens, owners))
-            place = (mix(token) >> U64(32)) * U64(buckets) >> U64(32)
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))
-            out = {"bucket": [], "token": [], "owner": [], "ids": [], "heads": []}
-            for k in range(buckets):
-                at, mine = order[cuts[k] : cuts[k + 1]], k == turn % buckets
-                out["bucket"].append(k)
-                out["token"].append(binary(token[at]))
-                out["owner"].append(binary(owner[at]))
-                out["ids"].append(ids.to_pylist() if mine else [])
-                out["heads"].append(binary(np.array(heads, np.uint64)) if mine else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("token", "owner")), pa.array(out["ids"], pa.list_(pa.int64())), pa.array(out["heads"], pa.binary())], list(out))
+            yield _payload(token, owner, buckets, turn, b.column("doc_id").to_pylist(), np.array(heads, np.uint64))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        token, owner = (np.frombuffer(b"".join(rows[c]), np.uint64) for c in ("token", "owner"))
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]) if len(token) else np.zeros(0, bool)
-        token, owner = token[new], owner[new]
-        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        many = np.repeat(np.diff(np.append(cut, len(token))), np.diff(np.append(cut, len(token))))
-        shared = many > 1
+        _, owner, many = _met(rows)
+        cls, shared = np.unique(owner[many > 1], return_counts=True)
         heads = np.frombuffer(b"".join(rows["heads"]), np.uint64).reshape(-1, 3)
-        first = pd.DataFrame({"kind": 0, "doc_id": pd.NA, "cls": owner[shared].view(np.int64), "token": token[shared].view(np.int64), "n": many[shared], "known": 0, "rare": token[shared] < limit})
-        second = pd.DataFrame({"kind": 1, "doc_id": pd.array([x for ids in rows["ids"] for x in ids], "Int64"), "cls": heads[:, 0].copy().view(np.int64), "token": 0, "n": heads[:, 1].astype(np.int64), "known": heads[:, 2].astype(np.int64), "rare": False})
-        first["doc_id"] = first["doc_id"].astype("Int64")
-        return pd.concat([first, second])
+        ids = pd.array([x for ids in rows["ids"] for x in ids], "Int64")
+        first = pd.DataFrame({"doc_id": pd.array([pd.NA] * len(cls), "Int64"), "cls": cls.view(np.int64), "n": 0, "known": 0, "shared": shared})
+        return pd.concat([first, pd.DataFrame({"doc_id": ids, "cls": heads[:, 0].copy().view(np.int64), "n": heads[:, 1].astype(np.int64), "known": heads[:, 2].astype(np.int64), "shared": -1})])
+
+    dealt = docs.mapInArrow(deal, "bucket int, token binary, owner binary, ids array<long>, heads binary")
+    rows = stored(_bucketed(dealt, buckets).applyInPandas(count, "doc_id long, cls long, n long, known long, shared long"))
+    return rows.where("shared < 0").drop("shared"), rows.where("shared > 0").groupBy("cls").agg(F.sum("shared").alias("shared"))
+
+
+def first_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, n, most, centre) regions: each set's shared shingles among its first, from rare to frequent; sets left alone in a region are out of it.
+
+    Shingles of nobody else come first, so that a set with many of them has few others among
+    its first, or none. most is how many it shares at all, a bound of what it can have in
+    common. centre is the mean logarithm of its shingles' frequencies: an original has no
+    shingles of its own, its changed copies have, so it stands highest there and as a pivot
+    gathers copies that are far from each other.
+    """
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    buckets = 4 * max(tasks(sets.sparkSession), -(-total // (1 << 20)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column, cls = b.column("shingles"), b.column("cls").to_numpy().view(np.uint64)
+            off = column.offsets.to_numpy()
+            for i, j in slices(off.astype(np.int64), 1 << 20):
+                token = column.values.to_numpy()[off[i] : off[j]].view(np.uint64)
+                yield _payload(token, np.repeat(cls[i:j], np.diff(off[i : j + 1])), buckets)
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        token, owner, many = _met(rows)
+        shared = many > 1
+        return pd.DataFrame({"cls": owner[shared].view(np.int64), "token": token[shared].view(np.int64), "df": many[shared]})
 
-    dealt = docs.mapInArrow(deal, "bucket int, token binary, owner binary, ids array<long>, heads binary").repartition(buckets, "bucket")
-    return stored(dealt.groupBy("bucket").applyInPandas(count, TALLY))
+    tokens = stored(_bucketed(sets.select("cls", "shingles").mapInArrow(deal, "bucket int, token binary, owner binary, ids array<long>, heads binary"), buckets).applyInPandas(count, "cls long, token long, df long"))
+    own = tokens.groupBy("cls").agg(F.count("*").alias("most"), F.sum(F.log2("df")).alias("frequency")).join(sets.select("cls", F.size("shingles").cast("long").alias("n")), "cls")
+    own = own.selectExpr("cls", "n", "most", "frequency / n as centre", f"n - (({percent} * n + 99) div 100) + 1 - (n - most) as first").where("first > 0")
+    kept = tokens.join(own, "cls").selectExpr("*", "row_number() over (partition by cls order by df, token) as k").where("k <= first").select("token", "cls", "n", "most", "centre")
+    return linkable(kept, percent)
 
 
-def first_shingles(tokens: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(token, cls, n) regions: each class's shared shingles among its first, from rare to frequent; classes left alone in a region are out of it."""
-    shared = tokens.groupBy("cls").agg(F.count_if("rare").alias("shared"))
-    open_classes = classes.join(shared, "cls").withColumn("most", F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (known - shared)")).where("most > 0")
-    ranked = tokens.select("cls", "token", "rare", F.col("n").alias("df")).join(open_classes.select("cls", "n", "most"), "cls").selectExpr("*", "row_number() over (partition by cls order by not rare, df, token) as k")
-    kept = ranked.where("k <= most").select("token", "cls", "n")
-    alone = kept.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    return kept.join(alone, "token")
+def linkable(state: DataFrame, percent: int) -> DataFrame:
+    """The rows of regions with another class in them whose size and shared shingles leave a link possible."""
+    sizes = state.groupBy("token", F.col("n").alias("other_n")).agg(F.max("most").alias("other_most"), F.count("*").alias("many"))
+    here = sizes.withColumnRenamed("token", "region")
+    possible = F.expr(f"token = region and {100 + percent} * least(most, other_most) >= {percent} * (n + other_n) and (n <> other_n or many > 1)")
+    return state.join(here, possible, "left_semi")
 
 
 def set_table(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -143,8 +182,8 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def drawn(rows: DataFrame, region: str, many: int) -> DataFrame:
-    """(region, pivot, pivot_n): of each region the first `many` classes by a hash, so that regions of the same classes draw the same pivots."""
-    first = rows.selectExpr("*", f"row_number() over (partition by {region} order by xxhash64(cls), cls) as k").where(f"k <= {many}")
+    """(region, pivot, pivot_n): of each region the `many` most central classes, so that regions of the same classes draw the same pivots."""
+    first = rows.selectExpr("*", f"row_number() over (partition by {region} order by centre desc, xxhash64(cls), cls) as k").where(f"k <= {many}")
     return first.select(region, F.col("cls").alias("pivot"), F.col("n").alias("pivot_n"))
 
 
@@ -160,8 +199,7 @@ def cells(regions: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
         homes.append(nearest.select("cls", "pivot").distinct())
         gone = nearest.select("token", "cls").unionByName(pivots.select("token", F.col("pivot").alias("cls")))
         left = stored(state.join(gone, ["token", "cls"], "left_anti"))
-        several = left.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-        state, many = stored(left.join(several, "token", "left_semi")), many * GROWTH
+        state, many = stored(linkable(left, percent)), many * GROWTH
         if state.isEmpty():
             union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
             return stored(union(tables)), stored(union(homes))
@@ -180,9 +218,10 @@ def boundary_links(labels: DataFrame, met: DataFrame, homes: DataFrame, sizes: D
         edge = stored(apart)
         if edge.isEmpty():
             return labels
-        pivots = drawn(edge, "cell", many).join(edge.select("cell", F.col("cls").alias("pivot"), F.col("d").alias("pivot_d")), ["cell", "pivot"])
+        pivots = drawn(edge, "cell", many).join(edge.select("cell", F.col("cls").alias("pivot"), F.col("d").alias("pivot_d"), F.col("most").alias("pivot_most")), ["cell", "pivot"])
         pivots = stored(pivots)
-        window = core.select(F.col("pivot").alias("cell"), "cls", "n", "d").join(pivots, "cell").where(f"cls <> pivot and abs(d - pivot_d) <= {radius}")
+        possible = f"cls <> pivot and abs(d - pivot_d) <= {radius} and {100 + percent} * least(most, pivot_most) >= {percent} * (n + pivot_n)"
+        window = core.select(F.col("pivot").alias("cell"), "cls", "n", "most", "d").join(pivots, "cell").where(possible)
         found = measured(window.select("cls", "n", "pivot", "pivot_n").distinct(), sets, percent).where("linked")
         labels = merged(labels, found.select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
         edge, many = edge.join(pivots.select("cell", F.col("pivot").alias("cls")), ["cell", "cls"], "left_anti"), many * GROWTH
@@ -193,7 +232,7 @@ def link_classes(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     met, homes = cells(regions, sets, percent)
     links = met.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
     labels = components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
-    return boundary_links(labels, met, homes, stored(regions.select("cls", "n").distinct()), sets, percent)
+    return boundary_links(labels, met, homes, stored(regions.select("cls", "n", "most", "centre").distinct()), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -206,12 +245,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     columns are ignored. An empty table gives an empty result.
     """
     core = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = tally(core, size, percent)
-    heads, tokens = rows.where("kind = 1").select("doc_id", "cls", "n", "known"), rows.where("kind = 0").select("cls", "token", "n", "rare")
+    heads, shared = tally(core, size)
     classes = heads.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("known").alias("known"))
-    regions = stored(first_shingles(tokens, classes, percent))
-    wanted = regions.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
-    labels = link_classes(regions, set_table(core, wanted, size), percent)
+    # as many shingles of its own as a set has first ones: no partner
+    wanted = classes.join(shared, "cls", "left").where(f"n - (({percent} * n + 99) div 100) + 1 > known - coalesce(shared, 0)").select("cls", "rep")
+    sets = set_table(core, wanted, size)
+    labels = link_classes(stored(first_shingles(sets, percent)), sets, percent)
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     names = named.groupBy("label").agg(F.min("rep").alias("component"))
     by_class = stored(named.join(names, "label").select("cls", "component"))
