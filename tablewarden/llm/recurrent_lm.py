@@ -4,18 +4,20 @@ Words fall into classes: frequent words (the head) into classes of their own, by
 all others by their last two bytes into tail classes. The model gives
 P(word) = P(class | state) * P(word | class, state): a softmax over the class's members
 for head classes, smoothed corpus counts inside a tail class. The state is a gated
-recurrent unit's, trained by truncated backpropagation and carried from window to window,
-so that a document's score is the sum over all of its tokens.
+recurrence (a simple recurrent unit: gates from the token, no product of states with a
+matrix), trained by truncated backpropagation and carried from window to window, so that
+a document's score is the sum over all of its tokens.
 
 Every count comes from all training documents by Spark aggregation. The weights too are
 learned from all of them, data-parallel and in one pass: every round takes its own share
 (by a hash of doc_id and text, so that copies of a text are spread over the rounds), every
-task runs over its own documents, and the tasks' weights are averaged after each round.
+shard of it trains a network, and these are averaged after each round.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,11 +37,11 @@ class Settings:
     tails: int = 32  # classes of the other words
     hidden: int = 24
     window: int = 32  # steps of truncated backpropagation
-    lanes: int = 64  # documents side by side in training
-    score_lanes: int = 256
+    train_windows: int = 256  # side by side
+    score_windows: int = 1024
+    shard_bytes: int = 16 << 20  # text that one network of the average learns from in a round
     frequent: int = 65_536  # words whose counts go with every task; the others' are joined
     rounds: int = 2
-    train_parts: int = 256  # of 256: all training documents
     rate: float = 0.01
     smoothing: float = 0.1
 
@@ -57,16 +59,24 @@ def is_held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0, F.lit(False))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n) over the words of docs (text)."""
+def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
+    """(word binary, n) over the words of docs (text); a task sends its counts on when it holds `most` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 16 << 20):
+        held: Counter = Counter()
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            held.clear()
+            return out
+
+        for b in small_batches(batches, 4 << 20):
             data, off = utf8(b.column("text"))
-            # a word cannot run over two texts: each is split on its own
-            words = pd.Series(list(chain.from_iterable(tokens(data, a, z) for a, z in zip(off[:-1], off[1:]))), dtype=object)
-            n = words.value_counts(sort=False)
-            yield pa.RecordBatch.from_arrays([pa.array(n.index.tolist(), pa.binary()), pa.array(n.to_numpy(np.int64))], ["word", "n"])
+            for a, z in zip(off[:-1], off[1:]):  # a word cannot run over two texts: each is split on its own
+                held.update(tokens(data, a, z))
+            if len(held) > most:
+                yield sent()
+        yield sent()
 
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -92,6 +102,7 @@ class Lexicon:
         self.rest_score = np.log10(self.rest_counts + s.smoothing)
         # one more, never seen word is reserved in every tail class
         self.tail_mass = self.tail_n + s.smoothing * (self.tail_v + 1)
+        self.class_of_ending = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) * np.uint64(s.tails) >> np.uint64(32)).astype(np.int64)
 
     @property
     def classes(self) -> int:
@@ -99,43 +110,65 @@ class Lexicon:
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         """Head ids, -1 - place for other frequent words, or MISSING."""
-        get = self.ids.get
-        return np.array([get(w, MISSING) for w in words], np.int64)
+        return np.fromiter(map(self.ids.get, words, repeat(MISSING)), np.int64, len(words))
 
-    def encode(self, words: list[bytes], codes: np.ndarray | None = None) -> np.ndarray:
-        """Head ids, or -1 - tail class; the end comes last."""
-        codes = self.codes(words) if codes is None else codes
-        out = np.append(codes, 0)
+    def encode(self, words: list[bytes], codes: np.ndarray) -> np.ndarray:
+        """Head ids, or -1 - tail class."""
+        out = codes.copy()
         rest = np.flatnonzero((codes < 0) & (codes != MISSING))
         out[rest] = -1 - self.rest_class[-1 - codes[rest]]
-        for i in np.flatnonzero(codes == MISSING):
-            out[i] = -1 - tail_class(words[i], self.settings.tails)
+        missing = np.flatnonzero(codes == MISSING)
+        out[missing] = -1 - self.class_of_ending[np.frombuffer(b"".join([(words[i][-2:] + b"\0")[:2] for i in missing.tolist()]), "<u2")]
         return out
 
 
+def all_tokens(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The words of all rows, one after the other, and how many each row has."""
+    data, off = utf8(column)
+    rows = [tokens(data, a, z) for a, z in zip(off[:-1], off[1:])]  # a word cannot run over two texts: each is split on its own
+    return list(chain.from_iterable(rows)), np.array([len(x) for x in rows], np.int64)
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rows' ids with the end, 0, after each row."""
+    out = np.zeros(len(ids) + len(sizes), np.int64)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return out
+
+
 class Network:
-    """Weights and steps of the recurrent unit and its class-factored output."""
+    """Weights and steps of the gated recurrence and its class-factored output.
+
+    Every token brings a gate f and a candidate g (rows of two tables): the state after it is
+    f * state + (1 - f) * g. Gates depend on the token alone, so a document's windows are run
+    side by side, each from zero, and what the windows before it left is added afterwards:
+    the state is carried over the whole document, exactly.
+    """
 
-    NAMES = ("embed", "gates", "inner", "bias", "classes", "class_bias", "members", "member_bias")
+    NAMES = ("gate", "candidate", "classes", "class_bias", "members", "member_bias")
 
     def __init__(self, lexicon: Lexicon, weights: dict[str, np.ndarray] | None = None):
         s, self.lexicon = lexicon.settings, lexicon
-        rng, h, c = np.random.default_rng(1), s.hidden, lexicon.classes
+        rng, h, c, v = np.random.default_rng(1), s.hidden, lexicon.classes, len(lexicon.counts) + s.tails
         if weights is None:
-            draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-2] if len(shape) > 1 else 1)).astype(np.float32)
             counts = np.zeros(lexicon.heads * s.members)
             counts[: len(lexicon.counts)] = lexicon.counts + s.smoothing
             mass = np.concatenate([counts.reshape(lexicon.heads, s.members).sum(1), lexicon.tail_mass])
             weights = {
-                "embed": draw(len(lexicon.counts) + s.tails, h) * 0.5, "gates": draw(h, 3 * h), "inner": draw(h, 3 * h), "bias": np.zeros(3 * h, np.float32),
+                "gate": np.tile(np.linspace(-2, 3, h, dtype=np.float32), (v, 1)), "candidate": rng.standard_normal((v, h)).astype(np.float32),
                 "classes": np.zeros((h, c), np.float32), "class_bias": np.log(mass / mass.sum()).astype(np.float32),
                 "members": np.zeros((lexicon.heads, h, s.members), np.float32), "member_bias": np.where(counts > 0, np.log(np.maximum(counts, 1e-9)), -1e9).reshape(lexicon.heads, s.members).astype(np.float32),
             }
-        self.w, self.table = weights, None
+        self.w, self.tables = weights, None
+
+    def step_tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every token what the state is multiplied with, and what is added."""
+        keep = 1 / (1 + np.exp(-np.clip(self.w["gate"], -30, 30)))
+        return keep, (1 - keep) * self.w["candidate"]
 
     def frozen(self) -> "Network":
-        """With the inputs' share of the gates worked out once, for scoring."""
-        self.table = self.w["embed"] @ self.w["gates"] + self.w["bias"]
+        """With the tables worked out once, for scoring."""
+        self.tables = self.step_tables()
         return self
 
     def inputs(self, ids: np.ndarray) -> np.ndarray:
@@ -145,30 +178,36 @@ class Network:
         m = self.lexicon.settings.members
         return np.where(ids >= 0, ids // m, self.lexicon.heads - 1 - ids), np.where(ids >= 0, ids % m, 0)
 
-    def forward(self, ids: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
-        """States before each step's token, for ids[step, lane] given the tokens before; and what backward() needs. The last state comes too."""
-        h, w, states, kept = state.shape[1], self.w, [state], []
-        rows = self.inputs(ids)
-        given = self.table[rows] if self.table is not None else w["embed"][rows] @ w["gates"] + w["bias"]
-        for x in given:
-            y = state @ w["inner"]
-            zr = 1 / (1 + np.exp(-np.clip(x[:, : 2 * h] + y[:, : 2 * h], -30, 30)))
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(x[:, 2 * h :] + r * y[:, 2 * h :])
-            kept.append((state, z, r, n, y[:, 2 * h :]))
-            state = (1 - z) * n + z * state
-            states.append(state)
-        return np.stack(states), kept
+    def forward(self, ids: np.ndarray, first: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States before each token of ids[step, window], the gates, and the state after the last window.
+
+        Windows follow each other; first marks those that begin a document, before is the state that the first window finds if it does not.
+        """
+        keep, add = self.tables or self.step_tables()
+        rows, h = self.inputs(ids), keep.shape[1]
+        f, b = keep[rows], add[rows]
+        states, left = np.empty((len(ids) + 1, ids.shape[1], h), keep.dtype), np.empty((len(ids) + 1, ids.shape[1], h), keep.dtype)
+        states[0], left[0] = 0, 1
+        for t in range(len(ids)):
+            np.multiply(f[t], states[t], out=states[t + 1])
+            states[t + 1] += b[t]
+            np.multiply(f[t], left[t], out=left[t + 1])
+        found, zero = np.empty((ids.shape[1], h), keep.dtype), np.zeros(h, keep.dtype)
+        for k in range(ids.shape[1]):  # what each window finds from those before
+            found[k] = now = zero if first[k] else before
+            before = states[-1, k] + left[-1, k] * now
+        return states[:-1] + left[:-1] * found, f, before
 
     def log_probs(self, states: np.ndarray, ids: np.ndarray, learn: bool = False):
         """Natural log P(class) + log P(member | class) of flat states and ids; with learn also the gradients of their negative sum."""
         w, (cls, member) = self.w, self.targets(ids)
         logits = states @ w["classes"] + w["class_bias"]
         logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
         at = np.arange(len(ids))
-        out = logits[at, cls] - np.log(total)
+        out = logits[at, cls].astype(np.float64)
+        e = np.exp(logits, out=logits)
+        total = e.sum(1)
+        out -= np.log(total)
         grad = None
         if learn:
             e /= total[:, None]
@@ -180,103 +219,95 @@ class Network:
         for c in range(self.lexicon.heads):
             rows = order[cut[c] : cut[c + 1]]
             if len(rows):
-                part = states[rows] @ w["members"][c] + w["member_bias"][c]
+                own, at = states[rows], np.arange(len(rows))
+                part = own @ w["members"][c] + w["member_bias"][c]
                 part -= part.max(1, keepdims=True)
-                e = np.exp(part)
+                out[rows] += part[at, member[rows]]
+                e = np.exp(part, out=part)
                 total = e.sum(1)
-                out[rows] += part[np.arange(len(rows)), member[rows]] - np.log(total)
+                out[rows] -= np.log(total)
                 if learn:
                     e /= total[:, None]
-                    e[np.arange(len(rows)), member[rows]] -= 1
-                    grad["members"][c], grad["member_bias"][c] = states[rows].T @ e, e.sum(0)
+                    e[at, member[rows]] -= 1
+                    grad["members"][c], grad["member_bias"][c] = own.T @ e, e.sum(0)
                     back[rows] += e @ w["members"][c].T
         return (out, grad, back) if learn else out
 
-    def backward(self, ids: np.ndarray, kept: list, back: np.ndarray, grad: dict[str, np.ndarray]) -> None:
-        """Through the window's steps: back[step] is the gradient of the state before that step's output."""
-        w, h = self.w, kept[0][0].shape[1]
-        grad |= {k: np.zeros_like(w[k]) for k in ("embed", "gates", "inner", "bias")}
-        d = np.zeros_like(kept[0][0])
-        for t in range(len(kept) - 1, -1, -1):
-            d = d + back[t + 1] if t + 1 < len(back) else d
-            state, z, r, n, yn = kept[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (state - n) * z * (1 - z)
-            dr = dn * yn * r * (1 - r)
-            dx, dy = np.concatenate([dz, dr, dn], 1), np.concatenate([dz, dr, dn * r], 1)
-            at = self.inputs(ids[t])
-            grad["gates"] += w["embed"][at].T @ dx
-            np.add.at(grad["embed"], at, dx @ w["gates"].T)
-            grad["inner"] += state.T @ dy
-            grad["bias"] += dx.sum(0)
-            d = d * z + dy @ w["inner"].T
-
-    def windows(self, texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-        """Windows of documents side by side: input ids and target ids [step, lane], whether there is a target, the lanes' documents, and how many lanes ended before this window (-1: new lanes)."""
+    def backward(self, ids: np.ndarray, states: np.ndarray, f: np.ndarray, back: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+        """Through each window's steps: back[step] is the gradient of the state before that step's token; it becomes that of the state after it."""
+        w, h = self.w, states.shape[2]
+        d = np.zeros_like(back[0])
+        for t in range(len(back) - 1, -1, -1):
+            after = d
+            d = back[t] + f[t] * d
+            back[t] = after
+        at = self.inputs(ids).ravel()
+        order = np.argsort(at, kind="stable")
+        begin = np.flatnonzero(np.diff(at[order], prepend=-1))
+        both = np.concatenate([(back * states).reshape(-1, h), back.reshape(-1, h)], 1)[order]
+        sums, rows = np.add.reduceat(both, begin), at[order][begin]
+        keep = f.reshape(-1, h)[order[begin]]
+        grad |= {"gate": np.zeros_like(w["gate"]), "candidate": np.zeros_like(w["candidate"])}
+        grad["gate"][rows] = keep * (1 - keep) * (sums[:, :h] - w["candidate"][rows] * sums[:, h:])
+        grad["candidate"][rows] = (1 - keep) * sums[:, h:]
+
+    def windows(self, flat: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Up to `most` windows of the documents (their ids one after the other, and how many each has): ids [step, window], whether there is a token, the window's document, whether it begins it."""
         s = self.lexicon.settings
-        sizes = np.array([len(x) for x in texts])
-        order = np.argsort(sizes, kind="stable")
-        for i in range(0, len(order), lanes):
-            lane, ended = order[i : i + lanes], -1
-            for a in range(0, int(sizes[lane].max()), s.window):
-                alive = lane[sizes[lane] > a]
-                if a:
-                    ended = len(lane) - len(alive)
-                lane = alive
-                steps = min(s.window, int(sizes[lane].max()) - a)
-                target = np.zeros((steps + 1, len(lane)), np.int64)
-                there = sizes[lane][None, :] > np.arange(a, a + steps)[:, None]
-                for j, k in enumerate(lane):
-                    part = texts[k][max(a - 1, 0) : a + steps]
-                    target[(not a) : len(part) + (not a), j] = part
-                yield target[:-1], target[1:], there, lane, ended
-
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+        off = np.cumsum(sizes) - sizes
+        n = -(-sizes // s.window)
+        doc = np.repeat(np.arange(len(sizes)), n)
+        turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        steps = np.arange(s.window)[:, None]
+        for i in range(0, len(doc), most):
+            own, k = doc[i : i + most], turn[i : i + most]
+            place = steps + k * s.window
+            there = place < sizes[own]
+            yield flat[np.minimum(off[own] + place, len(flat) - 1)], there, own, k == 0
+
+    def scores(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural log P of each document's classes and members."""
-        out, state = np.zeros(len(texts)), None
-        for given, target, there, lane, ended in self.windows(texts, self.lexicon.settings.score_lanes):
-            state = np.zeros((len(lane), self.lexicon.settings.hidden), np.float32) if ended < 0 else state[ended:]
-            states, _ = self.forward(given, state)
-            state = states[-1]
-            flat = there.ravel()
-            p = self.log_probs(states[1:].reshape(-1, states.shape[2])[flat], target.ravel()[flat])
-            out += np.bincount(np.broadcast_to(lane, there.shape).ravel()[flat], p, len(texts))
+        s, out = self.lexicon.settings, np.zeros(len(sizes))
+        state = np.zeros(s.hidden, np.float32)
+        for ids, there, doc, first in self.windows(flat, sizes, s.score_windows):
+            states, _, state = self.forward(ids, first, state)
+            p = self.log_probs(states[there], ids[there])
+            out += np.bincount(np.broadcast_to(doc, there.shape)[there], p, len(sizes))
         return out
 
-    def train(self, texts: list[np.ndarray], rate: float) -> int:
-        """One pass by Adam; returns the number of tokens."""
-        w, seen, turn = self.w, 0, 0
+    def train(self, flat: np.ndarray, sizes: np.ndarray, rate: float) -> int:
+        """One pass by Adam, its gradients truncated to windows; returns the number of tokens."""
+        s, w, seen, turn = self.lexicon.settings, self.w, 0, 0
         m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-        state = None
-        for given, target, there, lane, ended in self.windows(texts, self.lexicon.settings.lanes):
-            state = np.zeros((len(lane), self.lexicon.settings.hidden), np.float32) if ended < 0 else state[ended:]
-            states, kept = self.forward(given, state)
-            state, flat = states[-1], there.ravel()
-            _, grad, part = self.log_probs(states[1:].reshape(-1, states.shape[2])[flat], target.ravel()[flat], True)
-            back = np.zeros((flat.size, states.shape[2]), np.float32)
-            back[flat] = part
-            back = np.concatenate([np.zeros((1, *states.shape[1:]), np.float32), back.reshape(there.shape[0], there.shape[1], -1)])
-            self.backward(given, kept, back, grad)
-            seen, turn = seen + int(flat.sum()), turn + 1
+        state = np.zeros(s.hidden, np.float32)
+        for ids, there, _, first in self.windows(flat, sizes, s.train_windows):
+            states, f, state = self.forward(ids, first, state)
+            _, grad, part = self.log_probs(states[there], ids[there], True)
+            back = np.zeros_like(states)
+            back[there] = part
+            self.backward(ids, states, f, back, grad)
+            many = int(there.sum())
+            seen, turn = seen + many, turn + 1
             for k, x in w.items():
-                g = np.clip(grad[k] / max(1, flat.sum()), -1, 1)
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                x -= rate * (m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-8)
+                g = np.clip(grad[k] / many, -1, 1)
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.01 * (g * g - v[k])
+                x -= rate / (1 - 0.9**turn) * m[k] / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-8)
         return seen
 
 
 def lexicon_of(counts: DataFrame, ends: int, s: Settings) -> Lexicon:
     """The most frequent words and all totals; at most frequent + tails + 1 rows reach the driver."""
-    # the least count that at most `frequent` words reach, by a histogram of at most a few hundred rows
+    # the counts that at most `frequent` words reach, by a histogram of at most a few hundred rows; of the next size a share by hash
     size = F.floor(F.log2("n") * 8)
-    least, so_far = None, 0
+    taken, so_far = F.lit(False), 0
     for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["size"]):
+        share = min(1.0, (s.frequent - so_far) / r["k"])
+        taken = taken | ((size == r["size"]) & (F.shiftrightunsigned(F.xxhash64("word"), 33) < int(share * 2**31)))
         so_far += r["k"]
-        if so_far > s.frequent:
+        if so_far >= s.frequent:
             break
-        least = r["size"]
-    words = [] if least is None else [(bytes(r["word"]), r["n"]) for r in counts.where(size >= least).collect()]
+    words = [(bytes(r["word"]), r["n"]) for r in counts.where(taken).collect()]
     words.sort(key=lambda x: (-x[1], x[0]))
     own = {w for w, _ in words[: s.head]}
 
@@ -296,36 +327,44 @@ def lexicon_of(counts: DataFrame, ends: int, s: Settings) -> Lexicon:
 
 
 def learn(training: DataFrame, lexicon: Lexicon) -> Network:
-    """Average of the tasks' networks over training (doc_id, text), round by round; each round takes its own share of the documents."""
+    """Average of the shards' networks over training (doc_id, text), round by round.
+
+    Every round takes its own share of the documents. They are dealt to shards of about
+    shard_bytes by a hash of doc_id and text and are read in the order of that hash, and sums
+    are taken in the order of the shards: the network depends on the data and not on how
+    Spark has partitioned them.
+    """
     spark, s, network = training.sparkSession, lexicon.settings, Network(lexicon)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(256))
+    total = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-total // (s.rounds * s.shard_bytes)) or 1
+    dealt = training.select(F.xxhash64("doc_id", "text").alias("h"), "text").selectExpr("h", "text", f"pmod(h, {s.rounds}) as turn", f"pmod(shiftrightunsigned(h, 8), {shards}) as shard")
     shapes = {k: (x.shape, x.size) for k, x in network.w.items()}
+    kind = "shard long, block int, seen double, w binary"
     for turn in range(s.rounds):
         shared = spark.sparkContext.broadcast((lexicon, network.w))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seen = None, 0
-            for b in small_batches(batches, 4 << 20):
-                lex, w = shared.value
-                own = own or Network(lex, {k: x.copy() for k, x in w.items()})
-                data, off = utf8(b.column("text"))
-                seen += own.train([lex.encode(tokens(data, a, z)) for a, z in zip(off[:-1], off[1:])], s.rate / (1 + 2 * turn))
-            if own:
-                flat = np.concatenate([own.w[k].ravel() for k in Network.NAMES]).astype(np.float64) * seen
-                blocks = [flat[i : i + 4096] for i in range(0, len(flat), 4096)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array(np.full(len(blocks), float(seen))), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "seen", "w"])
-
-        def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[int, list] = {}
-            for frame in rows:
-                for r in frame.itertuples():
-                    at = sums.setdefault(r.block, [0.0, 0.0])
-                    at[0], at[1] = at[0] + r.seen, at[1] + np.frombuffer(r.w)
-            yield pd.DataFrame({"block": list(sums), "seen": [x[0] for x in sums.values()], "w": [x[1].tobytes() for x in sums.values()]})
-
-        chosen = training.where((part >= turn * s.train_parts // s.rounds) & (part < (turn + 1) * s.train_parts // s.rounds)).select("text")
-        kind = "block long, seen double, w binary"
-        summed = chosen.mapInArrow(run, kind).repartition(8, "block").mapInPandas(add, kind).orderBy("block").collect()  # one network
+        def run(table: pa.Table) -> pa.Table:
+            lex, w = shared.value
+            own = Network(lex, {k: x.copy() for k, x in w.items()})
+            order = np.argsort(table.column("h").to_numpy(), kind="stable")
+            words, sizes = all_tokens(table.column("text").cast(pa.large_string()).combine_chunks().take(pa.array(order)))
+            seen = own.train(with_ends(lex.encode(words, lex.codes(words)), sizes), sizes + 1, s.rate / (1 + 2 * turn))
+            flat = np.concatenate([own.w[k].ravel() for k in Network.NAMES]).astype(np.float64) * seen
+            blocks = [flat[i : i + 4096].tobytes() for i in range(0, len(flat), 4096)]
+            shard = np.full(len(blocks), table.column("shard")[0].as_py())
+            return pa.table([pa.array(shard), pa.array(np.arange(len(blocks)), pa.int32()), pa.array(np.full(len(blocks), float(seen))), pa.array(blocks, pa.binary())], ["shard", "block", "seen", "w"])
+
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("shard")
+            w = np.sum([np.frombuffer(x) for x in rows["w"]], axis=0)
+            return pd.DataFrame({"shard": [rows["shard"].iloc[0] // 256], "block": [rows["block"].iloc[0]], "seen": [rows["seen"].sum()], "w": [w.tobytes()]})
+
+        summed, left = dealt.where(f"turn = {turn}").groupBy("shard").applyInArrow(run, kind), shards
+        while True:  # 256 shards at a time
+            summed, left = summed.groupBy("block", F.expr("shard div 256")).applyInPandas(add, kind), -(-left // 256)
+            if left == 1:
+                break
+        summed = summed.orderBy("block").collect()  # one network
         if summed:
             flat = np.concatenate([np.frombuffer(r["w"]) for r in summed]) / summed[0]["seen"]
             at, new = 0, {}
@@ -353,25 +392,25 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for b in small_batches(batches, 12 << 20):
+        for b in small_batches(batches, 4 << 20):
             model = model or Network(*shared.value).frozen()
             lex = model.lexicon
-            data, off = utf8(b.column("text"))
-            ids, rare, n, known, base, score = [], [], [], [], [], []
-            for a, z in zip(off[:-1], off[1:]):
-                x = tokens(data, a, z)
-                codes = lex.codes(x)
-                e = lex.encode(x, codes)
-                head, rest = e[e >= 0], -1 - codes[(codes < 0) & (codes != MISSING)]
-                ids.append(e)
-                n.append(len(e))
-                known.append(int((lex.counts[head] > 0).sum()) + len(rest))
-                base.append(lex.base[head].sum() + lex.rest_base[rest].sum())
-                score.append(lex.rest_score[rest].sum() - np.log10(lex.tail_mass[-1 - e[e < 0]]).sum())
-                rare.append([x[i] for i in np.flatnonzero(codes == MISSING)])
+            words, sizes = all_tokens(b.column("text"))
+            codes = lex.codes(words)
+            ids, row = lex.encode(words, codes), np.repeat(np.arange(len(sizes)), sizes)
+            head, missing = codes >= 0, codes == MISSING
+            rest, tail = ~head & ~missing, ids < 0
+            place = -1 - codes[rest]
+            base, score = np.zeros(len(codes)), np.zeros(len(codes))
+            base[head], base[rest] = lex.base[codes[head]], lex.rest_base[place]
+            score[rest] = lex.rest_score[place]
+            score[tail] -= np.log10(lex.tail_mass)[-1 - ids[tail]]
+            total = lambda x: np.bincount(row, x, len(sizes))
+            known = total(~missing).astype(np.int64) + int(lex.counts[0] > 0)
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total(missing))]), pa.int32()), pa.array([words[i] for i in np.flatnonzero(missing).tolist()], pa.binary()))
             yield pa.RecordBatch.from_arrays([
-                b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(model.scores(ids) / LOG10 + np.array(score), pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
+                b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(sizes + 1), pa.array(known), pa.array(total(base) + lex.base[0]),
+                pa.array(model.scores(with_ends(ids, sizes), sizes + 1) / LOG10 + total(score)), rare],
                 ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare"])
 
     kind = dict(docs.dtypes)["doc_id"]
