@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding of whole texts by suffix-array matching.
 
-A batch's distinct chunks (a run of blanks and the word after it; no piece reaches over
-the next blank) are laid end to end and indexed by a suffix array. Every vocabulary piece
+A batch's text is cut into chunks where no piece reaches over: before a run of blanks, and
+where letters meet other characters that no piece holds beside them. Its distinct chunks
+are laid end to end and indexed by a suffix array. Every vocabulary piece
 is binary-searched for its range of occurrences; the edges found (position, length, piece)
 are sorted by position. Relaxation then follows the vocabulary's own rule, which for a
 byte-pair model is the order of merges and not the best path: as long as two neighbouring
@@ -17,18 +18,34 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLANK = "▁"
-CHUNK = re.compile(f"{BLANK}*[^{BLANK}]*")
 LONG = 48  # letters from which on a chunk is merged by a heap on its own
 NONE = np.int32(2**31 - 1)
 
 
+def chunk_pattern(pieces: list[str]) -> re.Pattern:
+    """Blanks and the letters, or the other characters, after them. Letters that some piece holds beside another character count as other; if pieces mix both all the same, chunks end at blanks only."""
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:]) if BLANK not in (a, b)}
+    odd = ""
+    while True:
+        letter = re.compile(f"[^\\W\\d_{odd}]")
+        mixed = {c for a, b in pairs if bool(letter.match(a)) != bool(letter.match(b)) for c in (a, b) if letter.match(c)}
+        if not mixed:
+            return re.compile(f"{BLANK}*[^\\W\\d_{odd}]+|{BLANK}*(?:(?!{BLANK})[\\W\\d_{odd}])+|{BLANK}+")
+        odd += "".join(re.escape(c) for c in sorted(mixed))
+        if len(odd) > 100:
+            return re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+
+
 class Vocabulary:
     """Pieces that match text, in the order of their merges, and what each id decodes to."""
 
@@ -45,7 +62,7 @@ class Vocabulary:
         self.id_of_rank = np.array(order, np.int32)
         self.texts = [pieces[i].encode() for i in order]
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
-        self.unknown = model.unk_id()
+        self.chunk = chunk_pattern([pieces[i] for i in plain])
         self.decoded = [pieces[i].replace(BLANK, " ").encode() if self.rank[i] != NONE else bytes([int(pieces[i][3:5], 16)]) if model.is_byte(i) else b"" for i in range(n)]
 
 
@@ -208,20 +225,23 @@ def encode_chunks(chunks: list[str], vocab: Vocabulary) -> list[bytes]:
 
 
 class Coder:
-    """Encodes and decodes texts; chunks are remembered up to a bound."""
+    """Encodes and decodes texts; chunks are remembered up to a bound, and those of the bound before it as long as they are used."""
 
-    def __init__(self, path: str, most: int = 150_000):
-        self.vocab, self.known, self.most = vocabulary(path), {}, most
+    def __init__(self, path: str, most: int = 100_000):
+        self.vocab, self.known, self.before, self.most = vocabulary(path), {}, {}, most
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[c for c in CHUNK.findall((BLANK + t).replace(" ", BLANK)) if c] if t else [] for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list({c for chunks in cut for c in chunks})
-        if new:
+        cut = [self.vocab.chunk.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
+        needed = set(chain.from_iterable(cut))
+        if len(self.known) + len(needed - self.known.keys()) > self.most:
+            self.known, self.before = {}, self.known
+        missing = needed - self.known.keys()
+        again = missing & self.before.keys()
+        self.known.update((c, self.before[c]) for c in again)
+        if new := list(missing - again):
             self.known.update(zip(new, encode_chunks(new, self.vocab)))
-        return [np.frombuffer(b"".join([self.known[c] for c in chunks]), np.uint32) for chunks in cut]
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, chunks)), np.uint32) for chunks in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.vocab.decoded
@@ -239,19 +259,17 @@ def code_documents(docs: DataFrame, model: str, with_ids: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model)
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = coder.encode(texts)
-                back = [coder.decode(x) for x in ids]
-                cols = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == z for a, z in zip(texts, back)])]
-                names = ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "exact"]
-                if with_ids:
-                    cols.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for b in small_batches(batches, 4 << 20):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            ids = coder.encode(texts)
+            back = [coder.decode(x) for x in ids]
+            cols = [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == z for a, z in zip(texts, back)])]
+            names = ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "exact"]
+            if with_ids:
+                cols.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int64())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean" + (", ids array<long>" if with_ids else "")
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
