@@ -45,8 +45,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
-#: Texts with other letters, or with what may be a special token, go to the tokenizer file's own library.
-UNUSUAL = re.compile("[^\\x00-\u024f]|<\\|")
+#: Texts with other letters, with what may be a special token, or with runs that the faster coder's pattern cannot walk, go to the tokenizer file's own library.
+UNUSUAL = re.compile("[^\\x00-\u024f]|<\\||\\s{400}|\\S{4000}")
 
 
 def encode(path: str, texts: list[str]) -> list[np.ndarray]:
