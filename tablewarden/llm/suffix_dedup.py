@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, prefix_hash, range_hash, slices, small_batches, stored, tasks, utf8
+from .common import U64, fresh_names, mix, parts_of, prefix_hash, range_hash, slices, small_batches, stored, utf8
 
-PLACE_BITS = 28  # positions inside a slice of texts; a single text has to be shorter than 256 MB
+PLACE_BITS = 36  # positions inside a slice of texts; equal hashes above them go to the first
 SLICE = 1 << 19
 RESULT = "doc_id long, whole boolean, key long"
 
@@ -172,9 +172,9 @@ def _settle(rows: pd.DataFrame, find_open: bool) -> pd.DataFrame:
     return out
 
 
-def _results(docs: DataFrame, mapper, find_open: bool) -> DataFrame:
-    """Deal the mapper's payload to buckets and settle each."""
-    dealt = docs.mapInArrow(mapper, PAYLOAD).repartition(tasks(docs.sparkSession), "bucket")
+def _results(docs: DataFrame, mapper, find_open: bool, buckets: int) -> DataFrame:
+    """Deal the mapper's payload to buckets, four to a partition, and settle each."""
+    dealt = docs.mapInArrow(mapper, PAYLOAD).repartition(max(1, buckets // 4), "bucket")
     return stored(dealt.groupBy("bucket").applyInPandas(lambda rows: _settle(rows, find_open), RESULT))
 
 
@@ -208,7 +208,7 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def repeated(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
     """(runs, suffixes): documents' run keys, whole (a smaller doc_id has the run) or open, and keys of single suffixes that a smaller doc_id has."""
-    buckets = max(tasks(docs.sparkSession), 8)
+    buckets = 4 * parts_of(docs)
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, b in enumerate(small_batches(batches)):
@@ -237,45 +237,46 @@ def repeated(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
                     yield _record_batch(out)
 
     named = docs.where(F.col("doc_id").isNotNull())
-    by_run = _results(named.select("doc_id", "text"), deal_runs, True)
+    by_run = _results(named.select("doc_id", "text"), deal_runs, True, buckets)
     opened = by_run.where("not whole").groupBy("doc_id").agg(F.collect_list("key").alias("open_runs"))
-    return by_run, _results(named.join(opened, "doc_id").select("doc_id", "text", "open_runs"), deal_suffixes, False)
+    return by_run, _results(named.join(opened, "doc_id").select("doc_id", "text", "open_runs"), deal_suffixes, False, buckets)
 
 
-def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, report: bool = True) -> DataFrame:
     """Remove every byte covered by a `length`-byte string (of the UTF-8 text) that also starts in a document with a smaller doc_id.
 
     All columns of docs come back with n_bytes, n_removed, n_spans, kept_sha256 (columns of
-    these names are replaced); with keep_text, text is what remains (bytes of a letter cut
-    in two are dropped). Null texts are empty (and stay null); rows with a null doc_id lose
+    these names are replaced; without report, the columns are those of docs alone); with
+    keep_text, text is what remains (bytes of a letter cut in two are dropped). Null texts are empty (and stay null); rows with a null doc_id lose
     nothing and take nothing from others; rows of one doc_id do not count as earlier for
     each other. An empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
+    names = [c for c in docs.columns if not report or c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     rows = docs.select(*names)
     core = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = fresh_names(rows, 4)
     by_run, by_suffix = repeated(core, length)
     keys = by_run.withColumn("of", F.when(F.col("whole"), 0).otherwise(1)).select("doc_id", "of", "key").unionByName(by_suffix.select("doc_id", F.lit(2).alias("of"), "key"))
-    keys = keys.groupBy(F.col("doc_id").alias("_id")).agg(*(F.collect_list(F.when(F.col("of") == i, F.col("key"))).alias(f"_set{i}") for i in range(3)))
-    joined = rows.join(keys, rows["doc_id"].cast("long") == keys["_id"], "left").drop("_id")
-    extra = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
+    keys = keys.groupBy(F.col("doc_id").alias(own[3])).agg(*(F.collect_list(F.when(F.col("of") == i, F.col("key"))).alias(own[i]) for i in range(3)))
+    joined = rows.join(keys, rows["doc_id"].cast("long") == keys[own[3]], "left").drop(own[3])
+    extra = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")] if report else []
     schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, *extra])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             data, offsets = utf8(b.column("text").cast(pa.string()))
-            sets = [_lists(b.column(f"_set{i}")) for i in range(3)]
+            sets = [_lists(b.column(own[i])) for i in range(3)]
             removed, spans, digests, kept_texts = [], [], [], []
             for i, j in slices(offsets, SLICE):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                own = [(k[(r >= i) & (r < j)], r[(r >= i) & (r < j)] - i) for k, r in sets]
+                mine = [(k[(r >= i) & (r < j)], r[(r >= i) & (r < j)] - i) for k, r in sets]
                 gone = np.zeros(len(part) + 1, np.int32)
-                if any(len(k) for k, _ in own):
+                if any(len(k) for k, _ in mine):
                     r = runs(part, off, length)
-                    whole = _member(r["row"], r["key"], own[0][1], own[0][0])
-                    opened = _member(r["row"], r["key"], own[1][1], own[1][0]) & ~whole
+                    whole = _member(r["row"], r["key"], mine[0][1], mine[0][0])
+                    opened = _member(r["row"], r["key"], mine[1][1], mine[1][0]) & ~whole
                     at, run = _spread(r["first"][opened], r["last"][opened])
-                    single = at[_member(r["row"][opened][run], range_hash(r["sums"], r["inverse"], at, at + length), own[2][1], own[2][0])]
+                    single = at[_member(r["row"][opened][run], range_hash(r["sums"], r["inverse"], at, at + length), mine[2][1], mine[2][0])]
                     np.add.at(gone, np.concatenate([r["first"][whole], single]), 1)
                     np.add.at(gone, np.concatenate([r["last"][whole], single]) + length, -1)
                 gone = np.cumsum(gone[:-1]) > 0
@@ -291,7 +292,8 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFra
             if keep_text:
                 missing = b.column("text").is_null().to_pylist()
                 cols["text"] = pa.array([None if m else t for m, t in zip(missing, kept_texts)], pa.string())
-            cols |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            if report:
+                cols |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return joined.mapInArrow(strip, schema)
