@@ -63,13 +63,13 @@ class Grams:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """At most max_rows labelled documents, those first by a hash of doc_id; rows without a usable label and ids with contrary labels teach nothing."""
+    """At most max_rows labelled documents, those first by a hash of doc_id; rows without a usable label and ids with contrary labels teach nothing. Of several texts of one doc_id the least by hash teaches."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     # thinned by the same hash first, with a third to spare, so that the last sort is as small as the sample
     share = min(1.0, 1.3 * settings.max_rows / max(1, usable.count()))
     usable = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 33) < int(share * 2**31))
     chosen = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 33), "doc_id").limit(settings.max_rows)
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
 
 
 def log_count_ratios(counts: np.ndarray, rows: np.ndarray, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             at = [shared.value[np.frombuffer(x, np.int32)] for x in b.column("grams").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([np.sort(x[x >= 0]).astype(np.int16).tobytes() for x in at], pa.binary())], ["toxic", "kept"])
 
-    sample = found.mapInArrow(select, "toxic int, kept binary").orderBy("toxic", "kept").toPandas()  # at most max_rows rows of max_features
+    sample = found.mapInArrow(select, "toxic int, kept binary").toPandas().sort_values(["toxic", "kept"])  # at most max_rows rows of max_features
     weight, bias = logistic([np.frombuffer(x, np.int16).astype(np.int64) for x in sample["kept"]], sample["toxic"].to_numpy(np.float64), ratio[kept], base, settings)
     return Model(settings, slot, weight, bias)
 
@@ -142,8 +142,8 @@ def logistic(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, bias:
     return ratio * x[:-1], float(x[-1])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted; only the text column decides. Null text: as empty. Columns of these names are replaced."""
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1) and predicted under the given names; only the text column decides. Null text: as empty. Columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             total = np.array([m.weight[np.sort(x[x >= 0])].sum() + m.bias for x in at])
             yield pd.Series(1 / (1 + np.exp(-np.clip(total, -50, 50))), dtype="float64")
 
-    return docs.withColumn("score", toxic(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= model.settings.threshold).cast("int"))
+    return docs.withColumn(names[0], toxic(F.col("text").cast("string"))).withColumn(names[1], (F.col(names[0]) >= model.settings.threshold).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id"):
