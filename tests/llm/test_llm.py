@@ -103,6 +103,33 @@ def test_jaccard_components(spark, docs):
     assert got == want
 
 
+def test_jaccard_components_of_copies_far_from_each_other(spark):
+    """Copies of one original with many changes, linked through it alone, beside outliers linked with nobody."""
+    rng = np.random.default_rng(12)
+    base = prose(150, 60).split()
+
+    def changed(many):
+        out = list(base)
+        for k in rng.choice(len(base), many, replace=False):
+            out[k] = VOCAB[int(rng.integers(0, 12))] + "q"
+        return " ".join(out)
+
+    rows = [(i, changed(int(n))) for i, n in enumerate(rng.integers(1, 9, 160))] + [(500, " ".join(base)), (501, " ".join(base[:130])), (502, " ".join(base[10:] + prose(12, 61).split()))]
+    sets, parent = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: least[find(k)] for k, (i, _) in enumerate(rows)} and 10 < len(set(got.values())) < 150
+
+
 def test_suffix_dedup(docs):
     got, seen = by_id(suffix_dedup.dedup(docs, keep_text=True)), set()
     for i, t in enumerate(TEXTS):
@@ -122,6 +149,14 @@ def test_suffix_dedup(docs):
         assert r["text"] == (None if t is None else kept.decode("utf-8", "ignore")) and r["key"] == "clash"
 
 
+def test_suffix_dedup_beside_clashing_columns(spark):
+    shared = prose(40, 77)
+    table = spark.createDataFrame([(1, shared, "a", 5), (2, "x " + shared, "b", 6)], "doc_id long, text string, _id string, n_bytes int").selectExpr("*", "1 as _own0", "2 as _set1", "3 as _OWN1")
+    assert sorted(r["n_removed"] > 0 for r in suffix_dedup.dedup(table).collect()) == [False, True]
+    plain = suffix_dedup.dedup(table, keep_text=True, report=False)
+    assert plain.columns == table.columns and {(r["_id"], r["n_bytes"], r["_OWN1"]) for r in plain.collect()} == {("a", 5, 3), ("b", 6, 3)}
+
+
 def test_levels_merge_geometrically():
     family, owner = suffix_dedup.Levels(), {}
     for turn in range(40):
@@ -151,6 +186,19 @@ def test_packing(docs):
         assert (bin_.length.cumsum() - bin_.length == bin_.offset).all() and bin_.length.sum() <= 1024
 
 
+def test_ids_are_those_of_the_tokenizers_library():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = token_file("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "ab" * 300_000, "!" * 3999, "1" * 3999, " " * 399 + "x", "\t \n" * 133, "don't I'LL we've", "<|endoftext|> x"]
+    for i in range(0, len(texts), 500):
+        want = model.encode_batch(texts[i : i + 500], add_special_tokens=False)
+        assert all(got.tolist() == w.ids for got, w in zip(packing.encode(path, texts[i : i + 500]), want)), i
+
+
 def test_fullest_bin_and_patterns():
     for _ in range(60):
         counts = {int(k): int(RNG.integers(1, 4)) for k in RNG.integers(1, 40, 4)}
@@ -180,6 +228,8 @@ def test_toxicity_learns_and_ignores_held_out(spark):
     flipped = labels.withColumn("toxic", (1 - labels["toxic"]).cast("int")).where(toxicity.held_out()).union(labels.where(~toxicity.held_out()))
     again = toxicity.toxicity(table.withColumnRenamed("toxic", "score"), flipped).toPandas()
     assert sorted(map(str, again.values.tolist())) == sorted(map(str, out.values.tolist()))
+    copies = table.select("doc_id", "text").unionByName(table.where("doc_id < 30").selectExpr("doc_id", "concat(text, ' again') as text"))
+    assert toxicity.labelled_sample(copies, labels, toxicity.Settings(max_rows=20)).count() <= 20
     alone = toxicity.toxicity(table.select("doc_id", "text"), labels.where("false")).toPandas()
     assert (alone.score == 0.5).all()
 
@@ -187,7 +237,7 @@ def test_toxicity_learns_and_ignores_held_out(spark):
 def test_recurrent_lm(spark):
     rows = [(i, " ".join((["the", "cat", "sat", "on"] if i % 2 else ["le", "chat", "est", "la"]) * 30) + (f" rare{i}" if i % 5 == 0 else "")) for i in range(300)]
     table = spark.createDataFrame([*rows, (400, None), (401, ""), (401, ""), (None, "the cat")], "doc_id long, text string").repartition(4)
-    out = recurrent_lm.score_documents(table, recurrent_lm.Settings(head=64, members=16, tails=8, train_parts=128)).toPandas()
+    out = recurrent_lm.score_documents(table, recurrent_lm.Settings(head=64, members=16, tails=8)).toPandas()
     texts = [(r["doc_id"], words(r["text"])) for r in table.collect()]
     train = Counter(w for i, ws in texts if i is None or zlib.crc32(str(i).encode()) % 10 for w in [*ws, None])
     total = sum(train.values())
@@ -211,27 +261,30 @@ def test_recurrent_lm_learns_from_every_training_document(spark):
         assert any((learned[k] != fresh[k]).any() for k in fresh)
 
 
-def test_recurrent_lm_is_a_distribution_and_learns_by_true_gradients():
-    s = recurrent_lm.Settings(head=6, members=4, tails=2, hidden=5, lanes=3, window=7)
+def small_network(seed=0):
+    s = recurrent_lm.Settings(head=6, members=4, tails=2, hidden=5, window=7)
     lex = recurrent_lm.Lexicon([(f"w{i}".encode(), 9 - i) for i in range(6)], 5, 60, 12, {0: (3, 2), 1: (4, 3), 2: (48, 7)}, s)
-    net = recurrent_lm.Network(lex)
-    rng = np.random.default_rng(0)
+    net, rng = recurrent_lm.Network(lex), np.random.default_rng(seed)
     net.w = {k: x.astype(np.float64) + (rng.standard_normal(x.shape) * 0.3 if k != "member_bias" else 0) for k, x in net.w.items()}
+    return net, rng
+
+
+def test_recurrent_lm_is_a_distribution_and_learns_by_true_gradients():
+    net, rng = small_network()
     states = rng.standard_normal((1, 5))
     every = np.array([*range(7), -1, -2])
     assert np.exp(net.log_probs(np.repeat(states, 9, 0), every)).sum() == pytest.approx(1.0)
-    ids = rng.integers(-2, 7, (4, 3))
-    given = np.concatenate([np.zeros((1, 3), int), ids[:-1]])
+    ids, first, zero = rng.integers(-2, 7, (4, 3)), np.ones(3, bool), np.zeros(5)
 
     def loss():
-        st, _ = net.forward(given, np.zeros((3, 5)))
-        return -net.log_probs(st[1:].reshape(-1, 5), ids.ravel()).sum()
+        st, _, _ = net.forward(ids, first, zero)
+        return -net.log_probs(st.reshape(-1, 5), ids.ravel()).sum()
 
-    st, kept = net.forward(given, np.zeros((3, 5)))
-    _, grad, part = net.log_probs(st[1:].reshape(-1, 5), ids.ravel(), True)
-    net.backward(given, kept, np.concatenate([np.zeros((1, 3, 5)), part.reshape(4, 3, 5)]), grad)
+    st, f, _ = net.forward(ids, first, zero)
+    _, grad, part = net.log_probs(st.reshape(-1, 5), ids.ravel(), True)
+    net.backward(ids, st, f, part.reshape(4, 3, 5).copy(), grad)
     for name, x in net.w.items():
-        for _ in range(4):
+        for _ in range(6):
             at = tuple(int(rng.integers(0, n)) for n in x.shape)
             if name == "member_bias" and x[at] < -1e6:
                 continue
@@ -244,6 +297,39 @@ def test_recurrent_lm_is_a_distribution_and_learns_by_true_gradients():
             assert grad[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-5), name
 
 
+def test_recurrent_lm_scores_as_a_plain_loop_over_each_document():
+    net, rng = small_network(1)
+    keep = 1 / (1 + np.exp(-net.w["gate"]))
+    texts = [rng.integers(-2, 7, n) for n in (1, 40, 7, 8, 300, 3, 14, 1)]
+    got = net.frozen().scores(np.concatenate(texts), np.array([len(x) for x in texts]))
+    for x, score in zip(texts, got):
+        state, total = np.zeros(5), 0.0
+        for i in x.tolist():
+            logits = state @ net.w["classes"] + net.w["class_bias"]
+            total += logits[i // 4 if i >= 0 else net.lexicon.heads - 1 - i] - np.log(np.exp(logits).sum())
+            if i >= 0:
+                inner = state @ net.w["members"][i // 4] + net.w["member_bias"][i // 4]
+                total += inner[i % 4] - np.log(np.exp(inner).sum())
+            row = i if i >= 0 else 6 - i
+            state = keep[row] * state + (1 - keep[row]) * net.w["candidate"][row]
+        assert score == pytest.approx(total)
+
+
+def test_recurrent_lm_does_not_depend_on_the_partitions(spark):
+    rows = [(i, prose(5 + i % 60, 2000 + i)) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    s = recurrent_lm.Settings(head=64, members=16, tails=8, shard_bytes=4000)
+    one, two = (recurrent_lm.score_documents(table.repartition(n), s).toPandas().sort_values("doc_id").score.tolist() for n in (1, 5))
+    assert one == pytest.approx(two, rel=1e-6)
+
+
+def test_recurrent_lm_with_more_equally_frequent_words_than_are_kept(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(40 * i, 40 * i + 40))) for i in range(50)]
+    counts = recurrent_lm.word_counts(spark.createDataFrame(rows, "doc_id long, text string").select("text"))
+    lexicon = recurrent_lm.lexicon_of(counts, 50, recurrent_lm.Settings(frequent=500, head=64, members=16))
+    assert 350 < len(lexicon.ids) < 650 and lexicon.total == 2050 and lexicon.distinct == 2001
+
+
 def test_pieces_as_the_library(docs):
     import sentencepiece
 
@@ -353,6 +439,7 @@ def test_archive(spark):
     kinds = {k: (r["record_type"], r["refers_to"]) for (k, _), r in out.items()}
     assert kinds == {3: ("revisit", 1), 1: ("response", None), 2: ("response", None), 7: ("revisit", 2), 5: ("response", None), None: ("response", None)}
     records = warc.read_records(spark, path).collect()
+    assert len({r["record_id"] for r in records}) == 7 and all(b"\r\nWARC-Date: 20" in bytes(r["header"]) for r in records)
     assert len(records) == 7 and all(bytes(r["record"]).startswith(b"WARC/1.1\r\n") and bytes(r["record"]).endswith(b"\r\n\r\n") for r in records)
     assert {bytes(r["payload"]).decode() for r in records} == {h or "" for _, _, h, _ in rows}
     assert spark.read.parquet(f"{path}/payloads").count() == 4
@@ -376,6 +463,20 @@ def test_pipeline(spark, tmp_path):
     assert left["best_fit_packing"] == left["suffix_array_dedup"] == left["ngram_jaccard_join"]
 
 
+def test_pipeline_stages_on_empty_tables_and_beside_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    shared = prose(80, 88)
+    rows = [(1, shared, 0.5, 7, "g"), (2, prose(60, 89) + " " + shared, 0.25, 8, "h"), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, n_bytes int, component_id string").selectExpr("*", "'r' as _own0", "1 as predicted", "'k' as kind")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {(r["doc_id"], r["score"], r["n_bytes"], r["component_id"], r["_own0"], r["predicted"], r["kind"]) for r in out.collect()} == {(i, x, n, c, "r", 1, "k") for i, _, x, n, c in rows}, name
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def test_pipeline_keeps_rows_of_null_and_repeated_doc_ids(spark):
     import corpus_pipeline
 
