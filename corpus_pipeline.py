@@ -10,35 +10,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm import jaccard_join, packing, queries, suffix_dedup, toxicity
-from tablewarden.llm.common import stored
+from tablewarden.llm.common import fresh_names, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels outside the held-out quarter, does not reject."""
+    """Documents that the classifier, learned from the labels outside the held-out quarter, does not reject.
+
+    Null and empty texts are scored as empty ones. Repeated rows are judged each, alike. Columns
+    of docs named score or predicted are neither read nor changed. No rows give no rows.
+    """
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels").where(~toxicity.held_out()))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    names = tuple(fresh_names(docs, 2))
+    return toxicity.score(docs, model, names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by shingle similarity the row with the smallest doc_id (null last). Rows without shingles stay; repeats of one doc_id among them count once."""
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "_row")
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    # rows are linked under ids of their own, as doc_id can be null or stand for different texts
-    groups = jaccard_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
-    kind = F.when(F.col("n_shingles") > 0, 0).when(F.col("doc_id").isNotNull(), 1).otherwise(2).alias("kind")
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull())).otherwise(F.col("_row")).alias("group")
-    kept = rows.join(groups, "_row").groupBy(kind, group).agg(F.min_by("_row", order).alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """Of every group linked by shingle similarity the row with the smallest doc_id (null last; ties: by hash of the row).
+
+    Rows are linked under ids of their own, so rows of different texts stay apart whatever their
+    doc_id, null or repeated. Texts without shingles (null, empty, blank) are linked with nothing
+    and stay; only repeats of one doc_id with such a text count once. No rows give no rows.
+    """
+    row, = fresh_names(docs, 1)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), row)
+    groups = jaccard_join.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(f"{row}_g"), F.col("n_shingles").alias(f"{row}_n"), F.col("component_id").alias(f"{row}_c"))
+    shingled = F.col(f"{row}_n") > 0
+    kind = F.when(shingled, 0).when(F.col("doc_id").isNotNull(), 1).otherwise(2).alias("kind")
+    group = F.when(shingled, F.col(f"{row}_c")).when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull())).otherwise(F.col(row)).alias("group")
+    kept = rows.join(groups, rows[row] == F.col(f"{row}_g")).groupBy(kind, group).agg(F.min_by(row, order).alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that a document with a smaller doc_id holds; n_chars follows."""
-    cut = suffix_dedup.dedup(docs, keep_text=True)
-    return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    """Texts without the byte strings that a document with a smaller doc_id holds; n_chars, where there is one, follows.
+
+    Null texts stay null, a text that is cut away whole becomes empty. Rows of a null doc_id lose
+    nothing, rows of one doc_id are not earlier than each other. No rows give no rows.
+    """
+    cut = suffix_dedup.dedup(docs, keep_text=True, report=False)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return cut.select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left in token sequences; one row per piece."""
+    """What is left in token sequences; one row per piece. Null and empty texts are one piece of the end id, repeated rows are packed each, no rows give no rows."""
     return packing.pack(docs, queries.token_file("byte_bpe_50k.json"))
 
 
