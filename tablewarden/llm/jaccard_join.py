@@ -172,13 +172,13 @@ def set_table(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """cls, pivot, d and linked of the pairs (cls, n, pivot, pivot_n) that are at most 2 (1 - t) apart; pairs of too unlike sizes are not measured."""
+    """cls, pivot, common, d and linked of the pairs (cls, n, pivot, pivot_n) that are at most 2 (1 - t) apart; pairs of too unlike sizes are not measured."""
     wide = max(0, 2 * percent - 100)
     near = pairs.where(f"100 * least(n, pivot_n) >= {wide} * greatest(n, pivot_n)")
     a, b = sets.select("cls", F.col("shingles").alias("x")), sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("y"))
     both = near.join(b, "pivot").join(a, "cls").select("cls", "pivot", "n", "pivot_n", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
     exact = both.withColumn("union", F.expr("n + pivot_n - common")).where(f"100 * common >= {wide} * union")
-    return exact.selectExpr("cls", "pivot", "1 - common / union as d", f"100 * common >= {percent} * union as linked")
+    return exact.selectExpr("cls", "pivot", "common", "1 - common / union as d", f"100 * common >= {percent} * union as linked")
 
 
 def drawn(rows: DataFrame, region: str, many: int) -> DataFrame:
@@ -208,8 +208,8 @@ def cells(regions: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 def boundary_links(labels: DataFrame, met: DataFrame, homes: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """labels (node, label) after the links between cells and boundary sets of other components."""
     radius = 1 - percent / 100 + 1e-9
-    core = homes.join(met.select("cls", "pivot", "d"), ["cls", "pivot"]).join(sizes, "cls")
-    edge = met.where("not linked").select(F.col("pivot").alias("cell"), "cls", "d").join(sizes, "cls")
+    core = homes.join(met.select("cls", "pivot", "common", "d"), ["cls", "pivot"]).join(sizes, "cls")
+    edge = met.where("not linked").select(F.col("pivot").alias("cell"), "cls", "common", "d").join(sizes, "cls")
     many = 1
     while True:
         of_cls, of_cell = labels.select(F.col("node").alias("cls"), F.col("label").alias("own")), labels.select(F.col("node").alias("cell"), F.col("label").alias("main"))
@@ -218,10 +218,12 @@ def boundary_links(labels: DataFrame, met: DataFrame, homes: DataFrame, sizes: D
         edge = stored(apart)
         if edge.isEmpty():
             return labels
-        pivots = drawn(edge, "cell", many).join(edge.select("cell", F.col("cls").alias("pivot"), F.col("d").alias("pivot_d"), F.col("most").alias("pivot_most")), ["cell", "pivot"])
+        pivots = drawn(edge, "cell", many).join(edge.select("cell", F.col("cls").alias("pivot"), F.col("d").alias("pivot_d"), F.col("most").alias("pivot_most"), F.col("common").alias("pivot_common")), ["cell", "pivot"])
         pivots = stored(pivots)
-        possible = f"cls <> pivot and abs(d - pivot_d) <= {radius} and {100 + percent} * least(most, pivot_most) >= {percent} * (n + pivot_n)"
-        window = core.select(F.col("pivot").alias("cell"), "cls", "n", "most", "d").join(pivots, "cell").where(possible)
+        # what two sets share lies in the centre's set, or among the shared shingles outside it
+        both = "least(common, pivot_common) + least(most - common, pivot_most - pivot_common)"
+        possible = f"cls <> pivot and abs(d - pivot_d) <= {radius} and {100 + percent} * ({both}) >= {percent} * (n + pivot_n)"
+        window = core.select(F.col("pivot").alias("cell"), "cls", "n", "most", "common", "d").join(pivots, "cell").where(possible)
         found = measured(window.select("cls", "n", "pivot", "pivot_n").distinct(), sets, percent).where("linked")
         labels = merged(labels, found.select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
         edge, many = edge.join(pivots.select("cell", F.col("pivot").alias("cls")), ["cell", "cls"], "left_anti"), many * GROWTH
