@@ -13,13 +13,21 @@ PII_TOKENS = ["name", "dni", "ssn", "nif", "tax", "mail", "mobile", "zip", "ip",
 #: Letters with marks and their plain forms.
 MARKED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy"
 TEAM_WORDS = ["team", "group", "department", "area", "unit", "equipo", "grupo", "departamento", "equipe", "office"]
-SENIORITY = [(5, ["chief", "president", "ceo", "cfo", "cto"]), (4, ["director", "head"]), (3, ["manager", "lead", "gerente"]), (2, ["senior", "specialist", "coordinator"])]
+SENIORITY = [(5, ["chief", "president", r"\bceo\b", r"\bcfo\b", r"\bcto\b"]), (4, ["director", "head"]), (3, ["manager", "lead", "gerente"]), (2, ["senior", "specialist", "coordinator"])]
+
+
+#: A token ends before a separator, at the end, or where a capital follows a small letter or digit.
+TOKEN = r"[^\s_.\-]+?(?=[\s_.\-]|$|(?<=[a-z0-9])(?=[A-Z]))"
+
+
+def words_of_name(name: Column) -> Column:
+    """Lower-case parts of snake, kebab, dotted or camel case."""
+    return F.transform(F.regexp_extract_all(name, F.lit(TOKEN), 0), F.lower)
 
 
 def tokens(name: Column) -> Column:
-    """Lower-case parts of snake, kebab, dotted or camel case, trailing digits off."""
-    parts = F.split(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"[\s_\-.]+")
-    return F.transform(parts, lambda t: F.regexp_replace(F.lower(t), r"\d+$", ""))
+    """words_of_name without trailing digits."""
+    return F.transform(words_of_name(name), lambda t: F.rtrim(t, F.lit("0123456789")))
 
 
 def pii_name(name: Column, parts: list[str] = PII_PARTS, whole: list[str] = PII_TOKENS) -> Column:
@@ -61,7 +69,7 @@ def localized(texts: Column, lang: str, default: str = "es") -> Column:
 def expand_abbreviations(name: Column, table: dict[str, str]) -> tuple[Column, Column]:
     """(words with known abbreviations written out, whether any was)."""
     entries = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-    parts = F.transform(F.split(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"[\s_\-.]+"), lambda t: F.lower(t))
+    parts = words_of_name(name)
     words = F.transform(parts, lambda t: F.coalesce(F.element_at(entries, t), t))
     return F.array_join(words, " "), F.exists(parts, lambda t: F.map_contains_key(entries, t))
 
@@ -81,19 +89,32 @@ def formula_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
 
 
+#: Libraries of the query language itself: their calls name no source.
+M_LIBRARIES = ["binary", "combiner", "comparer", "date", "datetime", "datetimezone", "duration", "error", "expression", "function", "lines", "list", "logical", "number", "record", "replacer", "splitter", "table", "text", "time", "type", "uri", "value"]
+
+
 def source_label(query: Column) -> Column:
-    """server/db of a database call, else the connector's name, else null."""
-    both = F.regexp_extract(query, r'(?i)sql\.databases?\s*\(\s*"([^"]+)"\s*,\s*"([^"]+)"', 1)
-    db = F.regexp_extract(query, r'(?i)sql\.databases?\s*\(\s*"([^"]+)"\s*,\s*"([^"]+)"', 2)
-    server = F.regexp_extract(query, r'(?i)sql\.databases?\s*\(\s*"([^"]+)"', 1)
-    native = F.regexp_extract(query, r"(?i)(value\.nativequery)", 1)
-    other = F.regexp_extract(query, r"(?i)\b([a-z]+)\.(?:contents|files|workbook|document|database|feed)\b", 1)
-    return F.when(both != "", F.concat(both, F.lit("/"), db)).when(server != "", server).when(native != "", "native query").when(other != "", other)
+    """server/db of a database call, else native query, else the connector's name, else null.
+
+    The query is read as calls, Family.Function( with the quoted arguments that follow at
+    once; the first call of a family that is no library of the language names the connector.
+    """
+    call = r'([A-Za-z]+)\.([A-Za-z]+)\s*\(((?:\s*"[^"]*"\s*,?)*)'
+    calls = F.transform(F.regexp_extract_all(query, F.lit(call), 0), lambda c: F.struct(
+        F.regexp_extract(c, call, 1).alias("family"), F.lower(F.regexp_extract(c, call, 2)).alias("function"), F.regexp_extract_all(F.regexp_extract(c, call, 3), F.lit('"([^"]+)"'), 1).alias("args")))
+    low = lambda c: F.lower(c["family"])
+    first = lambda found: F.get(found, F.lit(0))
+    base = first(F.filter(calls, lambda c: (low(c) == "sql") & c["function"].startswith("database") & (F.size(c["args"]) > 0)))
+    native = F.exists(calls, lambda c: (low(c) == "value") & (c["function"] == "nativequery"))
+    connector = first(F.filter(calls, lambda c: ~low(c).isin(*M_LIBRARIES)))["family"]
+    return F.when(base.isNotNull(), F.array_join(F.slice(base["args"], 1, 2), "/")).when(native, "native query").otherwise(connector)
 
 
 def masked_email(c: Column) -> Column:
-    """The first letter and the domain of an address."""
-    return F.regexp_replace(c.cast("string"), r"^(.)[^@]*(@.*)$", "$1***$2")
+    """The first letter and the domain of an address; of anything else nothing. Null stays null."""
+    text = c.cast("string")
+    masked = F.when(text.rlike(r"^[^@\s]+@[^@\s]+$"), F.regexp_replace(text, r"^(.)[^@]*(@.*)$", "$1***$2")).otherwise("***")
+    return F.when(c.isNotNull(), masked)
 
 
 def brief(c: Column, most: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import formula_key, pii_name, source_label
-from .rules import RESULT_COLUMNS, graded
+from .rules import RESULT_COLUMNS
 
 #: Fixed schemas of the two services' metadata.
 TENANT = """workspaces array<struct<name:string,
@@ -60,13 +60,38 @@ def tenant_tables(scan: DataFrame) -> dict[str, DataFrame]:
 
 
 def site_tables(site: DataFrame) -> dict[str, DataFrame]:
-    """datasources (once by name, links to all workbooks kept), fields, links and sources of a site."""
-    w = site.select(F.explode("data.workbooks").alias("w")).select(F.col("w.name").alias("workbook"), F.explode("w.upstreamDatasources").alias("d"))
-    links = w.select("workbook", F.col("d.name").alias("model")).distinct()
-    once = w.groupBy(F.col("d.name").alias("model")).agg(F.min_by("d", "workbook").alias("d"))
-    fields = once.select("model", F.explode("d.fields").alias("f")).select("model", F.col("f.name").alias("field"), F.col("f.description").alias("description"), F.col("f.formula").alias("formula"))
-    sources = once.select("model", F.explode("d.upstreamTables").alias("t")).select("model", F.concat_ws(".", "t.database.name", "t.schema", "t.name").alias("source"), F.col("t.database.connectionType").alias("connection"))
-    return {"datasources": once.select("model"), "fields": fields, "links": links, "sources": sources}
+    """workbooks, datasources (once by name), fields, links of workbooks to datasources, and sources of sites (column site; Tableau where there is none)."""
+    named = site if "site" in site.columns else site.withColumn("site", F.lit("Tableau"))
+    w = named.select("site", F.explode("data.workbooks").alias("w")).select("site", F.col("w.name").alias("workbook"), F.col("w.upstreamDatasources").alias("ds"))
+    each = w.select("site", "workbook", F.explode("ds").alias("d"))
+    once = each.groupBy("site", F.col("d.name").alias("model")).agg(F.min_by("d", "workbook").alias("d"))
+    fields = once.select("site", "model", F.explode("d.fields").alias("f")).select("site", "model", F.col("f.name").alias("field"), F.coalesce("f.description", F.lit("")).alias("description"), F.coalesce("f.formula", F.lit("")).alias("formula"))
+    table = F.concat_ws(".", F.nullif(F.col("t.schema"), F.lit("")), F.nullif(F.col("t.name"), F.lit("")))
+    kind = F.col("t.database.connectionType")
+    sources = once.select("site", "model", F.explode("d.upstreamTables").alias("t")).select("site", "model", F.when(F.coalesce(kind, F.lit("")) != "", F.concat(table, F.lit(" ("), kind, F.lit(")"))).otherwise(table).alias("source"))
+    return {"workbooks": w.select("site", "workbook"), "datasources": once.select("site", "model"), "fields": fields, "links": each.select("site", F.col("d.name").alias("model"), "workbook").distinct(), "sources": sources.distinct()}
+
+
+def site_catalog(t: dict[str, DataFrame]) -> DataFrame:
+    """(dataset, site, classification, tables, columns) per datasource."""
+    f = t["fields"].groupBy("site", "model").agg(F.count("*").alias("columns"), F.max(pii_name(F.col("field"))).alias("pii"))
+    s = t["sources"].groupBy("site", "model").agg(F.count("*").alias("tables"))
+    joined = t["datasources"].join(f, ["site", "model"], "left").join(s, ["site", "model"], "left")
+    zero = F.lit(0)
+    return joined.select(F.col("model").alias("dataset"), "site", F.when(F.coalesce("pii", F.lit(False)), "PII").otherwise("internal").alias("classification"), F.coalesce("tables", zero).alias("tables"), F.coalesce("columns", zero).alias("columns"))
+
+
+def site_dictionary(t: dict[str, DataFrame]) -> DataFrame:
+    """(dataset, column, type, pii, description) per field; a calculated field is described by its formula."""
+    calculated = F.col("formula") != ""
+    return t["fields"].select(F.concat_ws(".", "site", "model").alias("dataset"), F.col("field").alias("column"), F.when(calculated, "calculated").otherwise("").alias("type"), pii_name(F.col("field")).alias("pii"), F.when(calculated, F.concat(F.lit("formula: "), "formula")).otherwise(F.col("description")).alias("description"))
+
+
+def site_terms(t: dict[str, DataFrame]) -> DataFrame:
+    """Glossary rows T001... of each site: its calculated fields, defined by their description or else their formula."""
+    rows = t["fields"].where("formula <> ''").select("site", "model", "field", F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.col("formula")).alias("text"))
+    k = rows.selectExpr("*", "row_number() over (partition by site order by model, field) as k")
+    return k.select(F.format_string("T%03d", "k").alias("term_id"), F.concat_ws(".", "site", "model").alias("dataset"), F.col("field").alias("term"), F.col("text").alias("definition"))
 
 
 def tenant_catalog(t: dict[str, DataFrame]) -> DataFrame:
@@ -101,43 +126,72 @@ def site_lineage(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def sources_text(t: dict[str, DataFrame]) -> DataFrame:
+    """(model, sources) joined by semicolons."""
     return t["sources"].groupBy("model").agg(F.array_join(F.array_sort(F.collect_set("source")), "; ").alias("sources"))
 
 
-def _duplicates(rows: DataFrame, by: str, formula: str) -> DataFrame:
-    key = formula_key(F.col(formula))
-    return rows.where(F.coalesce(F.trim(formula), F.lit("")) != "").groupBy(by, key.alias("_f")).agg(F.count("*").alias("k")).groupBy(by).agg(F.sum("k").alias("n"), F.sum(F.col("k") - 1).alias("bad"))
+#: Fixed by the contract: rule, dimension and threshold of each health rule; the warning band is 15.
+TENANT_RULES = [("PBI-01", "completeness", 80.0), ("PBI-02", "uniqueness", 90.0), ("PBI-03", "validity", 50.0), ("PBI-04", "consistency", 60.0), ("PBI-05", "validity", 85.0)]
+SITE_RULES = [("TAB-01", "completeness", 80.0), ("TAB-02", "uniqueness", 90.0), ("TAB-03", "consistency", 80.0), ("TAB-04", "validity", 70.0)]
 
 
-def _model_rule(models: DataFrame, counted: DataFrame, by: str, rule_id: str, dimension: str, threshold: float) -> DataFrame:
-    joined = models.join(counted, by, "left")
-    zero = F.lit(0).cast("bigint")
-    return joined.select(F.lit(rule_id).alias("rule_id"), F.col("model").alias("dataset"), F.lit("*").alias("column"), F.lit(dimension).alias("dimension"), F.lit(rule_id).alias("description"), F.coalesce("n", zero).alias("n"), F.coalesce("bad", zero).alias("bad"), F.lit(threshold).alias("threshold"))
+def _repeated(rows: DataFrame, by: str, formula: str) -> DataFrame:
+    """(by, repeated): formulas beyond the first of each, blanks and case aside."""
+    key = formula_key(F.coalesce(F.col(formula), F.lit("")))
+    return rows.groupBy(by, key.alias("_f")).agg(F.count("*").alias("_k")).groupBy(by).agg(F.sum(F.col("_k") - 1).alias("repeated"))
 
 
-def _share(rows: DataFrame, by: str, bad: Column) -> DataFrame:
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+def _health(wide: DataFrame, name: str, parts: dict[str, tuple[Column, Column, Column]], rules: list[tuple[str, str, float]]) -> DataFrame:
+    """One row per model and rule from (good, out of, affected); the score has one decimal and out of nothing counts as out of one."""
+    zero = F.lit(0).cast("bigint")
+    each = F.array(*(F.struct(F.lit(i).alias("rule_id"), F.lit(d).alias("dimension"), F.lit(t).alias("threshold"), F.coalesce(parts[i][0], zero).alias("good"), F.greatest(F.coalesce(parts[i][1], zero), F.lit(1)).alias("n"), F.coalesce(parts[i][2], zero).cast("bigint").alias("affected_rows")) for i, d, t in rules))
+    flat = wide.select(F.col(name).alias("dataset"), F.explode(each).alias("x")).select("dataset", "x.*").withColumn("score", F.bround(100.0 * F.col("good") / F.col("n"), 1))
+    status = F.when(F.col("score") >= F.col("threshold"), "pass").when(F.col("score") >= F.col("threshold") - 15, "warn").otherwise("fail")
+    return flat.withColumns({"column": F.lit("—"), "description": F.col("rule_id"), "status": status}).select(*RESULT_COLUMNS)
 
 
 def tenant_health(t: dict[str, DataFrame]) -> DataFrame:
-    """PBI-01..05 per model: documented measures, repeated formulas, row security, orphan columns, calculated columns; the warning band is 15."""
-    models, empty = t["datasets"].select("dataset_id", "model"), lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    secured = models.join(t["roles"].groupBy("dataset_id").agg(F.count("*").alias("roles")), "dataset_id", "left").select("dataset_id", F.lit(1).cast("bigint").alias("n"), F.when(F.col("roles") > 0, 0).otherwise(1).cast("bigint").alias("bad"))
-    formulas = t["measures"].groupBy("dataset_id").agg(F.lower(F.concat_ws(" ", F.collect_list("expression"))).alias("all_formulas"))
-    related = t["relationships"].select("dataset_id", F.explode(F.array(F.concat_ws(".", "fromTable", "fromColumn"), F.concat_ws(".", "toTable", "toColumn"))).alias("used")).distinct()
-    cols = t["columns"].withColumn("used", F.concat_ws(".", "table", "column")).join(related.withColumn("linked", F.lit(True)), ["dataset_id", "used"], "left").join(formulas, "dataset_id", "left")
-    has_formulas = F.coalesce("all_formulas", F.lit("")) != ""
-    orphan = has_formulas & F.col("linked").isNull() & ~F.contains(F.col("all_formulas"), F.lower("column"))
-    parts = [("PBI-01", "completeness", 80.0, _share(t["measures"], "dataset_id", empty(F.col("description")))), ("PBI-02", "uniqueness", 90.0, _duplicates(t["measures"], "dataset_id", "expression")),
-             ("PBI-03", "validity", 50.0, secured), ("PBI-04", "consistency", 60.0, _share(cols, "dataset_id", orphan)), ("PBI-05", "accuracy", 85.0, _share(t["columns"], "dataset_id", ~empty(F.col("expression"))))]
-    return graded(reduce(DataFrame.unionByName, (_model_rule(models, c, "dataset_id", i, d, th) for i, d, th, c in parts)), 15.0).select(*RESULT_COLUMNS)
+    """PBI-01..05 per model: documented measures, repeated formulas, row security, columns that no formula names (all, without formulas), calculated columns.
+
+    Of no measures none is documented, of no columns none is in order: the score is 0.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    measures = t["measures"].groupBy("dataset_id").agg(F.count("*").alias("measures"), F.count_if(~blank("description")).alias("documented"), F.lower(F.concat_ws(" ", F.collect_list("expression"))).alias("formulas"))
+    roles = t["roles"].groupBy("dataset_id").agg(F.count("*").alias("roles"))
+    named = t["columns"].join(measures.select("dataset_id", "formulas"), "dataset_id", "left")
+    columns = named.groupBy("dataset_id").agg(F.count("*").alias("columns"), F.count_if(~F.contains(F.coalesce("formulas", F.lit("")), F.lower("column"))).alias("orphans"), F.count_if(~blank("expression")).alias("calculated"))
+    wide = t["datasets"].select("dataset_id", "model")
+    for part in (measures.drop("formulas"), _repeated(t["measures"], "dataset_id", "expression"), roles, columns):
+        wide = wide.join(part, "dataset_id", "left")
+    c, n = lambda x: F.coalesce(F.col(x), F.lit(0).cast("bigint")), F.greatest(F.coalesce(F.col("measures"), F.lit(0).cast("bigint")), F.lit(1).cast("bigint"))
+    secured = (c("roles") > 0).cast("bigint")
+    return _health(wide, "model", {
+        "PBI-01": (c("documented"), n, n - c("documented")), "PBI-02": (n - c("repeated"), n, c("repeated")), "PBI-03": (secured, F.lit(1), 1 - secured),
+        "PBI-04": (c("columns") - c("orphans"), c("columns"), c("orphans")), "PBI-05": (c("columns") - c("calculated"), c("columns"), c("calculated"))}, TENANT_RULES)
 
 
 def site_health(t: dict[str, DataFrame]) -> DataFrame:
-    """TAB-01..04 per datasource: documented fields, repeated formulas, traced to tables, published in a workbook."""
-    models = t["datasources"].select("model").withColumn("key", F.col("model"))
-    one = lambda df: models.join(df.groupBy("model").agg(F.count("*").alias("k")), "model", "left").select("key", F.lit(1).cast("bigint").alias("n"), F.when(F.col("k") > 0, 0).otherwise(1).cast("bigint").alias("bad"))
-    fields = t["fields"].withColumn("key", F.col("model"))
-    parts = [("TAB-01", "completeness", 80.0, _share(fields, "key", F.trim(F.coalesce("description", F.lit(""))) == "")), ("TAB-02", "uniqueness", 90.0, _duplicates(fields, "key", "formula")),
-             ("TAB-03", "consistency", 80.0, one(t["sources"])), ("TAB-04", "validity", 70.0, one(t["links"]))]
-    return graded(reduce(DataFrame.unionByName, (_model_rule(models, c, "key", i, d, th) for i, d, th, c in parts)), 15.0).select(*RESULT_COLUMNS)
+    """TAB-01..04 per site: documented and not repeated calculated fields, datasources traced to tables, workbooks on a published datasource."""
+    calculated = t["fields"].where("formula <> ''")
+    fields = calculated.groupBy("site").agg(F.count("*").alias("fields"), F.count_if(F.trim("description") != "").alias("documented"))
+    traced = t["datasources"].join(t["sources"].select("site", "model").distinct().withColumn("known", F.lit(1)), ["site", "model"], "left").groupBy("site").agg(F.count("*").alias("datasources"), F.count("known").alias("traced"))
+    linked = t["links"].groupBy("site").agg(F.count_distinct("workbook").alias("linked"))
+    wide = t["workbooks"].groupBy("site").agg(F.count("*").alias("workbooks"))
+    for part in (fields, _repeated(calculated, "site", "formula"), traced, linked):
+        wide = wide.join(part, "site", "left")
+    c = lambda x: F.coalesce(F.col(x), F.lit(0).cast("bigint"))
+    least = lambda x: F.greatest(c(x), F.lit(1).cast("bigint"))
+    embedded = F.greatest(c("workbooks") - c("linked"), F.lit(0).cast("bigint"))
+    return _health(wide, "site", {
+        "TAB-01": (c("documented"), least("fields"), least("fields") - c("documented")), "TAB-02": (least("fields") - c("repeated"), least("fields"), c("repeated")),
+        "TAB-03": (c("traced"), least("datasources"), least("datasources") - c("traced")), "TAB-04": (least("workbooks") - embedded, least("workbooks"), embedded)}, SITE_RULES)
+
+
+def tenant_governance(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The governance tables of a tenant scan; without models each has its columns and no rows."""
+    return {"catalog": tenant_catalog(t), "dictionary": tenant_dictionary(t), "glossary": numbered_terms(t["measures"], "M", "model", "measure", "expression"), "lineage": tenant_lineage(t), "quality": tenant_health(t)}
+
+
+def site_governance(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The governance tables of sites; without workbooks each has its columns and no rows."""
+    return {"catalog": site_catalog(t), "dictionary": site_dictionary(t), "glossary": site_terms(t), "lineage": site_lineage(t), "quality": site_health(t)}

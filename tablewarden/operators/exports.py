@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import brief, expand_abbreviations, pii_type
+from .governance import with_remedy
+from .profile import profile_table, summary
+from .rules import auto_rules, evaluate_rules
 
 
 def entities(catalog: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -46,5 +49,16 @@ def glossary_drafts(columns: DataFrame, abbreviations: dict[str, str]) -> DataFr
     return columns.select(F.concat(prefix, "table", F.lit("."), "column").alias("term_id"), text.alias("term"), changed.alias("expanded"), F.col("table"))
 
 
-def file_report(summary: DataFrame, profile: DataFrame, results: DataFrame, findings: DataFrame) -> dict[str, DataFrame]:
-    return {"summary": summary, "profile": profile, "quality": results, "fixes": findings}
+def file_report(spark: SparkSession, df: DataFrame, name: str, remedies: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
+    """summary (field, value), profile, quality and fixes of one table: its profile, the rules proposed from it, and an action for each rule that does not pass."""
+    profile, shape = profile_table(df, order), summary(df)
+    rows = profile.collect()  # one row per column
+    total = shape.first()
+    results = evaluate_rules(spark, auto_rules(rows, total["rows"], True, name), {name: df})
+    graded = results.agg(F.bround(F.avg("score"), 2).alias("index"), F.count_if(F.col("status") == "pass").alias("ok"), F.count("*").alias("all"))
+    pii = ", ".join(r["column"] for r in rows if r["possible_pii"]) or "—"
+    text = lambda c: F.col(c).cast("string")
+    wide = shape.crossJoin(graded).select(F.lit(name).alias("dataset"), text("rows"), text("columns"), text("duplicate_rows"), F.concat(text("null_cell_pct"), F.lit("%")).alias("null_cells"),
+                                          F.coalesce(F.concat(text("index"), F.lit(" / 100")), F.lit("—")).alias("quality"), F.concat(text("ok"), F.lit(" / "), text("all")).alias("rules_passed"), F.lit(pii).alias("pii_columns"))
+    fixes = with_remedy(results.where("status <> 'pass'"), remedies).select("rule_id", "column", "description", "action")
+    return {"summary": wide.unpivot([], wide.columns, "field", "value"), "profile": profile, "quality": results, "fixes": fixes}

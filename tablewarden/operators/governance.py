@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import folded, localized, named_person, seniority
+from . import lineage, scores
 
 PENDING, VALID, CHANGED = "sugerido_ia", "validado", "modificado"
 
@@ -28,8 +29,10 @@ def glossary(terms: DataFrame, lang: str = "en") -> DataFrame:
     return terms.select("term_id", localized(F.col("term"), lang).alias("term"), localized(F.col("definition"), lang).alias("definition"), "owner", F.array_join("linked_datasets", ", ").alias("linked_datasets"))
 
 
-def merged(current: DataFrame, changes: DataFrame, keys: list[str], stamp: str) -> DataFrame:
-    """Latest row per key of both tables; in a tie the change wins. Rows with an empty key are left out."""
+def merged(current: DataFrame, changes: DataFrame, keys: list[str], stamp: str, sources: list[str] | None = None) -> DataFrame:
+    """Latest row per key of both tables; in a tie the change wins. Rows with an empty key are left out; with sources, changes of another source (column source) are."""
+    if sources is not None:
+        changes = changes.where(F.col("source").isin(*sources))
     both = current.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     usable = reduce(lambda a, k: a & F.coalesce(F.trim(F.col(k).cast("string")) != "", F.lit(False)), keys, F.lit(True))
     rank = f"row_number() over (partition by {', '.join(keys)} order by {stamp} desc, _new desc) as _k"
@@ -64,11 +67,11 @@ def curation_progress(items: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def coverage(datasets: DataFrame, assignments: DataFrame, results: DataFrame, items: DataFrame) -> DataFrame:
-    """Per dataset (dataset, classification): owner_named, steward_named, classified, has_rules, curation_pct; items name datasets in an array."""
+    """Per dataset (dataset, classification): owner_named (a named steward stands in for an owner who is none), steward_named, classified, has_rules, curation_pct; items name datasets in an array."""
     rules = results.groupBy("dataset").agg(F.count("*").alias("rules"))
     each = curation_progress(items.select("status", F.explode("linked_datasets").alias("dataset")), ["dataset"]).select("dataset", "reviewed_pct")
     joined = datasets.join(assignments, "dataset", "left").join(rules, "dataset", "left").join(each, "dataset", "left")
-    return joined.select("dataset", named_person(F.coalesce("owner", "steward")).alias("owner_named"), named_person(F.col("steward")).alias("steward_named"),
+    return joined.select("dataset", (named_person(F.col("owner")) | named_person(F.col("steward"))).alias("owner_named"), named_person(F.col("steward")).alias("steward_named"),
                          (F.coalesce(F.trim("classification"), F.lit("")) != "").alias("classified"), F.col("rules").isNotNull().alias("has_rules"), F.coalesce("reviewed_pct", F.lit(0.0)).alias("curation_pct"))
 
 
@@ -107,11 +110,15 @@ def compliance(datasets: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def contracts(datasets: DataFrame, results: DataFrame, consumers: DataFrame, agreements: DataFrame) -> DataFrame:
-    """Per data product: roles, consumers, compliance and whether it is signed."""
+    """Per data product (datasets: dataset, domain, owner, steward, classification, source, refresh): roles, producer, consumers, refresh agreed, rule counts, compliance and whether and by whom it is signed."""
     who = consumers.select(F.col("start").alias("dataset"), F.array_join("consumers", ", ").alias("consumers"))
-    signed = agreements.select("dataset", F.col("signed_by"))
-    return (datasets.join(compliance(datasets, results), "dataset").join(who, "dataset", "left").join(signed, "dataset", "left")
-        .select("dataset", "owner", "steward", F.coalesce("consumers", F.lit("—")).alias("consumers"), "rules", "pct_pass", "compliance", F.when(F.trim(F.coalesce("signed_by", F.lit(""))) != "", "firmado").otherwise("borrador").alias("signature")))
+    counts = results.groupBy("dataset").agg(*(F.count_if(F.col("status") == s).alias(f"rules_{s}") for s in ("pass", "warn", "fail")))
+    signed = agreements.select("dataset", F.nullif(F.trim("signed_by"), F.lit("")).alias("signed_by"))
+    joined = datasets.join(compliance(datasets, results), "dataset").join(counts, "dataset", "left").join(who, "dataset", "left").join(signed, "dataset", "left")
+    zero = F.lit(0)
+    return joined.select("dataset", "domain", F.col("owner").alias("domain_owner"), F.col("steward").alias("product_owner"), F.col("source").alias("producer"), F.coalesce("consumers", F.lit("—")).alias("consumers"),
+                         F.col("refresh").alias("sla_refresh"), "classification", "rules", *(F.coalesce(f"rules_{s}", zero).alias(f"rules_{s}") for s in ("pass", "warn", "fail")), "pct_pass", "compliance",
+                         F.when(F.col("signed_by").isNotNull(), "vigente").otherwise("borrador").alias("agreement"), F.coalesce("signed_by", F.lit("")).alias("signed_by"))
 
 
 def with_remedy(issues: DataFrame, remedies: DataFrame) -> DataFrame:
@@ -130,32 +137,46 @@ def alerts(results: DataFrame, datasets: DataFrame, consumers: DataFrame, remedi
     return issues.select("rule_id", "dataset", F.when(F.col("status") == "warn", "media").otherwise("alta").alias("severity"), notify.alias("notify"), F.coalesce("impact", F.lit("—")).alias("impact"), "action", "affected_rows").orderBy("severity", "dataset", "rule_id")
 
 
-def contract_kpis(table: DataFrame) -> DataFrame:
-    return table.agg(F.count("*").alias("products"), *(F.count_if(F.col("compliance") == s).alias(s) for s in ("cumple", "en_riesgo", "incumple")), F.count_if(F.col("signature") == "firmado").alias("signed"))
+def contract_kpis(table: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row: products, by compliance, signed ones, and alerts."""
+    wide = table.agg(F.count("*").alias("products"), *(F.count_if(F.col("compliance") == s).alias(s) for s in ("cumple", "en_riesgo", "incumple")), F.count_if(F.col("agreement") == "vigente").alias("signed"))
+    return wide.crossJoin(alerts.agg(F.count("*").alias("alerts")))
+
 
+def org_table(raw: DataFrame, spellings: DataFrame) -> DataFrame:
+    """(name, title, area, manager) from a chart; spellings (field, spelling) tells which headers stand for a field, the first spelling by its order (priority) first.
 
-def org_table(raw: DataFrame) -> DataFrame:
-    """(name, title, area, manager) from a chart with any header spelling; blank names go, a missing required column raises."""
-    known = {"name": ["name", "nombre", "nome", "employee"], "title": ["title", "cargo", "position", "puesto"], "area": ["area", "department", "departamento"], "manager": ["manager", "jefe", "reports to"]}
-    by = {c.strip().lower(): c for c in raw.columns}
-    chosen = {k: next((by[x] for x in v if x in by), None) for k, v in known.items()}
-    if missing := [k for k in ("name", "title", "area") if chosen[k] is None]:
+    Headers are compared folded. Blank names go; a missing name, title or area raises; other
+    missing fields are empty.
+    """
+    headers = raw.sparkSession.createDataFrame([(c, k) for k, c in enumerate(raw.columns)], "header string, position int")
+    hit = headers.join(spellings, folded(F.col("header")) == folded(F.col("spelling")))
+    chosen = {r["field"]: r["header"] for r in hit.groupBy("field").agg(F.min_by("header", F.struct("priority", "position")).alias("header")).collect()}  # one row per field
+    if missing := [k for k in ("name", "title", "area") if k not in chosen]:
         raise ValueError(f"columns missing: {', '.join(missing)}")
-    return raw.select(*((F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) if c else F.lit("")).alias(k) for k, c in chosen.items())).where("name <> ''")
+    value = lambda k: F.trim(F.coalesce(F.col(f"`{chosen[k]}`").cast("string"), F.lit(""))) if k in chosen else F.lit("")
+    return raw.select(*(value(k).alias(k) for k in ("name", "title", "area", "manager"))).where("name <> ''")
+
 
+def suggested_owners(datasets: DataFrame, people: DataFrame, keywords: DataFrame, data_team: DataFrame) -> DataFrame:
+    """owner and steward per dataset (dataset, domain): the two most senior people (ties by name) of the first area that fits.
 
-def suggested_owners(datasets: DataFrame, people: DataFrame, keywords: DataFrame) -> DataFrame:
-    """owner and steward per dataset (dataset, domain): the two most senior people of the domain's area (keywords: domain, keyword), else of the data team, else of all."""
-    hints = keywords.unionByName(datasets.select("domain").distinct().withColumn("keyword", F.lit("data"))).distinct()
-    own = datasets.join(hints, "domain").withColumn("priority", F.when(F.col("keyword") == "data", 2).otherwise(1))
+    keywords (domain, keyword, priority) are tried in their order; then all areas with a
+    keyword of the data team (keyword); then everybody. Keywords and areas are compared folded.
+    """
+    last = 1 << 20
+    hints = datasets.join(keywords, "domain").select("dataset", folded(F.col("keyword")).alias("keyword"), "priority")
+    hints = hints.unionByName(datasets.select("dataset").crossJoin(data_team.select(folded(F.col("keyword")).alias("keyword"))).withColumn("priority", F.lit(last)))
     ranked = people.select("name", folded(F.col("area")).alias("area"), seniority(F.col("title")).alias("level"))
-    matched = own.join(ranked, F.contains(F.col("area"), F.col("keyword"))).select("dataset", "name", "level", "priority")
-    anyone = datasets.select("dataset").crossJoin(ranked.orderBy(F.desc("level"), "name").limit(2)).select("dataset", "name", "level", F.lit(3).alias("priority"))
-    pool = matched.unionByName(anyone).groupBy("dataset", "name").agg(F.max("level").alias("level"), F.min("priority").alias("priority"))
-    best = pool.selectExpr("*", "min(priority) over (partition by dataset) as top").where("priority = top")
-    two = best.selectExpr("*", "row_number() over (partition by dataset order by level desc, name) as k").where("k <= 2")
-    match = F.when(F.first("top") == 1, "domain").when(F.first("top") == 2, "data_team").otherwise("all")
-    return two.groupBy("dataset").agg(F.max(F.when(F.col("k") == 1, F.col("name"))).alias("owner"), F.max_by("name", "k").alias("steward"), match.alias("match"), F.lit("sugerido").alias("state"))
+    areas = hints.join(ranked.select("area").distinct(), F.contains(F.col("area"), F.col("keyword"))).groupBy("dataset", "area").agg(F.min("priority").alias("priority"))
+    areas = areas.selectExpr("*", "min(priority) over (partition by dataset) as top").where("priority = top")
+    # of each area its two first are enough
+    two = ranked.selectExpr("*", "row_number() over (partition by area order by level desc, name) as k").where("k <= 2").drop("k")
+    anyone = ranked.orderBy(F.desc("level"), "name").limit(2)
+    pool = areas.join(two, "area").select("dataset", "name", "level", F.when(F.col("priority") < last, "domain").otherwise("data_team").alias("match"))
+    rest = datasets.select("dataset").join(areas, "dataset", "left_anti").crossJoin(anyone).select("dataset", "name", "level", F.lit("all").alias("match"))
+    best = pool.unionByName(rest).selectExpr("*", "row_number() over (partition by dataset order by level desc, name) as k").where("k <= 2")
+    return best.groupBy("dataset").agg(F.min_by("name", "k").alias("owner"), F.max_by("name", "k").alias("steward"), F.first("match").alias("match"), F.lit("sugerido").alias("state"))
 
 
 def combined(first: DataFrame, *rest: DataFrame) -> DataFrame:
@@ -163,14 +184,29 @@ def combined(first: DataFrame, *rest: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rest, first)
 
 
-def case_kpis(results: DataFrame, described: DataFrame, items: DataFrame) -> DataFrame:
-    """Per dataset: quality, documented %, PII columns and curation %."""
-    q = results.groupBy("dataset").agg(F.bround(F.avg("score"), 2).alias("quality"))
+def case_kpis(catalog: DataFrame, results: DataFrame, described: DataFrame, items: DataFrame) -> DataFrame:
+    """Per dataset of the catalog: rows, columns, quality index, rules in all, passed and failed, documented %, PII columns, and curation reviewed, total and %."""
+    q = results.groupBy("dataset").agg(F.bround(F.avg("score"), 2).alias("quality_index"), F.count("*").alias("rules_total"), *(F.count_if(F.col("status") == s).alias(f"rules_{s}") for s in ("pass", "fail")))
     d = described.groupBy("dataset").agg(F.bround(100.0 * F.avg((F.trim(F.coalesce("description", F.lit(""))) != "").cast("int")), 1).alias("documented_pct"), F.count_if("pii").alias("pii_columns"))
-    c = curation_progress(items, ["dataset"]).select("dataset", F.col("reviewed_pct").alias("curation_pct"))
-    return d.join(q, "dataset", "left").join(c, "dataset", "left")
-
-
-def bundle(spark: SparkSession, **tables: DataFrame) -> dict[str, DataFrame]:
-    """The named governance tables, each lazy; write them with sources.files.write_bundle."""
-    return dict(tables)
+    c = curation_progress(items, ["dataset"]).select("dataset", F.col("reviewed_pct").alias("curation_pct"), F.col("reviewed").alias("curation_reviewed"), F.col("items").alias("curation_total"))
+    joined = catalog.select("dataset", "rows", "columns").join(q, "dataset", "left").join(d, "dataset", "left").join(c, "dataset", "left")
+    none = {"rules_total": 0, "rules_pass": 0, "rules_fail": 0, "documented_pct": 0.0, "pii_columns": 0, "curation_pct": 0.0, "curation_reviewed": 0, "curation_total": 0}
+    return joined.fillna(none)
+
+
+def case_lineage(cases: DataFrame) -> DataFrame:
+    """(source, source_layer, target, target_layer) of cases (dataset, source, report): source to dataset to report."""
+    a = cases.select("source", F.lit("source").alias("source_layer"), F.col("dataset").alias("target"), F.lit("curated").alias("target_layer"))
+    b = cases.select(F.col("dataset").alias("source"), F.lit("curated").alias("source_layer"), F.col("report").alias("target"), F.lit("bi").alias("target_layer"))
+    return a.unionByName(b).distinct()
+
+
+def bundle(metadata: DataFrame, tables: dict[str, DataFrame], described: DataFrame, results: DataFrame, nodes: DataFrame, edges: DataFrame, terms: DataFrame, lang: str = "en") -> dict[str, DataFrame]:
+    """The nine governance tables of a set of governed tables, each lazy; write them with sources.files.write_bundle."""
+    listed = catalog(metadata, tables, lang)
+    totals = results.agg(F.bround(F.avg("score"), 2).alias("quality_index")).select(F.lit("quality_index").alias("kpi"), F.col("quality_index").alias("value"))
+    return {
+        "catalog": listed, "dictionary": described, "quality_results": results, "quality_by_dataset": scores.by_dataset(results), "quality_by_dimension": scores.by_dimension(results),
+        "lineage": lineage.labelled(nodes, edges), "glossary": glossary(terms, lang), "policies": policies(listed, described, results, terms),
+        "kpis": totals.unionByName(scores.kpis(results).withColumn("value", F.col("value").cast("double"))),
+    }

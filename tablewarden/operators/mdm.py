@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.names import same, similarity
 from ..sources.scratch import written
 
-#: Names of our own that hint at strong identifiers, and at columns worth matching.
-STRONG = ["email", "document", "tax", "passport", "ssn", "isbn", "iban", "_id"]
-MATCHABLE = ["name", "email", "phone", "document", "address", "birth"]
-
-
 @dataclass(frozen=True)
 class Match:
     column: str
@@ -24,23 +19,25 @@ class Match:
     threshold: float = 0.85
 
 
-def suggest_matches(df: DataFrame, columns: list[str]) -> list[Match]:
-    """Strong identifiers exactly with weight 3, numbers and dates exactly with 1.5, texts fuzzily with 1."""
-    kinds = dict(df.dtypes)
-    out = []
-    for c in columns:
-        if any(h in c.lower() for h in STRONG):
-            out.append(Match(c, 3.0))
-        elif kinds[c] != "string":
-            out.append(Match(c, 1.5))
-        else:
-            out.append(Match(c, 1.0, "fuzzy"))
-    return out
+def match_table(profile: DataFrame, hints: DataFrame, default: float = 1.0, numeric: float = 1.5, threshold: float = 0.85) -> DataFrame:
+    """(column, kind, weight, threshold, telling) for each row of a column profile, by hints (hint, weight, strong).
+
+    A name with a strong hint matches exactly with its greatest weight; other texts match
+    fuzzily with the default weight, other types exactly with the numeric one. telling is
+    whether any hint is in the name.
+    """
+    named = profile.join(hints, F.contains(F.lower(F.col("column")), F.lower("hint")), "left").groupBy("column", "dtype").agg(F.max(F.when(F.col("strong"), F.col("weight"))).alias("sure"), F.count("hint").alias("hints"))
+    text = F.col("dtype") == "string"
+    kind = F.when(F.col("sure").isNull() & text, "fuzzy").otherwise("exact")
+    weight = F.coalesce("sure", F.when(text, default).otherwise(numeric))
+    return named.select("column", kind.alias("kind"), weight.alias("weight"), F.when(kind == "fuzzy", threshold).alias("threshold"), (F.col("hints") > 0).alias("telling"))
 
 
-def default_columns(df: DataFrame) -> list[str]:
-    """The first four columns with a telling name, else the first three."""
-    return [c for c in df.columns if any(h in c.lower() for h in MATCHABLE)][:4] or df.columns[:3]
+def chosen_matches(table: DataFrame, columns: list[str], most: int = 4, fallback: int = 3) -> list[Match]:
+    """The first telling columns of a match table in the order of columns, else the first columns."""
+    rows = {r["column"]: r for r in table.collect()}  # one row per column
+    names = [c for c in columns if c in rows and rows[c]["telling"]][:most] or [c for c in columns if c in rows][:fallback]
+    return [Match(c, rows[c]["weight"], rows[c]["kind"], rows[c]["threshold"] or 0.85) for c in names]
 
 
 def candidate_pairs(df: DataFrame, key: str, block: str | None, columns: list[str], most: int = 5000) -> DataFrame:
@@ -100,11 +97,19 @@ def clusters(scored: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFram
     return members, stats.join(sizes, "component").select("component", "rows", "confidence", "matched_on")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with consecutive numbers from 1 in the given order: ranges are sorted apart, and each begins after the rows before it."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
+    before = rows.groupBy("_part").agg(F.count("*").alias("_n")).selectExpr("_part", "coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0) as _before")  # one row per partition
+    return rows.join(before, "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
 def dedup_report(members: DataFrame, report: DataFrame) -> DataFrame:
     """cluster_id (DUP-001 by falling confidence), rows, confidence in %, matched_on as text, row_indices."""
     ids = members.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("row_indices"))
-    numbered = report.selectExpr("*", "row_number() over (order by confidence desc, component) as k")
-    return numbered.join(ids, "component").orderBy("k").select(F.format_string("DUP-%03d", "k").alias("cluster_id"), "rows", F.bround(F.col("confidence") * 100, 1).alias("confidence"), F.array_join("matched_on", ", ").alias("matched_on"), "row_indices")
+    ranked = numbered(report, [F.desc("confidence"), F.asc("component")], "k")
+    return ranked.join(ids, "component").select(F.format_string("DUP-%03d", "k").alias("cluster_id"), "rows", F.bround(F.col("confidence") * 100, 1).alias("confidence"), F.array_join("matched_on", ", ").alias("matched_on"), "row_indices")
 
 
 def golden_records(df: DataFrame, key: str, members: DataFrame) -> DataFrame:

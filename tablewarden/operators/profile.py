@@ -22,7 +22,7 @@ def profile_table(df: DataFrame, order: str | None = None, approximate: bool = F
     for i, c in enumerate(df.columns):
         x = F.col(f"`{c}`")
         text = F.substring(x.cast("string"), 1, 40)
-        first = F.min_by(text, F.when(x.isNotNull(), F.col(f"`{order}`"))) if order else F.min(text)
+        first = F.min_by(text, F.when(x.isNotNull(), F.col(f"`{order}`"))) if order else F.first(text, ignorenulls=True)
         aggs += [F.count(x).alias(f"c{i}"), distinct(x).alias(f"d{i}"), first.alias(f"s{i}")]
     wide = df.agg(*aggs)
     share = email_share(df, order)
@@ -38,23 +38,21 @@ def profile_table(df: DataFrame, order: str | None = None, approximate: bool = F
 def email_share(df: DataFrame, order: str | None = None, first: int = 50) -> DataFrame:
     """(column, share): how many of a text column's first non-null values look like e-mail addresses."""
     texts = [c for c, t in df.dtypes if t == "string"]
-    parts = []
-    for c in texts:
-        values = df.select(F.col(f"`{c}`").alias("v"), F.col(f"`{order or c}`").alias("o")).where("v is not null").orderBy("o", "v").limit(first)
-        parts.append(values.agg(F.avg(F.col("v").rlike(EMAIL).cast("int")).alias("share")).select(F.lit(c).alias("column"), "share"))
-    out = parts[0] if parts else df.sparkSession.createDataFrame([], "column string, share double")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, share double")
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v"), F.col(f"`{order or c}`").cast("string" if not order else dict(df.dtypes)[order]).alias("o")) for c in texts))).alias("x")
+    flat = df.select(values).select("x.*").where("v is not null").selectExpr("*", "row_number() over (partition by column order by o, v) as k").where(f"k <= {first}")
+    return flat.groupBy("column").agg(F.avg(F.col("v").rlike(EMAIL).cast("int")).alias("share"))
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, duplicate_rows, null_cell_pct, pii_columns (by name)."""
+    """One row: rows, columns, duplicate_rows, null_cell_pct, pii_columns (by name or by e-mail values)."""
     nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
     cells = df.agg(F.count("*").alias("rows"), nulls.alias("nulls"))
     repeated = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias("_times")).select("_times").agg(F.coalesce(F.sum(F.col("_times") - 1), F.lit(0)).alias("duplicate_rows"))
     width = len(df.columns)
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string").agg(F.count_if(pii_name(F.col("column"))).alias("pii_columns"))
+    found = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string").join(email_share(df), "column", "left")
+    names = found.agg(F.count_if(pii_name(F.col("column")) | (F.coalesce("share", F.lit(0.0)) > 0.5)).alias("pii_columns"))
     pct = F.when(F.col("rows") == 0, 0.0).otherwise(F.bround(100.0 * F.col("nulls") / (F.col("rows") * width), 2))
     return cells.crossJoin(repeated).crossJoin(names).select("rows", F.lit(width).cast("bigint").alias("columns"), "duplicate_rows", pct.alias("null_cell_pct"), "pii_columns")
 

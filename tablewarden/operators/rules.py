@@ -95,9 +95,9 @@ def predicate(rule: Rule, kinds: dict[str, str]) -> tuple[Column, Column]:
             then = other("then")
             return F.coalesce(c.isin(*p["values"]), F.lit(False)), then.isNull() | (F.trim(then.cast("string")) == "")
         case "compact_date":
-            return all_rows, F.try_to_date(c.cast("bigint").cast("string") if t != "string" else text, "yyyyMMdd").isNull()
+            return all_rows, F.try_to_date(c.try_cast("bigint").cast("string") if t != "string" else text, "yyyyMMdd").isNull()
         case "current":
-            day = F.try_to_date(other("then").cast("bigint").cast("string"), "yyyyMMdd") if kinds[p["then"]] in ("int", "bigint") else parsed_date(other("then"), kinds[p["then"]])
+            day = F.try_to_date(other("then").try_cast("bigint").cast("string"), "yyyyMMdd") if kinds[p["then"]] in ("int", "bigint") else parsed_date(other("then"), kinds[p["then"]])
             return c.eqNullSafe(F.lit(p["value"])), _bad(day >= F.lit(p["as_of"]).cast("date"))
         case "predicate":
             return F.coalesce(F.expr(p.get("of", "true")), F.lit(False)), _bad(F.expr(p["passes"]))
@@ -105,8 +105,10 @@ def predicate(rule: Rule, kinds: dict[str, str]) -> tuple[Column, Column]:
 
 
 def repeats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(n, bad): rows, and rows beyond the first of each value; nulls equal each other."""
-    counts = df.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count("*").alias("_times")).select("_times")
+    """(n, bad): rows, and rows beyond the first of each value; nulls equal each other. Long values meet by their SHA-256."""
+    kinds = dict(df.dtypes)
+    key = lambda c: F.sha2(F.col(f"`{c}`"), 256) if kinds[c] == "string" and len(columns) == 1 else F.col(f"`{c}`")
+    counts = df.groupBy(*map(key, columns)).agg(F.count("*").alias("_times")).select("_times")
     return counts.agg(F.coalesce(F.sum("_times"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("_times") - 1), F.lit(0)).alias("bad"))
 
 

@@ -25,6 +25,18 @@ def overall(results: DataFrame) -> DataFrame:
     return results.agg(F.bround(F.avg("score"), 2).alias("quality_index"))
 
 
+def with_quality(catalog: DataFrame, results: DataFrame) -> DataFrame:
+    """catalog with each dataset's mean score; null without rules."""
+    return catalog.join(by_dataset(results), "dataset", "left")
+
+
+def distinct_counts(catalog: DataFrame, described: DataFrame) -> DataFrame:
+    """One row: stewards and owners named, and business terms in use."""
+    term = F.nullif(F.trim("business_term"), F.lit(""))
+    people = catalog.agg(F.count_distinct(F.nullif(F.trim("steward"), F.lit(""))).alias("stewards"), F.count_distinct(F.nullif(F.trim("owner"), F.lit(""))).alias("owners"))
+    return people.crossJoin(described.agg(F.count_distinct(term).alias("terms_in_use")))
+
+
 def open_issues(results: DataFrame) -> DataFrame:
     """Rules that do not pass: warn is of medium severity, fail of high."""
     return results.where("status <> 'pass'").withColumn("severity", F.when(F.col("status") == "warn", "media").otherwise("alta"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -29,34 +31,71 @@ def read_as(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return spark.read.format(fmt).options(**({"header": "true", "inferSchema": "true"} if fmt == "csv" else {})).load(path)
 
 
+def limited_query(url: str, table: str, limit: int) -> str:
+    """A query of the first rows (1 to 100000) of a table in the dialect of a JDBC url, the table's name quoted part by part."""
+    n, kind = min(max(limit, 1), 100_000), url.split(":")[1].lower() if url.count(":") > 1 else ""
+    mark = "`" if kind in ("mysql", "mariadb") else '"'
+    name = ".".join(mark + part.replace(mark, mark * 2) + mark for part in table.split("."))
+    if kind == "sqlserver":
+        return f"SELECT TOP {n} * FROM {name}"
+    if kind in ("mysql", "mariadb", "postgresql", "sqlite", "duckdb", "h2"):
+        return f"SELECT * FROM {name} LIMIT {n}"
+    return f"SELECT * FROM {name} FETCH FIRST {n} ROWS ONLY"
+
+
 def jdbc_table(spark: SparkSession, options: dict[str, str], table: str, limit: int = 10_000, partition: dict[str, str] | None = None) -> DataFrame:
-    """A database table, the limit (1 to 100000) pushed down in the query; without a limit a partitioned read."""
+    """A database table, its first rows by a query that the database limits; with partition options a whole, partitioned read."""
     if partition:
         return spark.read.format("jdbc").options(**options, dbtable=table, **partition).load()
-    return spark.read.format("jdbc").options(**options, query=f"SELECT * FROM {table} LIMIT {min(max(limit, 1), 100_000)}").load()
+    return spark.read.format("jdbc").options(**options, query=limited_query(options["url"], table, limit)).load()
 
 
 def guarded(sql: str) -> str:
-    """The text, if it begins with select or with; else an error."""
-    if not sql.strip().lower().startswith(("select", "with")):
+    """The text, if its first word after comments and brackets is select or with; else an error."""
+    rest = sql
+    while True:
+        rest = rest.lstrip(" \t\r\n(")
+        if rest.startswith("--"):
+            rest = rest.partition("\n")[2]
+        elif rest.startswith("/*"):
+            rest = rest.partition("*/")[2]
+        else:
+            break
+    word = "".join(itertools.takewhile(str.isalpha, rest)).casefold()
+    if word not in {"select", "with"}:
         raise ValueError("only queries that read are allowed")
     return sql
 
 
 def jdbc_query(spark: SparkSession, options: dict[str, str], sql: str, limit: int = 10_000) -> DataFrame:
+    """The rows of a query that only reads, at most limit (1 to 100000) of them."""
     return spark.read.format("jdbc").options(**options, query=guarded(sql)).load().limit(min(max(limit, 1), 100_000))
 
 
+SCAN = "conn_id string, name string, engine string, table string, column string, type string, error string"
+
+
+def jdbc_catalog(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """(table, column, type) of a database's own catalogue."""
+    query = "SELECT table_name, column_name, data_type FROM information_schema.columns WHERE table_schema NOT IN ('information_schema', 'pg_catalog', 'sys')"
+    return spark.read.format("jdbc").options(**options, query=query).load().toDF("table", "column", "type")
+
+
 def scan_sources(spark: SparkSession, sources: dict[str, dict]) -> DataFrame:
-    """(conn_id, name, engine, table, error) over sources {conn_id: {name, engine, tables: () -> [names]}}; a failing one is an error row, an empty one a row without table."""
-    rows = []
+    """(conn_id, name, engine, table, column, type, error) over sources {conn_id: {name, engine, catalog: () -> DataFrame(table, column, type)}}.
+
+    A source whose catalogue cannot be read is an error row, an empty one a row without table.
+    """
+    parts = []
     for conn, s in sources.items():
+        head = [F.lit(conn).alias("conn_id"), F.lit(s["name"]).alias("name"), F.lit(s["engine"]).alias("engine")]
         try:
-            found = list(s["tables"]())
-            rows += [(conn, s["name"], s["engine"], t, None) for t in found or [None]]
+            found = s["catalog"]().select("table", "column", "type")
+            one = spark.range(1).select(F.lit(True).alias("one"))
+            parts.append(one.join(found, F.col("one"), "left").select(*head, "table", "column", "type", F.lit(None).cast("string").alias("error")))
         except Exception as e:  # one bad source does not stop the others
-            rows.append((conn, s["name"], s["engine"], None, str(e)[:255]))
-    return spark.createDataFrame(rows, "conn_id string, name string, engine string, table string, error string")
+            parts.append(spark.range(1).select(*head, *(F.lit(None).cast("string").alias(c) for c in ("table", "column", "type")), F.lit(str(e)[:255]).alias("error")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCAN)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -78,37 +117,45 @@ def write_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "parquet")
         {"csv": write_csv, "json": write_json, "parquet": write_parquet}[fmt](df, f"{path}/{name}")
 
 
-MANIFEST = "client_id string, stage_id string, kind string, notes string, created_at timestamp, table string, rows bigint, columns bigint"
+MANIFEST = "client_id string, stage_id string, kind string, notes string, created_at timestamp, table string, rows bigint, columns bigint, save string"
 
 
 def save_stage(spark: SparkSession, root: str, client: str, stage: str, tables: dict[str, DataFrame], kind: str = "", notes: str = "", at: datetime | None = None) -> DataFrame:
-    """Write a stage's tables and its manifest; empty tables are dropped, a stage of none is an error, the same stage is replaced. Returns the manifest rows."""
-    kept = {k: (df, n) for k, df in tables.items() if (n := df.count())}
+    """Write a stage's tables and its manifest; empty tables are dropped, a stage of none is an error, the same stage is replaced as a whole. Returns the manifest rows.
+
+    Tables go to a folder of this save's own and are counted as written; only the manifest tells
+    which save is the stage, so a reader never meets half of one.
+    """
+    save, kept = uuid.uuid4().hex, {}
+    for name, df in tables.items():
+        path = f"{root}/data/{client}/{stage}/{save}/{name}"
+        df.write.parquet(path)
+        if n := spark.read.schema(df.schema).parquet(path).count():
+            kept[name] = (n, len(df.columns))
     if not kept:
         raise ValueError("a stage needs at least one table with rows")
-    for name, (df, _) in kept.items():
-        df.write.mode("overwrite").parquet(f"{root}/data/{client}/{stage}/{name}")
     when = at or datetime.now(timezone.utc).replace(tzinfo=None)
-    rows = spark.createDataFrame([(client, stage, kind, notes, when, k, n, len(df.columns)) for k, (df, n) in kept.items()], MANIFEST)
-    rows.write.mode("overwrite").parquet(f"{root}/manifest/{client}/{stage}")
+    rows = spark.createDataFrame([(client, stage, kind, notes, when, k, n, width, save) for k, (n, width) in kept.items()], MANIFEST)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/{client}/{stage}")
     return rows
 
 
+def _manifest(spark: SparkSession, root: str, client: str) -> DataFrame:
+    """A client's manifest rows; none where the client has no stages."""
+    return spark.read.schema(MANIFEST).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).parquet(f"{root}/manifest").where(F.col("client_id") == client)
+
+
 def list_stages(spark: SparkSession, root: str, client: str) -> DataFrame:
     """Stages of a client, newest first."""
-    m = spark.read.schema(MANIFEST).parquet(f"{root}/manifest/{client}/*")
+    m = _manifest(spark, root, client)
     return m.groupBy("stage_id", "kind", "notes", "created_at").agg(F.count("*").alias("tables"), F.sum("rows").alias("rows")).orderBy(F.desc("created_at"), "stage_id")
 
 
 def load_stage(spark: SparkSession, root: str, client: str, stage: str) -> dict[str, DataFrame]:
-    names = [r["table"] for r in spark.read.schema(MANIFEST).parquet(f"{root}/manifest/{client}/{stage}").select("table").collect()]
-    return {n: spark.read.parquet(f"{root}/data/{client}/{stage}/{n}") for n in names}
+    rows = _manifest(spark, root, client).where(F.col("stage_id") == stage).collect()  # one row per table
+    return {r["table"]: spark.read.parquet(f"{root}/data/{client}/{stage}/{r['save']}/{r['table']}") for r in rows}
 
 
 def stage_summary(spark: SparkSession, root: str, client: str) -> DataFrame:
-    m = spark.read.schema(MANIFEST).parquet(f"{root}/manifest/{client}/*")
-    return m.agg(F.count_distinct("stage_id").alias("stages"), F.count("*").alias("tables"), F.max("created_at").alias("last_update"))
-
-
-def union_all(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+    """One row: stages, tables, rows and the last update."""
+    return _manifest(spark, root, client).agg(F.count_distinct("stage_id").alias("stages"), F.count("*").alias("tables"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.max("created_at").alias("last_update"))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh path below spark.checkpoint.dir; where that is unset, a local one for local sessions and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+    return f"{base or tempfile.gettempdir() + '/checkpoints'}/scratch-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it back, to cut lineage between rounds."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/scratch-{uuid.uuid4().hex}"
+    """Write df to scratch and read it back, to cut lineage between rounds."""
+    path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
