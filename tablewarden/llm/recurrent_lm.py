@@ -299,15 +299,15 @@ class Network:
 def lexicon_of(counts: DataFrame, ends: int, s: Settings) -> Lexicon:
     """The most frequent words and all totals; at most frequent + tails + 1 rows reach the driver."""
     # the counts that at most `frequent` words reach, by a histogram of at most a few hundred rows; of the next size a share by hash
-    size = F.floor(F.log2("n") * 8)
-    taken, so_far = F.lit(False), 0
-    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["size"]):
-        share = min(1.0, (s.frequent - so_far) / r["k"])
-        taken = taken | ((size == r["size"]) & (F.shiftrightunsigned(F.xxhash64("word"), 33) < int(share * 2**31)))
-        so_far += r["k"]
-        if so_far >= s.frequent:
+    sized = counts.withColumn("size", F.floor(F.log2("n") * 8))
+    least, edge, share, so_far = 1 << 40, -1, 0.0, 0
+    for r in sorted(sized.groupBy("size").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["size"]):
+        if so_far + r["k"] > s.frequent:
+            edge, share = r["size"], (s.frequent - so_far) / r["k"]
             break
-    words = [(bytes(r["word"]), r["n"]) for r in counts.where(taken).collect()]
+        least, so_far = r["size"], so_far + r["k"]
+    some = (F.col("size") == edge) & (F.shiftrightunsigned(F.xxhash64("word"), 33) < int(share * 2**31))
+    words = [(bytes(r["word"]), r["n"]) for r in sized.where((F.col("size") >= least) | some).collect()]
     words.sort(key=lambda x: (-x[1], x[0]))
     own = {w for w, _ in words[: s.head]}
 
