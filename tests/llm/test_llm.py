@@ -375,6 +375,23 @@ def test_near_passages_whose_only_partner_is_among_other_variants(spark):
     assert {(20 * k + 6, 20 * k + 1) for k in range(9)} <= pairs
 
 
+def test_useful_stretches_hold_every_passage_that_can_have_a_partner():
+    s, rng = compact_windows.Settings(size=2, words=6), np.random.default_rng(21)
+    for _ in range(60):
+        off = np.cumsum([0, *rng.integers(0, 25, 3)])
+        h = rng.integers(1, 30, off[-1]).astype(np.uint64)
+        first, of = compact_windows.firsts(h, off)
+        assert (h[first][of] == h).all() and [len(set(h[i:j].tolist())) for i, j in zip(off[:-1], off[1:])] == np.histogram(first, off)[0].tolist()
+        shared = (h * np.uint64(7) % np.uint64(10)) < int(rng.integers(3, 9))
+        got = compact_windows.useful(h, off, shared, first, s)
+        for i, j in zip(off[:-1], off[1:]):
+            for a in range(i, j):
+                for z in range(a + s.least, j + 1):
+                    own = set(h[a:z].tolist())
+                    if 100 * len(own & set(h[a:z][shared[a:z]].tolist())) >= s.percent * len(own):
+                        assert got[a:z].all()
+
+
 def test_wide_nodes():
     for _ in range(200):
         n, least = int(RNG.integers(1, 80)), int(RNG.integers(1, 12))
