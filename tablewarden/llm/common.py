@@ -133,10 +133,10 @@ LOWER[0x41:0x5B] += 32
 LOWER_BYTES = LOWER.tobytes()
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each row the index of its first word (n + 1 values)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and for each row the index of its first word (n + 1 values); between tells which bytes part words."""
     gap = np.ones(len(data) + 1, bool)
-    gap[:-1] = SPACE[data]
+    gap[:-1] = between[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     before = np.ones(len(data) + 1, bool)
