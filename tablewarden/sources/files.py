@@ -1,15 +1,18 @@
-"""File and database sources, sinks and snapshots."""
+"""File sources, sinks and snapshots, scans of many sources, and what SQL texts for databases need."""
 
 from __future__ import annotations
 
 import itertools
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("header", True)
@@ -31,23 +34,33 @@ def read_as(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return spark.read.format(fmt).options(**({"header": "true", "inferSchema": "true"} if fmt == "csv" else {})).load(path)
 
 
-def limited_query(url: str, table: str, limit: int) -> str:
-    """A query of the first rows (1 to 100000) of a table in the dialect of a JDBC url, the table's name quoted part by part."""
-    n, kind = min(max(limit, 1), 100_000), url.split(":")[1].lower() if url.count(":") > 1 else ""
-    mark = "`" if kind in ("mysql", "mariadb") else '"'
-    name = ".".join(mark + part.replace(mark, mark * 2) + mark for part in table.split("."))
+MOST_ROWS = 100_000
+
+
+def mark_of(url: str) -> str:
+    """The quotation mark of names in the dialect of a JDBC url."""
+    return "`" if url.split(":")[1].lower() in ("mysql", "mariadb") else '"'
+
+
+def quoted(url: str, table: str) -> str:
+    """A table's name quoted part by part."""
+    mark = mark_of(url)
+    return ".".join(mark + part.replace(mark, mark * 2) + mark for part in table.split("."))
+
+
+def limited(url: str, relation: str, limit: int) -> str:
+    """A query of the first rows (1 to 100000) of a relation in the dialect of a JDBC url."""
+    n, kind = min(max(limit, 1), MOST_ROWS), url.split(":")[1].lower()
     if kind == "sqlserver":
-        return f"SELECT TOP {n} * FROM {name}"
-    if kind in ("mysql", "mariadb", "postgresql", "sqlite", "duckdb", "h2"):
-        return f"SELECT * FROM {name} LIMIT {n}"
-    return f"SELECT * FROM {name} FETCH FIRST {n} ROWS ONLY"
+        return f"SELECT TOP {n} * FROM {relation}"
+    if kind in ("mysql", "mariadb", "postgresql", "sqlite", "duckdb", "h2", "snowflake", "databricks"):
+        return f"SELECT * FROM {relation} LIMIT {n}"
+    return f"SELECT * FROM {relation} FETCH FIRST {n} ROWS ONLY"
 
 
-def jdbc_table(spark: SparkSession, options: dict[str, str], table: str, limit: int = 10_000, partition: dict[str, str] | None = None) -> DataFrame:
-    """A database table, its first rows by a query that the database limits; with partition options a whole, partitioned read."""
-    if partition:
-        return spark.read.format("jdbc").options(**options, dbtable=table, **partition).load()
-    return spark.read.format("jdbc").options(**options, query=limited_query(options["url"], table, limit)).load()
+def limited_query(url: str, table: str, limit: int) -> str:
+    """A query of the first rows (1 to 100000) of a table."""
+    return limited(url, quoted(url, table), limit)
 
 
 def guarded(sql: str) -> str:
@@ -67,35 +80,32 @@ def guarded(sql: str) -> str:
     return sql
 
 
-def jdbc_query(spark: SparkSession, options: dict[str, str], sql: str, limit: int = 10_000) -> DataFrame:
-    """The rows of a query that only reads, at most limit (1 to 100000) of them."""
-    return spark.read.format("jdbc").options(**options, query=guarded(sql)).load().limit(min(max(limit, 1), 100_000))
-
-
 SCAN = "conn_id string, name string, engine string, table string, column string, type string, error string"
 
 
-def jdbc_catalog(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """(table, column, type) of a database's own catalogue."""
-    query = "SELECT table_name, column_name, data_type FROM information_schema.columns WHERE table_schema NOT IN ('information_schema', 'pg_catalog', 'sys')"
-    return spark.read.format("jdbc").options(**options, query=query).load().toDF("table", "column", "type")
-
-
-def scan_sources(spark: SparkSession, sources: dict[str, dict]) -> DataFrame:
+def scan_sources(spark: SparkSession, sources: dict[str, dict], at_once: int = 8) -> DataFrame:
     """(conn_id, name, engine, table, column, type, error) over sources {conn_id: {name, engine, catalog: () -> DataFrame(table, column, type)}}.
 
-    A source whose catalogue cannot be read is an error row, an empty one a row without table.
+    Every catalogue is read here, some at once, and written to scratch. So a source that fails,
+    be it in planning or in reading, is an error row and leaves the others alone; an empty one is
+    a row without table.
     """
-    parts = []
-    for conn, s in sources.items():
-        head = [F.lit(conn).alias("conn_id"), F.lit(s["name"]).alias("name"), F.lit(s["engine"]).alias("engine")]
+    columns = "table string, column string, type string, error string"
+
+    def one(conn: str) -> DataFrame:
+        s = sources[conn]
         try:
-            found = s["catalog"]().select("table", "column", "type")
-            one = spark.range(1).select(F.lit(True).alias("one"))
-            parts.append(one.join(found, F.col("one"), "left").select(*head, "table", "column", "type", F.lit(None).cast("string").alias("error")))
+            rows = written(s["catalog"]().select(*(F.col(c).cast("string").alias(c) for c in ("table", "column", "type")), F.lit(None).cast("string").alias("error")))
+            if rows.isEmpty():
+                rows = spark.createDataFrame([(None,) * 4], columns)
         except Exception as e:  # one bad source does not stop the others
-            parts.append(spark.range(1).select(*head, *(F.lit(None).cast("string").alias(c) for c in ("table", "column", "type")), F.lit(str(e)[:255]).alias("error")))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCAN)
+            rows = spark.createDataFrame([(None, None, None, str(e).strip().split("\n")[0][:255])], columns)
+        return rows.select(F.lit(conn).alias("conn_id"), F.lit(s["name"]).alias("name"), F.lit(s["engine"]).alias("engine"), "*")
+
+    if not sources:
+        return spark.createDataFrame([], SCAN)
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, sources))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tablewarden.plans import catalog, metadata  # noqa: F401 (registers its queries)
+from tablewarden.plans import catalog, databases, metadata  # noqa: F401 (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
