@@ -5,14 +5,17 @@ The tables are clean, so defects are derived by key arithmetic, alike in Spark a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import bi_models, governance, lineage, mdm, profile, protect, rules, scores
+from ..operators import bi_models, checks, governance, lineage, mdm, profile, protect, rules, scores
 from ..operators.rules import Rule
+from ..sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,40 +66,42 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {k: load(spark, sf_dir, k) for k in [*DERIVED, "customer", "orders", "lineitem", "documents"]}
 
 
-#: (rule, SQL for the rows that count, SQL for those of them that are bad)
-RULE_SET: list[tuple[Rule, str, str]] = [
-    (Rule("R01", "customer", "c_acctbal", "validity", "positive", {}, 95.0), "true", "not c_acctbal > 0"),
-    (Rule("R02", "customer_d", "name", "completeness", "not_null", {}, 98.0), "true", "name is null"),
-    (Rule("R03", "orders_d", "status", "validity", "in_set", {"values": ["O", "F"]}, 70.0), "true", "coalesce(status not in ('O', 'F'), true)"),
-    (Rule("R04", "orders_d", "custkey", "consistency", "fk", {"table": "customer", "key": "c_custkey"}, 99.5), "true", "custkey not in (select c_custkey from customer)"),
-    (Rule("R05", "customer_d", "email", "validity", "regex", {"pattern": r"[a-z0-9]+@[a-z]+\.org$"}, 90.0), "true", r"not regexp_matches(email, '^[a-z0-9]+@[a-z]+\.org$')"),
-    (Rule("R06", "events_d", "day", "timeliness", "max_age", {"as_of": "2024-02-10", "days": 30}, 80.0), "true", "date '2024-02-10' - day > 30"),
-    (Rule("R07", "customer_d", "balance_text", "completeness", "not_placeholder", {}, 95.0), "true", "trim(balance_text) = '-'"),
-    (Rule("R08", "customer_d", "balance_text", "completeness", "not_marker", {}, 95.0), "true", "balance_text in ('ERROR', 'UNKNOWN')"),
-    (Rule("R09", "orders_d", "day_text", "validity", "valid_date", {}, 95.0), "true", "day_text = 'UNKNOWN'"),
-    (Rule("R10", "customer_d", "balance_text", "validity", "numeric", {}, 95.0), "true", "try_cast(balance_text as double) is null"),
-    (Rule("R11", "orders_d", "status", "completeness", "completeness_unless", {"value": "P", "then": "priority"}, 97.0), "status is distinct from 'P'", "priority is null"),
-    (Rule("R12", "lineitem_d", "total", "accuracy", "amount", {"quantity": "quantity", "price": "price", "total": "total"}, 95.0), "true", "abs(quantity * price - total) > 0.01 + 1e-5 * abs(total)"),
-    (Rule("R13", "lineitem_d", "flag", "consistency", "implies", {"value": "N", "then": "line_status", "equals": "O"}, 60.0), "flag = 'N'", "line_status is distinct from 'O'"),
-    (Rule("R14", "lineitem_d", "discount", "validity", "in_range", {"low": 0.01, "high": 0.09}, 90.0), "true", "not coalesce(discount between 0.01 and 0.09, false)"),
-    (Rule("R15", "events_d", "event_type", "completeness", "completeness_within", {"values": ["purchase", "click"], "then": "value"}, 95.0), "event_type in ('purchase', 'click')", "value is null"),
-    (Rule("R16", "orders_d", "ymd", "validity", "compact_date", {}, 98.0), "true", "ymd = 20231399"),
-    (Rule("R17", "orders_d", "status", "timeliness", "current", {"value": "O", "then": "day", "as_of": "1998-01-01"}, 50.0), "status = 'O'", "not day >= date '1998-01-01'"),
-    (Rule("R18", "customer_d", "segment", "validity", "matches_pattern", {"pattern": "[A-M]"}, 60.0), "true", "not regexp_matches(segment, '^[A-M]')"),
-    (Rule("R19", "orders_d", "total", "accuracy", "predicate", {"of": "status <> 'P'", "passes": "total > 1000"}, 90.0), "status <> 'P'", "not total > 1000"),
-]
-GROUPED = [
-    (Rule("R20", "lineitem", "l_orderkey", "uniqueness", "unique", {"columns": ["l_orderkey", "l_linenumber"]}, 99.0), "(select distinct l_orderkey, l_linenumber from lineitem)"),
-    (Rule("R21", "documents", "text", "uniqueness", "unique", {}, 99.0), "(select distinct text from documents)"),
-    (Rule("R22", "events_d", "*", "uniqueness", "no_duplicate_rows", {}, 98.0), "(select distinct * from events_d)"),
-]
-RULES = [r for r, *_ in [*RULE_SET, *GROUPED]]
+#: The rules as data, in the form that rules.compiled() reads.
+RULES = rules.compiled(json.loads(Path(__file__).with_name("rule_set.json").read_text()))
+#: For each row-level rule the SQL for the rows that count, and for those of them that are bad.
+RULE_SQL = {
+    "R01": ("true", "not c_acctbal > 0"),
+    "R02": ("true", "name is null"),
+    "R03": ("true", "coalesce(status not in ('O', 'F'), true)"),
+    "R04": ("true", "custkey not in (select c_custkey from customer)"),
+    "R05": ("true", r"not regexp_matches(email, '^[a-z0-9]+@[a-z]+\.org$')"),
+    "R06": ("true", "date '2024-02-10' - day > 30"),
+    "R07": ("true", "trim(balance_text) = '-'"),
+    "R08": ("true", "balance_text in ('ERROR', 'UNKNOWN')"),
+    "R09": ("true", "day_text = 'UNKNOWN'"),
+    "R10": ("true", "try_cast(balance_text as double) is null"),
+    "R11": ("status is distinct from 'P'", "priority is null"),
+    "R12": ("true", "abs(quantity * price - total) > 0.01 + 1e-5 * abs(total)"),
+    "R13": ("flag = 'N'", "line_status is distinct from 'O'"),
+    "R14": ("true", "not coalesce(discount between 0.01 and 0.09, false)"),
+    "R15": ("event_type in ('purchase', 'click')", "value is null"),
+    "R16": ("true", "ymd = 20231399"),
+    "R17": ("status = 'O'", "not day >= date '1998-01-01'"),
+    "R18": ("true", "not regexp_matches(segment, '^[A-M]')"),
+    "R19": ("status <> 'P'", "not total > 1000"),
+}
+#: For each rule over groups the rows that stay when repeats go.
+DISTINCT_SQL = {
+    "R20": "(select distinct l_orderkey, l_linenumber from lineitem)",
+    "R21": "(select distinct text from documents)",
+    "R22": "(select distinct * from events_d)",
+}
 
 
 def _counts_sql() -> str:
     head = lambda r: f"select '{r.rule_id}' as rule_id, '{r.dataset}' as dataset, '{r.column}' as \"column\", '{r.dimension}' as dimension, '' as description, cast({r.threshold} as double) as threshold"
-    rows = [f"{head(r)}, count(*) filter (where {of}) as n, count(*) filter (where ({of}) and ({bad})) as bad from {r.dataset}" for r, of, bad in RULE_SET]
-    rows += [f"{head(r)}, (select count(*) from {r.dataset}) as n, (select count(*) from {r.dataset}) - count(*) as bad from {d}" for r, d in GROUPED]
+    by_row = lambda r, of, bad: f"{head(r)}, count(*) filter (where {of}) as n, count(*) filter (where ({of}) and ({bad})) as bad from {r.dataset}"
+    rows = [by_row(r, *RULE_SQL[r.rule_id]) if r.rule_id in RULE_SQL else f"{head(r)}, (select count(*) from {r.dataset}) as n, (select count(*) from {r.dataset}) - count(*) as bad from {DISTINCT_SQL[r.rule_id]}" for r in RULES]
     return " union all ".join(rows)
 
 
@@ -109,10 +114,47 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("q21_rule_evaluation", RESULTS + "select * from results")(results)
-for _r, _of, _bad in RULE_SET:
-    query(f"q_{_r.kind}", RESULTS + f"select * from results where rule_id = '{_r.rule_id}'")(lambda s, d, r=_r: rules.evaluate_rules(s, [r], all_tables(s, d)))
-for _r, _ in GROUPED[1:]:
-    query(f"q_{_r.kind}", RESULTS + f"select * from results where rule_id = '{_r.rule_id}'")(lambda s, d, r=_r: rules.evaluate_rules(s, [r], all_tables(s, d)))
+for _r in RULES:
+    if _r.rule_id != "R20":  # R21 is of its kind too
+        query(f"q_{_r.kind}", RESULTS + f"select * from results where rule_id = '{_r.rule_id}'")(lambda s, d, r=_r: rules.evaluate_rules(s, [r], all_tables(s, d)))
+
+
+@query("q23_rule_table", RESULTS + "select * from results")
+def from_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules written as a table of rule rows, read back from it and evaluated."""
+    table = written(rules.rule_table(spark, RULES))
+    return rules.evaluate_rules(spark, rules.rules_from_table(table), all_tables(spark, sf_dir))
+
+
+def _rows_sql(rows: list[dict], counted: dict[str, str]) -> str:
+    """Results of rule rows whose n and bad come from SQL."""
+    head = lambda r: f"select '{r['rule_id']}' as rule_id, '{r['dataset']}' as dataset, '{r['column']}' as \"column\", '{r['dimension']}' as dimension, '' as description, cast({r['threshold']} as double) as threshold"
+    union = " union all ".join(f"{head(r)}, n, bad from ({counted[r['rule_id']]})" for r in rows)
+    return CTE + f", counted as ({union}), graded as ({GRADED}) select rule_id, dataset, \"column\", dimension, description, score, threshold, case when score >= threshold then 'pass' when score >= threshold - 2 then 'warn' else 'fail' end as status, cast(bad as bigint) as affected_rows from graded"
+
+
+#: Rules with measures of a joined table: of another by key, of the own by group, of the own as a whole.
+LOOKUPS = [
+    {"rule_id": "R23", "dataset": "orders_d", "column": "total", "dimension": "consistency", "kind": "lookup", "threshold": 60.0,
+     "params": {"table": "lineitem_d", "on": '{"o_orderkey": "l_orderkey"}', "measure": '{"lines": "count(*)", "goods": "max(price)"}', "of": "status <> 'P'", "passes": "lines >= 3 and goods > 1000"}},
+    {"rule_id": "R24", "dataset": "orders_d", "column": "total", "dimension": "accuracy", "kind": "lookup", "threshold": 95.0,
+     "params": {"on": '{"status": "status"}', "measure": '{"middle": "avg(total)", "spread": "stddev_pop(total)"}', "passes": "abs(total - middle) <= 1.5 * spread"}},
+    {"rule_id": "R25", "dataset": "events_d", "column": "day", "dimension": "timeliness", "kind": "lookup", "threshold": 50.0, "params": {"measure": '{"last": "max(day)"}', "passes": "datediff(last, day) <= 10"}},
+]
+_LOOKED_UP = _rows_sql(LOOKUPS, {
+    "R23": "select count(*) filter (where status <> 'P') as n, count(*) filter (where status <> 'P' and not coalesce(lines >= 3 and goods > 1000, false)) as bad from orders_d left join (select l_orderkey, count(*) as lines, max(price) as goods from lineitem_d group by 1) on o_orderkey = l_orderkey",
+    "R24": "select count(*) as n, count(*) filter (where not coalesce(abs(total - middle) <= 1.5 * spread, false)) as bad from orders_d left join (select status, avg(total) as middle, stddev_pop(total) as spread from orders_d group by 1) using (status)",
+    "R25": "select count(*) as n, count(*) filter (where not coalesce((select max(day) from events_d) - day <= 10, false)) as bad from events_d"})
+query("q_lookup", _LOOKED_UP)(lambda s, d: rules.evaluate_rules(s, rules.compiled(LOOKUPS), all_tables(s, d)))
+
+#: Checks over batches that rules name.
+CHECKS = {"digit": checks.CheckDigit("event_id"), "gaps": checks.GapCheck("day"), "short": checks.FrameCheck(["event_type", "value"], lambda f: (int((f.event_type == "click").sum()), int(((f.event_type == "click") & ~(f.value > 10)).sum())))}
+BATCHED = [{"rule_id": f"R{26 + k}", "dataset": "events_d", "column": c, "dimension": dimension, "kind": "aggregate", "threshold": t, "params": {"check": name}} for k, (name, c, dimension, t) in enumerate((("digit", "event_id", "validity", 5.0), ("gaps", "day", "timeliness", 90.0), ("short", "value", "accuracy", 80.0)))]
+_BATCHED = _rows_sql(BATCHED, {
+    "R26": "select count(*) as n, count(*) filter (where list_sum(list_transform(range(1, length(t) + 1), lambda i: case when i % 2 = 0 then (2 * cast(t[i] as int)) % 10 + (2 * cast(t[i] as int)) // 10 else cast(t[i] as int) end)) % 10 <> 0) as bad from (select reverse(cast(event_id as varchar)) as t from events_d)",
+    "R27": "select max(day) - min(day) + 1 as n, max(day) - min(day) + 1 - count(distinct day) as bad from events_d",
+    "R28": "select count(*) as n, count(*) filter (where not coalesce(value > 10, false)) as bad from events_d where event_type = 'click'"})
+query("q_aggregate", _BATCHED)(lambda s, d: rules.evaluate_rules(s, rules.compiled(BATCHED, CHECKS), all_tables(s, d)))
 
 
 @query("q22_auto_rules", CTE + """, c as (select 1 as k, 'value' as col, count(*) as n, count(*) - count(value) as bad from events_d union all select 0, 'event_id', count(*), count(*) - count(distinct event_id) from events_d
