@@ -120,7 +120,7 @@ def test_checks_over_batches_share_a_pass(spark):
 
 
 def test_callables_of_a_frame_still_count(spark):
-    rule = rules.Rule("C", "t", "v", "accuracy", "aggregate", {"check": lambda df: df.agg(F.count("*").alias("n"), F.count_if("id > 6").alias("bad"))})
+    rule = rules.Rule("C", "t", "v", "accuracy", "aggregate", {"check": lambda df: df.agg(F.count("*").alias("n"), F.count_if(F.col("id") > 6).alias("bad"))})
     assert result(spark, rule, t=spark.range(10)) == (70.0, 3)
 
 
