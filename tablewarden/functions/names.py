@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,8 +11,16 @@ from pyspark.sql import functions as F
 #: Words of our own that mark personal data, as part of a name or as a whole token of it.
 PII_PARTS = ["email", "phone", "passport", "birth", "surname", "firstname", "lastname", "fullname", "address", "iban", "salary", "correo", "telefono", "apellido", "direccion", "nacimiento", "cedula", "creditcard"]
 PII_TOKENS = ["name", "dni", "ssn", "nif", "tax", "mail", "mobile", "zip", "ip", "nombre", "cpf", "gender", "geo"]
-#: Letters with marks and their plain forms.
-MARKED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy"
+def _plain(letter: str) -> str:
+    """A small letter's decomposition without marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+
+
+_PLANE = [*map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)])]
+#: Of the basic plane: signs whose decomposition is one plain sign, with these signs; then marks, which have no counterpart and go.
+MARKED = "".join(c for c in _PLANE if c == c.lower() and len(_plain(c)) == 1 and _plain(c) != c)
+PLAIN = "".join(_plain(c).lower() for c in MARKED)
+MARKED += "".join(c for c in _PLANE if unicodedata.combining(c))
 TEAM_WORDS = ["team", "group", "department", "area", "unit", "equipo", "grupo", "departamento", "equipe", "office"]
 SENIORITY = [(5, ["chief", "president", r"\bceo\b", r"\bcfo\b", r"\bcto\b"]), (4, ["director", "head"]), (3, ["manager", "lead", "gerente"]), (2, ["senior", "specialist", "coordinator"])]
 
@@ -44,7 +53,7 @@ def pii_type(name: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Lower case, without marks, trimmed."""
+    """Lower case, without marks, trimmed; signs that decompose into several stay."""
     return F.trim(F.translate(F.lower(c), MARKED, PLAIN))
 
 

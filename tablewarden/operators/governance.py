@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import folded, localized, named_person, seniority
 from . import lineage, scores
+from .containment import contained
 
 PENDING, VALID, CHANGED = "sugerido_ia", "validado", "modificado"
 
@@ -67,9 +68,17 @@ def curation_progress(items: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def coverage(datasets: DataFrame, assignments: DataFrame, results: DataFrame, items: DataFrame) -> DataFrame:
-    """Per dataset (dataset, classification): owner_named (a named steward stands in for an owner who is none), steward_named, classified, has_rules, curation_pct; items name datasets in an array."""
+    """Per dataset (dataset, classification): owner_named (a named steward stands in for an owner who is none), steward_named, classified, has_rules, curation_pct.
+
+    Items name their datasets in an array (linked_datasets), or else by a text (dataset) in which the names stand.
+    """
     rules = results.groupBy("dataset").agg(F.count("*").alias("rules"))
-    each = curation_progress(items.select("status", F.explode("linked_datasets").alias("dataset")), ["dataset"]).select("dataset", "reviewed_pct")
+    if "linked_datasets" in items.columns:
+        linked = items.select("status", F.explode("linked_datasets").alias("dataset"))
+    else:
+        named = contained(items, "dataset", datasets, "dataset")
+        linked = items.join(named, items["dataset"] == named["text"]).select("status", F.col("name").alias("dataset"))
+    each = curation_progress(linked, ["dataset"]).select("dataset", "reviewed_pct")
     joined = datasets.join(assignments, "dataset", "left").join(rules, "dataset", "left").join(each, "dataset", "left")
     return joined.select("dataset", (named_person(F.col("owner")) | named_person(F.col("steward"))).alias("owner_named"), named_person(F.col("steward")).alias("steward_named"),
                          (F.coalesce(F.trim("classification"), F.lit("")) != "").alias("classified"), F.col("rules").isNotNull().alias("has_rules"), F.coalesce("reviewed_pct", F.lit(0.0)).alias("curation_pct"))
@@ -122,7 +131,8 @@ def contracts(datasets: DataFrame, results: DataFrame, consumers: DataFrame, agr
 
 
 def with_remedy(issues: DataFrame, remedies: DataFrame) -> DataFrame:
-    """issues with an action: the rule's own, else its dimension's, else that of completeness (remedies: scope, key, action)."""
+    """issues with an action: the rule's own, else its dimension's, else that of completeness (remedies: scope, key, action; of several for one key the first by name)."""
+    remedies = remedies.groupBy("scope", "key").agg(F.min("action").alias("action"))
     of = lambda scope, name: remedies.where(F.col("scope") == scope).select(F.col("key").alias(name), F.col("action").alias(f"_{name}"))
     fallback = remedies.where((F.col("scope") == "dimension") & (F.col("key") == "completeness")).agg(F.min("action").alias("_any"))
     joined = issues.join(of("rule", "rule_id"), "rule_id", "left").join(of("dimension", "dimension"), "dimension", "left").crossJoin(F.broadcast(fallback))
@@ -168,7 +178,8 @@ def suggested_owners(datasets: DataFrame, people: DataFrame, keywords: DataFrame
     hints = datasets.join(keywords, "domain").select("dataset", folded(F.col("keyword")).alias("keyword"), "priority")
     hints = hints.unionByName(datasets.select("dataset").crossJoin(data_team.select(folded(F.col("keyword")).alias("keyword"))).withColumn("priority", F.lit(last)))
     ranked = people.select("name", folded(F.col("area")).alias("area"), seniority(F.col("title")).alias("level"))
-    areas = hints.join(ranked.select("area").distinct(), F.contains(F.col("area"), F.col("keyword"))).groupBy("dataset", "area").agg(F.min("priority").alias("priority"))
+    fit = contained(ranked, "area", hints, "keyword").toDF("area", "keyword")
+    areas = hints.join(fit, "keyword").groupBy("dataset", "area").agg(F.min("priority").alias("priority"))
     areas = areas.selectExpr("*", "min(priority) over (partition by dataset) as top").where("priority = top")
     # of each area its two first are enough
     two = ranked.selectExpr("*", "row_number() over (partition by area order by level desc, name) as k").where("k <= 2").drop("k")

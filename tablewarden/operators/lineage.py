@@ -8,20 +8,35 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None, down: bool = True) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame | None = None, down: bool = True, growth: int = 4) -> DataFrame:
     """(start, node, depth): everything reachable from every start (default: every node), nearest depth first met, start left out; cycles end.
 
-    The frontier is joined to the edges round after round.
+    Walks double: what is known up to depth d is joined to the jumps of exactly d edges, and the
+    jumps to themselves, so the rounds grow with the logarithm of the longest distance. Where
+    jumps outgrow the edges (growth times as many), the graph is bushy and its distances short;
+    from there on only the last nodes met are joined to the edges, round after round.
     """
     src, dst = ("src", "dst") if down else ("dst", "src")
-    step = written(edges.select(F.col(src).alias("at"), F.col(dst).alias("next")).distinct())
+    step = written(edges.select(F.col(src).alias("at"), F.col(dst).alias("next")).where("at is not null and next is not null").distinct())
     starts = starts if starts is not None else edges.select(F.explode(F.array("src", "dst")).alias("start")).distinct()
-    frontier = starts.select("start", F.col("start").alias("node"))
-    seen, depth = written(frontier.withColumn("depth", F.lit(0))), 0
+    seen = written(starts.where("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
+    jumps, length, known, most = step, 1, seen.count(), growth * step.count() + 1000
+    while jumps is not None:
+        reached = seen.join(jumps, seen["node"] == jumps["at"]).select("start", F.col("next").alias("node"), (F.col("depth") + length).alias("depth"))
+        seen = written(seen.unionByName(reached).groupBy("start", "node").agg(F.min("depth").alias("depth")))
+        before, known, length = known, seen.count(), length * 2
+        if known == before:
+            return seen.where("depth > 0")
+        through = 0
+        if jumps.count() > 1000:  # fewer make a million at most
+            through = jumps.groupBy(F.col("next").alias("at")).agg(F.count("*").alias("i")).join(jumps.groupBy("at").agg(F.count("*").alias("o")), "at").agg(F.sum(F.col("i") * F.col("o")).alias("n")).first()["n"] or 0
+        further = jumps.select(F.col("at").alias("from"), F.col("next").alias("at")).join(jumps, "at").select(F.col("from").alias("at"), "next").distinct()
+        jumps = written(further) if through <= most else None
+    depth, frontier = length - 1, seen.where(F.col("depth") == length - 1).select("start", "node")
     while True:
         depth += 1
-        reached = frontier.join(step, frontier["node"] == step["at"]).select("start", F.col("next").alias("node")).distinct()
-        frontier = written(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        near = frontier.join(step, frontier["node"] == step["at"]).select("start", F.col("next").alias("node")).distinct()
+        frontier = written(near.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen.where("depth > 0")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
@@ -61,10 +76,11 @@ def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("source", "source_layer", "target", "target_layer")
 
 
-def from_flat(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a flat table source, source_layer, target, target_layer; a node's layer is the first by name."""
-    ends = flat.select(F.col("source").alias("id"), F.col("source_layer").alias("layer")).unionByName(flat.select(F.col("target").alias("id"), F.col("target_layer").alias("layer")))
-    nodes = ends.groupBy("id").agg(F.min("layer").alias("layer")).select("id", F.col("id").alias("label"), "layer")
+def from_flat(flat: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a flat table source, source_layer, target, target_layer; a node's layer is that of its first row by the order column (its source before its target), without one the least by name."""
+    place = F.col(order) if order else F.lit(0)
+    ends = flat.select(F.explode(F.array(*(F.struct(F.col(end).alias("id"), F.col(f"{end}_layer").alias("layer"), place.alias("place"), F.lit(k if order else 0).alias("k")) for k, end in enumerate(("source", "target"))))).alias("x")).select("x.*")
+    nodes = ends.groupBy("id").agg(F.min_by("layer", F.struct("place", "k", "layer")).alias("layer")).select("id", F.col("id").alias("label"), "layer")
     return nodes, flat.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
 
 

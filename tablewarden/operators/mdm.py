@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import matching_ratio
 from ..functions.names import same, similarity
 from ..sources.scratch import written
 
 @dataclass(frozen=True)
 class Match:
+    """A column of a match: exact, fuzzy (edit distance) or blocks (matching blocks of letters, the row of the lesser key first)."""
+
     column: str
     weight: float = 1.0
     kind: str = "exact"
@@ -40,16 +43,39 @@ def chosen_matches(table: DataFrame, columns: list[str], most: int = 4, fallback
     return [Match(c, rows[c]["weight"], rows[c]["kind"], rows[c]["threshold"] or 0.85) for c in names]
 
 
-def candidate_pairs(df: DataFrame, key: str, block: str | None, columns: list[str], most: int = 5000) -> DataFrame:
+def tiled(df: DataFrame, key: str, block: str, rows_a_tile: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of blocks with themselves, by (block, _i, _j): a block of many rows is cut into tiles by a hash of the key, and every two tiles meet once, under a key of their own."""
+    rows = df.where(F.col(block).isNotNull())
+    large = rows.groupBy(F.col(block).alias("_block")).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_a_tile).select("_block", F.ceil(F.col("_n") / rows_a_tile).cast("int").alias("_tiles"))
+    tiles, tile = F.lit(1), F.lit(0)
+    if not large.isEmpty():
+        large = written(large)
+        few = large.count() <= 100_000
+        rows = rows.join(F.broadcast(large) if few else large, rows[block] == large["_block"], "left").drop("_block")
+        tiles = F.coalesce("_tiles", F.lit(1))
+        tile = F.pmod(F.xxhash64(key), tiles).cast("int")
+    rows = rows.withColumns({"_t": tile, "_of": tiles}).drop("_tiles")
+    left = rows.withColumn("_j", F.explode(F.sequence(F.col("_t"), F.col("_of") - 1))).withColumnRenamed("_t", "_i").drop("_of")
+    right = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_t")))).withColumnRenamed("_t", "_j").drop("_of")
+    return left, right
+
+
+def candidate_pairs(df: DataFrame, key: str, block: str | None, columns: list[str], most: int = 5000, rows_a_tile: int = 2000) -> DataFrame:
     """Pairs a_<key> < b_<key> with both rows' columns: equal on the block column (null never pairs), or all pairs if they are few enough.
 
-    A skewed block is split by Spark's adaptive skew join.
+    The pairs of a large block are spread over tasks tile by tile.
     """
     wanted = list(dict.fromkeys([key, *([block] if block else []), *columns]))
+    if block:
+        left, right = tiled(df.select(*wanted), key, block, rows_a_tile)
+        x = left.select(F.col(block).alias("_block"), "_i", "_j", F.struct(*wanted).alias("x"))
+        y = right.select(F.col(block).alias("_block"), "_i", "_j", F.struct(*wanted).alias("y"))
+        first = F.col(f"x.{key}") < F.col(f"y.{key}")
+        met = x.join(y, ["_block", "_i", "_j"]).where(first | ((F.col("_i") < F.col("_j")) & (F.col(f"x.{key}") > F.col(f"y.{key}"))))
+        a, b = F.when(first, F.col("x")).otherwise(F.col("y")), F.when(first, F.col("y")).otherwise(F.col("x"))
+        return met.select(a.alias("a"), b.alias("b")).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in wanted))
     a = df.select(*(F.col(c).alias(f"a_{c}") for c in wanted))
     b = df.select(*(F.col(c).alias(f"b_{c}") for c in wanted))
-    if block:
-        return a.join(b, (F.col(f"a_{block}") == F.col(f"b_{block}")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
     n = df.count()
     if n * (n - 1) // 2 > most:
         raise ValueError(f"{n * (n - 1) // 2} pairs without a block column; at most {most}")
@@ -64,8 +90,8 @@ def scored_pairs(pairs: DataFrame, key: str, matches: list[Match]) -> DataFrame:
         if f"a_{m.column}" not in pairs.columns:
             continue
         a, b = F.col(f"a_{m.column}"), F.col(f"b_{m.column}")
-        alike = similarity(a, b) if m.kind == "fuzzy" else F.when(F.coalesce(same(a, b), F.lit(False)), 1.0).otherwise(0.0)
-        hit = alike >= (m.threshold if m.kind == "fuzzy" else 1.0)
+        alike = similarity(a, b) if m.kind == "fuzzy" else matching_ratio(a, b, m.threshold) if m.kind == "blocks" else F.when(F.coalesce(same(a, b), F.lit(False)), 1.0).otherwise(0.0)
+        hit = alike >= (1.0 if m.kind == "exact" else m.threshold)
         terms.append(F.when(hit, m.weight * alike).otherwise(0.0))
         hits.append(F.when(hit, F.lit(m.column)))
     score: Column = reduce(lambda x, y: x + y, terms) / F.lit(float(total))

@@ -2,37 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import pii_name
+from .rules import repeats
 
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 PROFILE = "column string, dtype string, null_pct double, unique_values bigint, sample string, possible_pii boolean"
 
 
-def profile_table(df: DataFrame, order: str | None = None, approximate: bool = False) -> DataFrame:
-    """One row per column: dtype, null % (two decimals), distinct non-null values, first non-null value (40 letters; by the order column), possible PII by name or by e-mail values.
+def _value_key(c: str, kind: str) -> Column:
+    """A text of at most 65 letters that two values share only if they are equal."""
+    x = F.col(f"`{c}`")
+    if kind.startswith(("array", "struct", "map")):
+        text = F.to_json(F.struct(x), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"})
+        text = F.when(x.isNotNull(), text)
+    else:
+        text = F.hex(x) if kind == "binary" else (x + F.lit(0.0)).cast("string") if kind in ("double", "float") else x.cast("string")
+    return F.when(F.octet_length(text) <= 32, text).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
+
 
-    approximate counts distinct values by sketch, for wide or very large tables. An empty
-    table has a row per column too.
+def distinct_counts(df: DataFrame, columns_at_once: int = 50) -> DataFrame:
+    """(position, unique_values) of the columns that have values; some columns a pass, each value by a short key.
+
+    A pass reads its own columns only and sends a key per column and value, met within tasks
+    first; rows are not copied whole for every column as they are for distinct counts side by side.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    each = []
+    for k in range(0, len(df.columns), columns_at_once):
+        keys = F.array(*(F.struct(F.lit(i).alias("position"), _value_key(c, t).alias("value")) for i, (c, t) in list(enumerate(df.dtypes))[k : k + columns_at_once]))
+        values = df.select(F.explode(keys).alias("x")).select("x.*").where("value is not null").groupBy("position", "value").agg(F.lit(1).alias("_one"))
+        each.append(values.groupBy("position").agg(F.count("*").alias("unique_values")))
+    return reduce(DataFrame.unionByName, each)
+
+
+def _side_by_side(df: DataFrame, columns: list[tuple[int, str, str]], order: str | None, approximate: bool) -> DataFrame:
+    """A row for each of some columns (position, name, type), from one aggregate over them."""
     aggs: list[Column] = [F.count("*").alias("n")]
-    for i, c in enumerate(df.columns):
+    for i, c, _ in columns:
         x = F.col(f"`{c}`")
         text = F.substring(x.cast("string"), 1, 40)
         first = F.min_by(text, F.when(x.isNotNull(), F.col(f"`{order}`"))) if order else F.first(text, ignorenulls=True)
-        aggs += [F.count(x).alias(f"c{i}"), distinct(x).alias(f"d{i}"), first.alias(f"s{i}")]
-    wide = df.agg(*aggs)
-    share = email_share(df, order)
+        aggs += [F.count(x).alias(f"c{i}"), (F.approx_count_distinct(x) if approximate else F.lit(None).cast("bigint")).alias(f"d{i}"), first.alias(f"s{i}")]
     rows = F.explode(F.array(*(F.struct(
         F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("dtype"),
         F.when(F.col("n") == 0, 0.0).otherwise(F.bround(100.0 * (F.col("n") - F.col(f"c{i}")) / F.col("n"), 2)).alias("null_pct"),
-        F.col(f"d{i}").alias("unique_values"), F.coalesce(f"s{i}", F.lit("")).alias("sample")) for i, (c, t) in enumerate(df.dtypes))))
-    flat = wide.select(rows.alias("x")).select("x.*")
+        F.col(f"d{i}").alias("sketched"), F.coalesce(f"s{i}", F.lit("")).alias("sample")) for i, c, t in columns)))
+    return df.agg(*aggs).select(rows.alias("x")).select("x.*")
+
+
+def profile_table(df: DataFrame, order: str | None = None, approximate: bool = False, columns_at_once: int = 50) -> DataFrame:
+    """One row per column: dtype, null % (two decimals), distinct non-null values, first non-null value (40 letters; by the order column), possible PII by name or by e-mail values.
+
+    approximate counts distinct values by sketch, for very large tables. Wide tables are read some
+    columns at a time. An empty table has a row per column too.
+    """
+    columns = [(i, c, t) for i, (c, t) in enumerate(df.dtypes)]
+    flat = reduce(DataFrame.unionByName, (_side_by_side(df, columns[k : k + columns_at_once], order, approximate) for k in range(0, len(columns), columns_at_once)))
+    if approximate:
+        flat = flat.withColumnRenamed("sketched", "unique_values")
+    else:
+        flat = flat.join(distinct_counts(df, columns_at_once), "position", "left").withColumn("unique_values", F.coalesce("unique_values", F.lit(0)))
     pii = pii_name(F.col("column")) | (F.coalesce("share", F.lit(0.0)) > 0.5)
-    return flat.join(share, "column", "left").withColumn("possible_pii", pii).orderBy("position").select("column", "dtype", "null_pct", "unique_values", "sample", "possible_pii")
+    return flat.join(email_share(df, order), "column", "left").withColumn("possible_pii", pii).orderBy("position").select("column", "dtype", "null_pct", "unique_values", "sample", "possible_pii")
 
 
 def email_share(df: DataFrame, order: str | None = None, first: int = 50) -> DataFrame:
@@ -49,7 +84,7 @@ def summary(df: DataFrame) -> DataFrame:
     """One row: rows, columns, duplicate_rows, null_cell_pct, pii_columns (by name or by e-mail values)."""
     nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
     cells = df.agg(F.count("*").alias("rows"), nulls.alias("nulls"))
-    repeated = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias("_times")).select("_times").agg(F.coalesce(F.sum(F.col("_times") - 1), F.lit(0)).alias("duplicate_rows"))
+    repeated = repeats(df, df.columns).select(F.col("bad").alias("duplicate_rows"))
     width = len(df.columns)
     found = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string").join(email_share(df), "column", "left")
     names = found.agg(F.count_if(pii_name(F.col("column")) | (F.coalesce("share", F.lit(0.0)) > 0.5)).alias("pii_columns"))

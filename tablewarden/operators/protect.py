@@ -62,3 +62,33 @@ def preview(df: DataFrame, order: list[str], n: int = 20) -> DataFrame:
 
 def pii_columns(dictionary: DataFrame) -> DataFrame:
     return dictionary.where("pii").select("dataset", "column")
+
+
+def governed_views(tables: dict[str, DataFrame], described: DataFrame, plan: DataFrame, members: DataFrame, entitlements: DataFrame, user: str, clear: frozenset[str] = frozenset()) -> dict[str, str]:
+    """Temporary views of the tables as one user may see them, for spark.sql; returns {dataset: view}.
+
+    plan (dataset, role; see access_plan) and members (user, role) tell which datasets the user
+    gets a view of at all. Personal columns by the dictionary (dataset, column, pii) are masked in
+    it, unless one of the user's roles for the dataset is in `clear`. Where entitlements (user,
+    dataset, column, value) name a column of the dataset, whoever they are for, the view holds
+    only rows whose value is among the user's own; several columns hold together. Views of an
+    earlier call that the user no longer gets are dropped.
+    """
+    mine = members.where(F.col("user") == user).select("role").distinct()
+    granted: dict[str, set[str]] = {}
+    for r in plan.join(mine, "role").select("dataset", "role").distinct().collect():  # metadata: datasets by roles
+        granted.setdefault(r["dataset"], set()).add(r["role"])
+    policies = [(r["dataset"], r["column"]) for r in entitlements.select("dataset", "column").distinct().orderBy("dataset", "column").collect()]
+    out = {}
+    for dataset, df in tables.items():
+        view = f"{user}_{dataset}"
+        if dataset not in granted:
+            df.sparkSession.catalog.dropTempView(view)
+            continue
+        for k, (_, column) in enumerate(p for p in policies if p[0] == dataset):
+            allowed = entitlements.where((F.col("user") == user) & (F.col("dataset") == dataset) & (F.col("column") == column)).select(F.col("value").cast("string").alias(f"_allowed{k}"))
+            df = df.join(allowed, df[f"`{column}`"].cast("string") == allowed[f"_allowed{k}"], "left_semi")
+        seen = df if granted[dataset] & clear else masked(df, described, dataset)
+        seen.createOrReplaceTempView(view)
+        out[dataset] = view
+    return out

@@ -205,9 +205,9 @@ def _profile_sql(table: str, order: str, columns: list[tuple[str, str, bool]]) -
     return CTE + " " + " union all ".join(one.format(c=c, t=t, o=order, d=table, p=str(p).lower()) for c, t, p in columns)
 
 
-@query("f1_profile", _profile_sql("customer_d", "c_custkey", [("c_custkey", "bigint", False), ("name", "string", True), ("nation", "int", False), ("segment", "string", False), ("balance_text", "string", False), ("email", "string", True), ("full_name", "string", True)]))
+@query("f1_profile", _profile_sql("customer_d", "c_custkey", [("c_custkey", "bigint", False), ("name", "string", True), ("balance", "double", False), ("nation", "int", False), ("segment", "string", False), ("balance_text", "string", False), ("email", "string", True), ("full_name", "string", True)]))
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_table(load(spark, sf_dir, "customer_d").drop("balance"), "c_custkey")
+    return profile.profile_table(load(spark, sf_dir, "customer_d"), "c_custkey")
 
 
 @query("f1_profile_events", _profile_sql("events", "event_id", [("event_id", "bigint", False), ("ts", "timestamp_ntz", False), ("user_id", "bigint", False), ("event_type", "string", False), ("value", "double", False), ("props", "string", False)]))
@@ -224,12 +224,12 @@ def _suggestions_sql(columns: list[str]) -> str:
     of = "select '{k}' as suggestion, '{c}' as \"column\" from customer_d having {h}"
     rules = {"not_null": "count(*) - count({c}) between 1 and count(*) * 0.2", "unique": "count(*) > 1 and count({c}) = count(*) and count(distinct {c}) = count(*)"}
     rows = [of.format(k=k, c=c, h=h.format(c=c)) for c in columns for k, h in rules.items()]
-    return CTE + " " + " union all ".join(rows) + " union all select 'protect', \"column\" from " + described_sql("customer_d") + " where pii and \"column\" not in ('balance', 'balance_text')"
+    return CTE + " " + " union all ".join(rows) + " union all select 'protect', \"column\" from " + described_sql("customer_d") + " where pii"
 
 
-@query("f3_suggestions", _suggestions_sql(["c_custkey", "name", "nation", "segment", "email", "full_name"]))
+@query("f3_suggestions", _suggestions_sql(["c_custkey", "name", "balance", "nation", "segment", "balance_text", "email", "full_name"]))
 def suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = load(spark, sf_dir, "customer_d").drop("balance", "balance_text")
+    df = load(spark, sf_dir, "customer_d")
     p = profile.profile_table(df, "c_custkey")
     return profile.suggestions(p, df.count(), 0)
 

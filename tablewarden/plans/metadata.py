@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import bi_models, exports, governance, mdm, profile, protect, scores
 from ..sources import files
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, written
 from .catalog import (_CURATED, _DATASETS, _LINKS, _NAMED, AFTER, BEFORE, CTE, DERIVED, RESULTS, _datasets, _described, _edges, _feeds, _items, _nodes, _remedies, _scan, _terms, _verdicts, all_tables, described_sql,
                       load, query, results, rules, tenant_scan)
 from .catalog import _people as _clustered
@@ -142,7 +142,7 @@ query("g19_report_summary", CTE + _EVENTS + """select 'dataset' as field, 'event
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return governance.bundle(_datasets(spark), {k: load(spark, sf_dir, k) for k in DERIVED}, _described(spark, sf_dir), results(spark, sf_dir), _nodes(spark, sf_dir), _edges(spark, sf_dir), _terms(spark, sf_dir))
+    return governance.bundle(_datasets(spark), {k: load(spark, sf_dir, k) for k in DERIVED}, _described(spark, sf_dir), written(results(spark, sf_dir)), _nodes(spark, sf_dir), _edges(spark, sf_dir), _terms(spark, sf_dir))
 
 
 def _written_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tablewarden.plans import catalog, databases, metadata  # noqa: F401 (registers its queries)
+from tablewarden.plans import catalog, databases, extended, metadata  # noqa: F401 (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
@@ -33,5 +33,9 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+#: Queries that SQL cannot say, tested elsewhere against plain versions.
+WITHOUT_SQL = {"x10_matching_blocks"}
+
+
 def test_every_query_has_its_sql():
-    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) == set(catalog.SQL) | WITHOUT_SQL
