@@ -108,7 +108,7 @@ def plain_closure(edges, start):
 @pytest.mark.parametrize("growth", [4, -1000])
 def test_closure_of_odd_graphs(spark, growth):
     rng = random.Random(5)
-    edges = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(60)} | {(f"c{k}", f"c{(k + 1) % 23}") for k in range(23)} | {("c3", "n1"), ("x", "x")} | {(f"d{k}", f"d{j}") for k in range(9) for j in range(9)}
+    edges = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(60)} | {(f"c{k}", f"c{(k + 1) % 11}") for k in range(11)} | {("c3", "n1"), ("x", "x")} | {(f"d{k}", f"d{j}") for k in range(9) for j in range(9)}
     df = spark.createDataFrame([*edges, *list(edges)[:5], (None, "n1"), ("n1", None)], "src string, dst string")
     want = {}
     for s in {x for e in edges for x in e}:
@@ -128,9 +128,9 @@ def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
 
 def test_distinct_values_of_a_wide_table(spark):
     wide = spark.range(60).select("id", *(F.when(F.col("id") % (k + 2) != 0, F.col("id") % (k + 1)).alias(f"c{k}") for k in range(200)))
-    with settings(spark, **{"spark.sql.adaptive.enabled": "false"}):
-        assert "Expand" not in plan(profile.profile_table(wide, "id"))
-    got = {r["column"]: r["unique_values"] for r in profile.profile_table(wide, "id").collect()}
+    found = profile.profile_table(wide, "id").select("column", "unique_values")
+    assert "Expand" not in plan(found)
+    got = {r["column"]: r["unique_values"] for r in found.collect()}
     rows = wide.collect()
     assert got == {c: len({r[c] for r in rows} - {None}) for c in wide.columns}
 
