@@ -78,14 +78,14 @@ RULE_SQL = {
     "R06": ("true", "date '2024-02-10' - day > 30"),
     "R07": ("true", "trim(balance_text) = '-'"),
     "R08": ("true", "balance_text in ('ERROR', 'UNKNOWN')"),
-    "R09": ("true", "day_text = 'UNKNOWN'"),
+    "R09": ("true", "day_text = 'UNKNOWN' or try_strptime(day_text, '%Y-%m-%d') is null"),
     "R10": ("true", "try_cast(balance_text as double) is null"),
     "R11": ("status is distinct from 'P'", "priority is null"),
     "R12": ("true", "abs(quantity * price - total) > 0.01 + 1e-5 * abs(total)"),
     "R13": ("flag = 'N'", "line_status is distinct from 'O'"),
     "R14": ("true", "not coalesce(discount between 0.01 and 0.09, false)"),
     "R15": ("event_type in ('purchase', 'click')", "value is null"),
-    "R16": ("true", "ymd = 20231399"),
+    "R16": ("true", "try_strptime(cast(ymd as varchar), '%Y%m%d') is null"),
     "R17": ("status = 'O'", "not day >= date '1998-01-01'"),
     "R18": ("true", "not regexp_matches(segment, '^[A-M]')"),
     "R19": ("status <> 'P'", "not total > 1000"),

@@ -189,7 +189,7 @@ _SITE = "with w as (select r_name as site, n_name as wb, n_nationkey as k from n
 query("b2_site_fields", _SITE + "select site, ds as model, f as field, case when f = 'email' then 'e-mail' when f = 'Amount' and k % 4 = 0 then 'sum' else '' end as description, x as formula from once, (values ('Amount', 'SUM( q )'), ('Total', 'sum(  q )'), ('email', '')) v(f, x)")(lambda s, d: _site(s, d)["fields"])
 query("b3_site_catalog", _SITE + "select ds as dataset, site, 'PII' as classification, case when k % 2 = 0 then 1 else 0 end as tables, 3 as columns from once")(lambda s, d: bi_models.site_catalog(_site(s, d)))
 query("b4_site_dictionary", _SITE + "select concat(site, '.', ds) as dataset, f as \"column\", case when f = 'email' then '' else 'calculated' end as type, f = 'email' as pii, case when f = 'email' then 'e-mail' else concat('formula: ', x) end as description from once, (values ('Amount', 'SUM( q )'), ('Total', 'sum(  q )'), ('email', '')) v(f, x)")(lambda s, d: bi_models.site_dictionary(_site(s, d)))
-query("b5_site_terms", _SITE + ", r as (select site, ds, f, case when f = 'Amount' and k % 4 = 0 then 'sum' else x end as x, row_number() over (partition by site order by ds, f) as n from once, (values ('Amount', 'SUM( q )'), ('Total', 'sum(  q )')) v(f, x)) select concat('T', lpad(cast(n as varchar), 3, '0')) as term_id, concat(site, '.', ds) as dataset, f as term, x as definition from r")(lambda s, d: bi_models.site_terms(_site(s, d)))
+query("b5_site_terms", _SITE + ", r as (select site, ds, f, case when f = 'Amount' and k % 4 = 0 then 'sum' else x end as x, row_number() over (partition by site order by ds, f) as n from once, (values ('Amount', 'SUM( q )'), ('Total', 'sum(  q )')) v(f, x)) select concat('T', lpad(cast(n as varchar), cast(greatest(3, length(cast(n as varchar))) as int), '0')) as term_id, concat(site, '.', ds) as dataset, f as term, x as definition from r")(lambda s, d: bi_models.site_terms(_site(s, d)))
 query("b6_site_lineage", _SITE + "select concat('s.t', k, ' (pg)') as source, 'source' as source_layer, ds as target, 'model' as target_layer from once where k % 2 = 0 union select ds, 'model', wb, 'report' from l")(lambda s, d: bi_models.site_lineage(_site(s, d)))
 query("q24_site_health", _SITE + """, c as (select w.site, count(*) as wbs, (select count(*) from l where l.site = w.site) as linked, (select count(*) from once o where o.site = w.site) as ds, (select count(*) from once o where o.site = w.site and k % 2 = 0) as traced, (select count(*) from once o where o.site = w.site and k % 4 = 0) as doc from w group by w.site),
   x as (select 'TAB-01' as rule_id, site, doc as good, greatest(2 * ds, 1) as n, greatest(2 * ds, 1) - doc as bad from c union all select 'TAB-02', site, greatest(2 * ds, 1) - greatest(2 * ds - 1, 0), greatest(2 * ds, 1), greatest(2 * ds - 1, 0) from c
