@@ -17,4 +17,7 @@ def spark():
                .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tablewarden.sources import scratch
+
+    scratch.clear(session)
     session.stop()

@@ -145,3 +145,13 @@ def test_numbers_beyond_999_stay_apart(spark, monkeypatch):
     terms = spark.range(1200).selectExpr("'m' as model", "format_string('%05d', id) as measure", "'x' as expression")
     ids = {r["term"]: r["term_id"] for r in bi_models.numbered_terms(terms, "M", "model", "measure", "expression").collect()}
     assert ids == {f"{k:05d}": f"M{k + 1:03d}" for k in range(1200)}
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    from tablewarden.sources import scratch
+
+    assert spark.sparkContext.applicationId in scratch.scratch_root(spark)
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: f"file://{tmp_path}/shared")
+    assert scratch.written(spark.range(3)).count() == 3
+    assert len(list(tmp_path.glob("shared/*/_SUCCESS"))) == 1
+    assert scratch.clear(spark) and not list(tmp_path.glob("*")) and not scratch.clear(spark)
