@@ -49,6 +49,7 @@ class Mining:
     high: int = 90
     anchors_a_block: int = 1024
     rows_a_block: int = 8192
+    least_rows: int = 1024  # of a block, where there are more tasks than blocks
 
 
 def integers(vectors: DataFrame, m: Mining, column: str = "embedding") -> DataFrame:
@@ -152,7 +153,8 @@ def both(anchors: pa.Table, rows: pa.Table) -> tuple[Side, Side]:
 
 def meetings(anchors: DataFrame, rows: DataFrame, m: Mining, n_anchors: int, n_rows: int):
     """Anchors and rows grouped so that every block of anchors meets every block of rows."""
-    across, down = max(1, -(-n_anchors // m.anchors_a_block)), max(tasks(rows.sparkSession), -(-n_rows // m.rows_a_block))
+    across = max(1, -(-n_anchors // m.anchors_a_block))
+    down = max(1, -(-n_rows // m.rows_a_block), min(tasks(rows.sparkSession), -(-n_rows // m.least_rows)))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = anchors.withColumn("_a", block(across)).select("*", every(down).alias("_b"))
