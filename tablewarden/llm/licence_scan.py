@@ -32,18 +32,14 @@ from .licence_texts import NOTICES, PHRASES
 
 SCAN = "doc_id bigint, n_words bigint, phrases array<struct<label:string,phrase:string,word:bigint>>, spans array<struct<label:string,notice:int,first_word:bigint,last_word:bigint,coverage:double>>, best double"
 
-#: Bytes that part words: all ASCII but digits and letters. Upper case is lowered before.
-BETWEEN = np.zeros(256, bool)
-BETWEEN[0x00:0x30] = BETWEEN[0x3A:0x61] = BETWEEN[0x7B:0x80] = True
-
-
-def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return words(data, offsets, BETWEEN)
+#: Letters lowered; all ASCII but digits and letters parts words and becomes a space.
+PLAIN = LOWER.copy()
+PLAIN[0x00:0x30] = PLAIN[0x3A:0x41] = PLAIN[0x5B:0x61] = PLAIN[0x7B:0x80] = 0x20
 
 
 def tokens(text: str) -> list[bytes]:
-    data = LOWER[np.frombuffer(text.encode(), np.uint8)]
-    start, end, _ = split(data, np.array([0, len(data)]))
+    data = PLAIN[np.frombuffer(text.encode(), np.uint8)]
+    start, end, _ = words(data, np.array([0, len(data)]))
     return [data[i:j].tobytes() for i, j in zip(start, end)]
 
 
@@ -210,8 +206,8 @@ class Matcher:
         """(n_words, phrases, spans, best coverage) of each text; runs of words are looked for in buffers of some megabytes."""
         raw, offsets = utf8(texts)
         for i, j in slices(offsets):
-            data = LOWER[raw[offsets[i] : offsets[j]]]
-            start, end, row = split(data, offsets[i : j + 1] - offsets[i])
+            data = PLAIN[raw[offsets[i] : offsets[j]]]
+            start, end, row = words(data, offsets[i : j + 1] - offsets[i])
             number = self.numbers(data, start, end)
             together = np.zeros(len(number) + 1, bool)  # word k stands beside word k - 1
             if len(number):
