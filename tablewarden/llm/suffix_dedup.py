@@ -1,14 +1,13 @@
-"""Removal of long byte strings that an earlier document holds already, with a logarithmic family of suffix indexes.
-
-Only equality over the first `length` bytes of a suffix matters, so a suffix stands in
-sorted order by the 64-bit hash of those bytes. Every task holds a family of sorted suffix
-arrays (`Levels`) for its share of the keys: each new batch gets a sorted array, is
-merge-scanned against the existing levels, and levels of like size are merged.
+"""Removal of long byte strings that an earlier document holds already, with a logarithmic family of suffix arrays.
 
 To keep what is shuffled in proportion to the text, suffixes travel in runs: consecutive
-suffixes whose windows have the same least k-gram (their anchor) form one key. Runs equal
-to those of an earlier document are settled as a whole. Only where an anchor occurs with
-different runs do the single suffixes follow in a second round.
+suffixes whose windows have the same least k-gram (their anchor) form one run, named by a
+128-bit BLAKE2 digest of its bytes. Runs that an earlier document has too are settled as a
+whole. Where an anchor occurs with different runs, the bytes of these runs follow in a second
+round: every task takes the runs of its share of the anchors batch by batch, orders the
+suffixes of a batch by their bytes, scans this suffix array against the arrays it holds
+(`Levels`) for matches over the full length, and merges arrays of like size. The 64-bit
+hashes of k-grams choose anchors and tasks only; equality is a matter of bytes or digests.
 """
 
 from __future__ import annotations
@@ -19,14 +18,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fresh_names, mix, parts_of, prefix_hash, range_hash, slices, small_batches, stored, utf8
+from .common import U64, fresh_names, mix, parts_of, prefix_hash, slices, small_batches, stored, utf8
 
 PLACE_BITS = 36  # positions inside a slice of texts; equal hashes above them go to the first
 SLICE = 1 << 19
-RESULT = "doc_id long, whole boolean, key long"
+DIGEST = "S16"
+RESULT = "doc_id long, whole boolean, key long, more long"
+OPEN_RUN = "place int, doc_id long, text binary"
+
+
+def digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of the byte ranges [first, end)."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(first.tolist(), end.tolist())]), DIGEST)
+
+
+def _halves(keys: np.ndarray) -> np.ndarray:
+    """Digests as two columns of 64-bit integers."""
+    return np.ascontiguousarray(keys).view(np.int64).reshape(-1, 2)
 
 
 class Levels:
@@ -57,22 +70,22 @@ class Levels:
             both = [np.concatenate(x) for x in zip(b, a)]
             order = np.argsort(both[0], kind="stable")
             self.levels.append([x[order] for x in both])
-        return _joined(lost_docs, np.int64), _joined(lost_keys, np.uint64)
+        return _joined(lost_docs, np.int64), _joined(lost_keys, keys.dtype)
 
     def all(self) -> list[np.ndarray]:
-        return [np.concatenate(x) for x in zip(*self.levels)] if self.levels else [np.zeros(0, t) for t in (np.uint64, np.int64, np.uint32)]
+        return [np.concatenate(x) for x in zip(*self.levels)] if self.levels else [np.zeros(0, t) for t in (DIGEST, np.int64, np.uint32)]
 
 
-def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+def _joined(parts: list[np.ndarray], kind: np.dtype | str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Runs of suffix starts [first, last] that share an anchor, with their row, content key and anchor hash; sums and inverse serve range_hash()."""
+    """Runs of suffix starts [first, last] that share an anchor, with their row, the data and the anchor's hash."""
     gram = length // 2 + 1
     window, n = length - gram + 1, len(data)
     sums, inverse = prefix_hash(data)
-    empty = {"first": np.zeros(0, np.int64), "last": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "key": np.zeros(0, np.uint64), "anchor": np.zeros(0, np.uint64), "sums": sums, "inverse": inverse}
+    empty = {"first": np.zeros(0, np.int64), "last": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "anchor": np.zeros(0, np.uint64), "data": data}
     if n < length:
         return empty
     h = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
@@ -94,7 +107,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nda
     first, last = start[cut[:-1]], start[cut[1:] - 1]
     return empty | {
         "first": first, "last": last, "row": np.searchsorted(offsets, first, "right") - 1,
-        "key": range_hash(sums, inverse, first, last + length), "anchor": mix(h[place[cut[:-1]]] + U64(1)),
+        "anchor": mix(h[place[cut[:-1]]] + U64(1)),
     }
 
 
@@ -146,36 +159,48 @@ def _payload(keys: np.ndarray, docs: np.ndarray, extra: np.ndarray, place: np.nd
                    "lost_base": lost_base, "lost_docs": lost if with_lost else b"", "lost_keys": lost_keys.tobytes() if with_lost else b""}
 
 
-def _settle(rows: pd.DataFrame, find_open: bool) -> pd.DataFrame:
-    """Feed a bucket's batches to its levels. Whole: documents whose key a smaller document has; the rest: least documents of anchors with several runs."""
-    family, docs, keys, opened = Levels(), [], [], ([], [])
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """Feed a bucket's batches to its levels. Whole: documents whose run a smaller document has; the rest: least documents of anchors with several runs."""
+    family, docs, keys = Levels(), [], []
     for r in rows.itertuples():
-        n = len(r.lost_keys) // 8
-        docs.append(_wide(r.lost_base, r.lost_docs, n))
-        keys.append(np.frombuffer(r.lost_keys, np.uint64))
-        lost = family.add(np.frombuffer(r.keys, np.uint64), _wide(r.base, r.docs, r.n), np.frombuffer(r.extra, np.uint32))
+        docs.append(_wide(r.lost_base, r.lost_docs, len(r.lost_keys) // 16))
+        keys.append(np.frombuffer(r.lost_keys, DIGEST))
+        lost = family.add(np.frombuffer(r.keys, DIGEST), _wide(r.base, r.docs, r.n), np.frombuffer(r.extra, np.uint32))
         docs.append(lost[0])
         keys.append(lost[1])
-    if find_open:
-        key, doc, anchor = family.all()
-        order = np.lexsort((doc, anchor))
-        key, doc, anchor = key[order], doc[order], anchor[order]
-        cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
-        group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(anchor))))
-        last = np.append(cut[1:], len(anchor)) - 1
-        several = (doc[cut] != doc[last])[group] if len(cut) else np.zeros(0, bool)
-        opened = ([doc[several]], [key[several]])
+    key, doc, anchor = family.all()
+    order = np.lexsort((doc, anchor))
+    key, doc, anchor = key[order], doc[order], anchor[order]
+    cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    last = np.append(cut[1:], len(anchor)) - 1
+    several = np.repeat(doc[cut] != doc[last], last + 1 - cut)
     settled = sum(map(len, docs))
-    out = pd.DataFrame({"doc_id": np.concatenate([*docs, *opened[0]]) if docs or opened[0] else np.zeros(0, np.int64)})
+    out = pd.DataFrame({"doc_id": np.concatenate([*docs, doc[several]])})
     out["whole"] = np.arange(len(out)) < settled
-    out["key"] = _joined([*keys, *opened[1]], np.uint64).view(np.int64)
+    both = _halves(_joined([*keys, key[several]], DIGEST))
+    out["key"], out["more"] = both[:, 0], both[:, 1]
     return out
 
 
-def _results(docs: DataFrame, mapper, find_open: bool, buckets: int) -> DataFrame:
-    """Deal the mapper's payload to buckets, four to a partition, and settle each."""
-    dealt = docs.mapInArrow(mapper, PAYLOAD).repartition(max(1, buckets // 4), "bucket")
-    return stored(dealt.groupBy("bucket").applyInPandas(lambda rows: _settle(rows, find_open), RESULT))
+def suffix_arrays(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Open runs (OPEN_RUN) of one task: documents and digests of suffixes, cut at `length` bytes, that a smaller document of the task has.
+
+    Each batch's suffixes are ordered by their bytes, which gives the batch's suffix array; it is scanned against those of the batches before.
+    """
+    family = Levels()
+    for b in batches:
+        data, offsets = utf8(b.column("text"))
+        at, run = _spread(offsets[:-1], offsets[1:] - length)
+        if not len(at):
+            continue
+        suffixes = np.ascontiguousarray(sliding_window_view(data, length)[at]).view(f"S{length}")[:, 0]
+        (keys, least, extra), (docs, lost) = least_per_key(suffixes, b.column("doc_id").to_numpy(zero_copy_only=False)[run], np.zeros(len(at), np.uint8))
+        more_docs, more = family.add(keys, least, extra)
+        docs, lost = np.concatenate([docs, more_docs]), np.concatenate([lost, more])
+        if len(docs):
+            start = np.arange(len(docs)) * length
+            both = _halves(digests(np.frombuffer(lost.tobytes(), np.uint8), start, start + length))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "key", "more"])
 
 
 def _record_batch(rows: list[dict]) -> pa.RecordBatch:
@@ -184,19 +209,26 @@ def _record_batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column and the row of each."""
+    """Digests of a column of lists of (key, more), and the row of each."""
     sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(column)), sizes)
+    flat = column.flatten()
+    both = np.stack([flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)], axis=1)
+    return both.view(DIGEST)[:, 0], np.repeat(np.arange(len(column)), sizes)
+
+
+def _with_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    out = np.empty((len(key), 3), np.int64)
+    out[:, 0], out[:, 1:] = row, _halves(key)
+    return out.view("S24")[:, 0]
 
 
 def _member(row: np.ndarray, key: np.ndarray, set_row: np.ndarray, set_key: np.ndarray) -> np.ndarray:
     """Whether (row, key) is among the given pairs."""
-    salted = np.unique(set_key ^ mix(set_row.astype(np.uint64) + U64(1)))
-    if not len(salted):
+    pairs = np.unique(_with_row(set_row, set_key))
+    if not len(pairs):
         return np.zeros(len(key), bool)
-    want = key ^ mix(row.astype(np.uint64) + U64(1))
-    at = np.minimum(np.searchsorted(salted, want), len(salted) - 1)
-    return salted[at] == want
+    want = _with_row(row, key)
+    return pairs[np.minimum(np.searchsorted(pairs, want), len(pairs) - 1)] == want
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,39 +239,44 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def repeated(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(runs, suffixes): documents' run keys, whole (a smaller doc_id has the run) or open, and keys of single suffixes that a smaller doc_id has."""
+    """(runs, suffixes): documents' runs by digest (key, more), whole (a smaller doc_id has the run) or open, and digests of single suffixes that a smaller doc_id has."""
     buckets = 4 * parts_of(docs)
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, b in enumerate(small_batches(batches)):
             ids, found = b.column("doc_id").to_numpy(zero_copy_only=False), []
             for rows, r in _batch_runs(b, length):
-                found.append((r["key"], ids[rows[r["row"]]] if len(r["row"]) else np.zeros(0, np.int64), r["anchor"]))
+                if len(r["row"]):
+                    found.append((digests(r["data"], r["first"], r["last"] + length), ids[rows[r["row"]]], r["anchor"]))
             if found:
                 key, doc, anchor = (np.concatenate(x) for x in zip(*found))
                 place = (anchor >> U64(32)) * U64(buckets) >> U64(32)
                 if out := list(_payload(key, doc, anchor & U64(0xFFFFFFFF), place, buckets, turn)):
                     yield _record_batch(out)
 
-    def deal_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(small_batches(batches)):
-            ids, found = b.column("doc_id").to_numpy(zero_copy_only=False), []
+    def deal_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             set_key, set_row = _lists(b.column("open_runs"))
             for rows, r in _batch_runs(b, length):
                 inside = (set_row >= rows[0]) & (set_row <= rows[-1])
-                mine = _member(r["row"], r["key"], set_row[inside] - rows[0], set_key[inside])
-                at, run = _spread(r["first"][mine], r["last"][mine])
-                if len(at):
-                    found.append((range_hash(r["sums"], r["inverse"], at, at + length), ids[rows[r["row"][mine][run]]]))
-            if found:
-                key, doc = (np.concatenate(x) for x in zip(*found))
-                if out := list(_payload(key, doc, np.zeros(len(key), np.uint64), (key >> U64(32)) * U64(buckets) >> U64(32), buckets, turn)):
-                    yield _record_batch(out)
-
-    named = docs.where(F.col("doc_id").isNotNull())
-    by_run = _results(named.select("doc_id", "text"), deal_runs, True, buckets)
-    opened = by_run.where("not whole").groupBy("doc_id").agg(F.collect_list("key").alias("open_runs"))
-    return by_run, _results(named.join(opened, "doc_id").select("doc_id", "text", "open_runs"), deal_suffixes, False, buckets)
+                key = digests(r["data"], r["first"], r["last"] + length)
+                mine = np.flatnonzero(_member(r["row"], key, set_row[inside] - rows[0], set_key[inside]))
+                mine = mine[np.unique(_with_row(r["row"][mine], key[mine]), return_index=True)[1]]
+                if len(mine):
+                    at, _ = _spread(r["first"][mine], r["last"][mine] + length - 1)
+                    ends = np.cumsum(r["last"][mine] + length - r["first"][mine])
+                    offsets = np.concatenate([[0], ends]).astype(np.int32)
+                    texts = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(r["data"][at].tobytes())])
+                    place = (r["anchor"][mine] >> U64(33)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids[rows[r["row"][mine]]], pa.int64()), texts], ["place", "doc_id", "text"])
+
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    dealt = named.mapInArrow(deal_runs, PAYLOAD).repartition(max(1, buckets // 4), "bucket")
+    by_run = stored(dealt.groupBy("bucket").applyInPandas(_settle, RESULT))
+    opened = by_run.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("key", "more")).alias("open_runs"))
+    open_runs = named.join(opened, "doc_id").mapInArrow(deal_open, OPEN_RUN).repartition(buckets, "place")
+    return by_run, stored(open_runs.mapInArrow(lambda batches: suffix_arrays(batches, length), "doc_id long, key long, more long"))
 
 
 def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, report: bool = True) -> DataFrame:
@@ -256,8 +293,8 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, report: bo
     core = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = fresh_names(rows, 4)
     by_run, by_suffix = repeated(core, length)
-    keys = by_run.withColumn("of", F.when(F.col("whole"), 0).otherwise(1)).select("doc_id", "of", "key").unionByName(by_suffix.select("doc_id", F.lit(2).alias("of"), "key"))
-    keys = keys.groupBy(F.col("doc_id").alias(own[3])).agg(*(F.collect_list(F.when(F.col("of") == i, F.col("key"))).alias(own[i]) for i in range(3)))
+    keys = by_run.withColumn("of", F.when(F.col("whole"), 0).otherwise(1)).select("doc_id", "of", "key", "more").unionByName(by_suffix.withColumn("of", F.lit(2)))
+    keys = keys.groupBy(F.col("doc_id").alias(own[3])).agg(*(F.collect_list(F.when(F.col("of") == i, F.struct("key", "more"))).alias(own[i]) for i in range(3)))
     joined = rows.join(keys, rows["doc_id"].cast("long") == keys[own[3]], "left").drop(own[3])
     extra = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")] if report else []
     schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, *extra])
@@ -266,26 +303,29 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, report: bo
         for b in small_batches(batches):
             data, offsets = utf8(b.column("text").cast(pa.string()))
             sets = [_lists(b.column(own[i])) for i in range(3)]
-            removed, spans, digests, kept_texts = [], [], [], []
+            removed, spans, kept_digests, kept_texts = [], [], [], []
             for i, j in slices(offsets, SLICE):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 mine = [(k[(r >= i) & (r < j)], r[(r >= i) & (r < j)] - i) for k, r in sets]
                 gone = np.zeros(len(part) + 1, np.int32)
                 if any(len(k) for k, _ in mine):
                     r = runs(part, off, length)
-                    whole = _member(r["row"], r["key"], mine[0][1], mine[0][0])
-                    opened = _member(r["row"], r["key"], mine[1][1], mine[1][0]) & ~whole
-                    at, run = _spread(r["first"][opened], r["last"][opened])
-                    single = at[_member(r["row"][opened][run], range_hash(r["sums"], r["inverse"], at, at + length), mine[2][1], mine[2][0])]
-                    np.add.at(gone, np.concatenate([r["first"][whole], single]), 1)
-                    np.add.at(gone, np.concatenate([r["last"][whole], single]) + length, -1)
+                    named = np.flatnonzero(np.isin(r["row"], np.concatenate([rows for _, rows in mine])))
+                    row, first, last = r["row"][named], r["first"][named], r["last"][named]
+                    key = digests(part, first, last + length)
+                    whole = _member(row, key, mine[0][1], mine[0][0])
+                    opened = _member(row, key, mine[1][1], mine[1][0]) & ~whole
+                    at, run = _spread(first[opened], last[opened])
+                    single = at[_member(row[opened][run], digests(part, at, at + length), mine[2][1], mine[2][0])]
+                    np.add.at(gone, np.concatenate([first[whole], single]), 1)
+                    np.add.at(gone, np.concatenate([last[whole], single]) + length, -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 for a, z in zip(off[:-1], off[1:]):
                     mask = gone[a:z]
                     kept = part[a:z][~mask].tobytes() if mask.any() else part[a:z].tobytes()
                     removed.append(int(mask.sum()))
                     spans.append(int(np.count_nonzero(mask[1:] & ~mask[:-1]) + (z > a and mask[0])))
-                    digests.append(hashlib.sha256(kept).hexdigest())
+                    kept_digests.append(hashlib.sha256(kept).hexdigest())
                     if keep_text:
                         kept_texts.append(kept.decode("utf-8", "ignore"))
             cols = {c: b.column(c) for c in names}
@@ -293,7 +333,7 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, report: bo
                 missing = b.column("text").is_null().to_pylist()
                 cols["text"] = pa.array([None if m else t for m, t in zip(missing, kept_texts)], pa.string())
             if report:
-                cols |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+                cols |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(kept_digests, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return joined.mapInArrow(strip, schema)

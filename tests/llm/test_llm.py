@@ -157,6 +157,37 @@ def test_suffix_dedup_beside_clashing_columns(spark):
     assert plain.columns == table.columns and {(r["_id"], r["n_bytes"], r["_OWN1"]) for r in plain.collect()} == {("a", 5, 3), ("b", 6, 3)}
 
 
+def test_suffix_arrays_against_brute_force():
+    import pyarrow as pa
+
+    texts = [(int(d), bytes(RNG.integers(0, 2, int(n)).astype(np.uint8))) for d, n in zip(RNG.integers(0, 40, 300), RNG.integers(4, 14, 300))]  # bytes 0 and 1: ends that are all NUL
+    batches = [pa.record_batch([pa.array([0] * len(part), pa.int32()), pa.array([d for d, _ in part], pa.int64()), pa.array([t for _, t in part], pa.binary())], ["place", "doc_id", "text"])
+               for part in (texts[k : k + 25] for k in range(0, 300, 25))]
+    least, owned = {}, set()
+    for d, t in texts:
+        for k in range(len(t) - 3):
+            least[t[k : k + 4]] = min(d, least.get(t[k : k + 4], d))
+            owned.add((d, t[k : k + 4]))
+    name = lambda g: suffix_dedup.digests(np.frombuffer(g, np.uint8), np.array([0]), np.array([4])).view(np.int64).tolist()
+    want = {(d, *name(g)) for d, g in owned if least[g] < d}
+    got = {tuple(r.values()) for b in suffix_dedup.suffix_arrays(iter(batches), 4) for r in b.to_pylist()}
+    assert got == want and len(want) > 100
+
+
+def test_repeats_in_other_surroundings(spark):
+    """A passage that every document holds between texts of its own, several times, and rows of one doc_id."""
+    shared = prose(30, 5)
+    rows = [(i, f"{prose(12, 100 + i)} {shared} {prose(9, 300 + i)} {shared}") for i in range(60)] + [(7, shared), (70, shared), (71, shared[:49]), (72, "\0" * 60), (73, "\0" * 55)]
+    got = {(r["doc_id"], r["n_bytes"]): r for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), keep_text=True).collect()}
+    for i, t in rows:
+        b, mark = t.encode(), np.zeros(len(t.encode()), bool)
+        earlier = {u.encode()[k : k + 50] for j, u in rows if j < i for k in range(len(u.encode()) - 49)}
+        for k in range(len(b) - 49):
+            if b[k : k + 50] in earlier:
+                mark[k : k + 50] = True
+        assert got[i, len(b)]["text"] == np.frombuffer(b, np.uint8)[~mark].tobytes().decode(), i
+
+
 def test_levels_merge_geometrically():
     family, owner = suffix_dedup.Levels(), {}
     for turn in range(40):
