@@ -203,6 +203,21 @@ def test_levels_merge_geometrically():
     assert dict(zip(key.tolist(), doc.tolist())) == owner and len(family.levels) <= 9
 
 
+def test_fingerprints_number_repeats(spark):
+    """Repeated paragraphs get the numbers that searching for the first of them gives; 50,000 equal lines in 2 MB of text take linear time."""
+    from pyspark.sql import functions as F
+
+    texts = ["", "a\n" * 7, "x. y. x. y. x. y.\n" * 5, *("".join(RNG.choice(["one\n", "two\n", "three. four.\n"], 40)) for _ in range(20))]
+    plain = F.sort_array(F.transform(F.regexp_extract_all("text", F.lit(fingerprints.PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
+    searched = F.transform("h", lambda h, i: F.xxhash64(h, F.when(F.get("h", i - 1) == h, i + 1 - F.array_position("h", h)).otherwise(0)))
+    table = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("h", plain)
+    for r in table.select(searched.alias("want"), fingerprints.digests(F.col("text")).alias("got")).collect():
+        assert sorted(r["want"]) == sorted(r["got"]) and len(set(r["got"])) == len(r["got"])
+    long = "the same line\n" * 50_000 + "".join(f"{k} stands for itself in a line of its own\n" for k in range(30_000))
+    found = spark.createDataFrame([(long,)], "text string").select(F.size(fingerprints.digests(F.col("text"))), F.size(F.array_distinct(fingerprints.digests(F.col("text"))))).first()
+    assert len(long) > 1_900_000 and tuple(found) == (80_000, 80_000)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
