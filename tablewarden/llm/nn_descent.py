@@ -24,12 +24,12 @@ class Settings:
     neighbours: int = 32  # kept of each node
     trees: int = 4
     leaf: int = 96
-    rounds: int = 6
+    rounds: int = 6  # of local joins at most
+    settled: float = 0.001  # a round that renews a smaller share of the edges is the last
     around: int = 64  # of a node's reverse neighbours, those compared in one round
     pool: int = 400
     step: int = 32  # nodes a query expands at a time
     entries: int = 32
-    most_steps: int = 40
 
 
 EDGES = "node long, other long, d double"
@@ -146,6 +146,9 @@ def build_graph(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
     edges = stored(best(start, "node", ["d", "other"], s.neighbours).withColumn("fresh", F.lit(True)))
     for _ in range(s.rounds):
         edges = improve(edges, codes, s)
+        many, renewed = edges.agg(F.count("*"), F.count_if("fresh")).first()
+        if renewed <= s.settled * many:
+            break
     back = best(edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "d"), "node", ["d", "other"], s.neighbours)
     return stored(edges.select("node", "other").unionByName(back.select("node", "other")).distinct())
 
@@ -165,13 +168,13 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, s: Settings =
         return pairs.distinct().join(vectors, "node").join(queries.select("query_id", "v"), "query_id").select("query_id", "node", distance("v", "nv").alias("score"))
 
     pool = stored(best(scored(start), "query_id", ["score", "node"], s.pool).withColumn("expanded", F.lit(False)))
-    for _ in range(s.most_steps):
+    more = True
+    while more:  # ends: a pool only gets nearer, and no node of it is expanded twice
         now = best(pool.where("not expanded"), "query_id", ["score", "node"], s.step).select("query_id", "node")
         reached = now.join(graph, "node").select("query_id", F.col("other").alias("node")).distinct().join(pool.select("query_id", "node"), ["query_id", "node"], "left_anti")
         marked = pool.join(now.withColumn("now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
         pool = stored(best(marked.unionByName(scored(reached).withColumn("expanded", F.lit(False))), "query_id", ["score", "node"], s.pool))
-        if pool.where("not expanded").isEmpty():
-            break
+        more = not pool.where("not expanded").isEmpty()
     return pool.select("query_id", "node", "score")
 
 
@@ -179,10 +182,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, s: Set
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every` its k nearest found among all others, by Euclidean distance, ties to the smaller id.
 
     Vectors that are null, zero, of another dimension than most, or hold nulls or non-finite
-    components take no part. Rows repeated with their id count once. Other columns are
+    components take no part. Of rows of one id the least vector counts. Other columns are
     ignored. An empty table gives an empty result; with k others or fewer, all are returned.
     """
-    rows = stored(usable(vectors, vec_id, embedding).dropDuplicates(["vec_id"]))
+    rows = stored(usable(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min("v").alias("v")))
     nodes, members = nodes_and_members(rows, k + 1)
     graph = build_graph(nodes, s)
     own = nodes.select(F.col("node").alias("own"), F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
