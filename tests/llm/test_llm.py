@@ -203,6 +203,14 @@ def test_levels_merge_geometrically():
     assert dict(zip(key.tolist(), doc.tolist())) == owner and len(family.levels) <= 9
 
 
+def test_least_vector_of_one_id(spark):
+    """Of different vectors under one vec_id the least by its components counts, whatever the order of rows."""
+    rows = [(0, [1.0, 0.0]), (1, [9.0, 9.0]), (1, [1.0, 1.0]), (2, [1.0, 3.0])]
+    for order in (rows, rows[::-1]):
+        got = nn_descent.nearest_neighbours(spark.createDataFrame(order, "vec_id long, embedding array<float>").repartition(3), k=2).collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1.0), (0, 2, 3.0)]
+
+
 def test_fingerprints_number_repeats(spark):
     """Repeated paragraphs get the numbers that searching for the first of them gives; 50,000 equal lines in 2 MB of text take linear time."""
     from pyspark.sql import functions as F
