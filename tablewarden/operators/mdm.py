@@ -117,10 +117,43 @@ def clusters(scored: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFram
     """(members: node, component; report: component, rows, confidence to 3 decimals, matched_on) of pairs scored at least `least`."""
     links = written(scored.where(F.col("score") >= least))
     members = connected(links)
-    tied = links.join(members, links["a"] == members["node"])
+    return members, reported(links.join(members, links["a"] == members["node"]), members)
+
+
+def reported(tied: DataFrame, members: DataFrame) -> DataFrame:
+    """component, rows, confidence and matched_on, of links with their component and of all members."""
     stats = tied.groupBy("component").agg(F.bround(F.max("score"), 3).alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("matched_on")))).alias("matched_on"))
     sizes = members.groupBy("component").agg(F.count("*").alias("rows"))
-    return members, stats.join(sizes, "component").select("component", "rows", "confidence", "matched_on")
+    return stats.join(sizes, "component").select("component", "rows", "confidence", "matched_on")
+
+
+def clustered(df: DataFrame, key: str, block: str, matches: list[Match], least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """clusters() of the pairs of df within blocks, without writing out the pairs of rows that are alike.
+
+    Rows of one block whose match columns read the same are a class: one score holds for all pairs
+    in it, and one for all pairs of two classes, so only classes are paired and linked, and rows
+    get the component of their class. Matching blocks can depend on which row comes first; with
+    them all pairs are scored.
+    """
+    columns = list(dict.fromkeys(m.column for m in matches))
+    if any(m.kind == "blocks" for m in matches):
+        return clusters(scored_pairs(candidate_pairs(df, key, block, columns), key, matches), least)
+    rows = df.where(F.col(block).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("node"), F.col(block).alias("_block"), *(F.lower(F.trim(F.col(c).cast("string"))).alias(c) for c in columns))
+    classes = written(rows.groupBy("_block", *columns).agg(F.min("node").alias("_first"), F.max("node").alias("_last")).withColumn("_id", F.monotonically_increasing_id()))
+    inside = classes.where("_first < _last").select(*(F.col(c).alias(f"{s}_{c}") for s in "ab" for c in ["_id", *columns]))
+    across = candidate_pairs(classes, "_id", "_block", [*columns, "_first", "_last"]).where("least(a__first, b__first) < greatest(a__last, b__last)")  # a row is no pair with itself
+    links = written(scored_pairs(inside, "_id", matches).unionByName(scored_pairs(across, "_id", matches)).where(F.col("score") >= least))
+    tied = links.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    named = classes.join(tied, "_id").select("_id", F.col("_block").alias("_at"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(columns)))
+    held = written(rows.join(named, reduce(lambda x, y: x & y, (rows[c].eqNullSafe(named[f"_{k}"]) for k, c in enumerate(columns)), rows["_block"] == named["_at"])).select("node", "_id"))
+    shared = held.groupBy("node").agg(F.min("_id").alias("a"), F.max("_id").alias("_most")).where("a < _most")  # keys that several classes hold
+    same_row = shared.join(held, "node").select("a", F.col("_id").alias("b"))
+    found = connected(links.select("a", "b").unionByName(same_row)).withColumnRenamed("node", "_id")
+    labels = tied.join(found, "_id", "left").select("_id", F.coalesce("component", "_id").alias("_label"))
+    least_key = labels.join(classes, "_id").groupBy("_label").agg(F.min("_first").alias("component"))
+    components = written(labels.join(least_key, "_label").select("_id", "component"))
+    members = written(held.join(components, "_id").select("node", "component").distinct())
+    return members, reported(links.join(components, links["a"] == components["_id"]), members)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -257,8 +257,7 @@ _LINKS = CTE + """, links as (select a.c_custkey as a, b.c_custkey as b, ((case
 
 def _people(spark: SparkSession, sf_dir: str):
     df = load(spark, sf_dir, "customer_d").withColumn("block", F.concat_ws("|", "full_name", (F.col("nation") % 5).cast("string")))
-    scored = mdm.scored_pairs(mdm.candidate_pairs(df, "c_custkey", "block", ["full_name", "segment"]), "c_custkey", PEOPLE)
-    return df, *mdm.clusters(scored, 0.9)
+    return df, *mdm.clustered(df, "c_custkey", "block", PEOPLE, 0.9)
 
 
 @query("m4_clusters", _LINKS + "select component, count(*) as rows, 1.0 as confidence from members group by component")

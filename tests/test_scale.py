@@ -95,6 +95,26 @@ def test_pairs_of_a_large_block_are_spread(spark):
     assert len(each) == 8 and sum(each) > 1500 * 1499 // 2 and max(each) <= 2 * sorted(each)[4]
 
 
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.9])
+def test_clusters_of_classes_equal_those_of_all_pairs(spark, least, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(150), rng.choice(["x", "y", None]), rng.choice(["Ana Ruiz", " ana ruiz", "Ana Ruis", "Leo Paz", "", None]), rng.choice([0.0, -0.0, 1.5, None])) for _ in range(120)] + [(500 + k, f"z{k // 2}", "Eva", 2.0 + k) for k in range(8)]
+    df = spark.createDataFrame(rows, "id long, block string, name string, amount double")
+    matches = [mdm.Match("name", 1.0, "fuzzy", 0.8), mdm.Match("amount", 1.5)]
+    want, got = mdm.clusters(mdm.scored_pairs(mdm.candidate_pairs(df, "id", "block", ["name", "amount"]), "id", matches), least), mdm.clustered(df, "id", "block", matches, least)
+    for w, g in zip(want, got):
+        assert sorted(map(str, w.collect())) == sorted(map(str, g.collect()))
+
+
+def test_pairs_of_rows_that_are_alike_are_not_written(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(mdm, "written", lambda df, old=mdm.written: made.append(old(df)) or made[-1])
+    df = spark.range(2000).selectExpr("id", "'b' as block", "concat('v', id % 2) as v")
+    members, report = mdm.clustered(df, "id", "block", [mdm.Match("v")], 0.9)
+    assert members.groupBy("component").count().orderBy("component").collect() == [(0, 1000), (1, 1000)] and report.count() == 2
+    assert max(d.count() for d in made) <= 2000  # a million pairs
+
+
 def plain_closure(edges, start):
     seen, frontier, depth, out = {start}, {start}, 0, {}
     while frontier:
