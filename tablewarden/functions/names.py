@@ -88,10 +88,14 @@ def same(a: Column, b: Column) -> Column:
     return F.lower(F.trim(a.cast("string"))) == F.lower(F.trim(b.cast("string")))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance over the longer length, of trimmed lower-case text; null or blank: 0."""
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """1 - edit distance over the longer length, of trimmed lower-case text; null or blank: 0. Values below `least` may come as 0: the distance is measured no further than they need."""
     x, y = (F.lower(F.trim(c.cast("string"))) for c in (a, b))
-    return F.when((x != "") & (y != ""), 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))).otherwise(0.0)
+    longer = F.greatest(F.length(x), F.length(y))
+    if least <= 0:
+        return F.when((x != "") & (y != ""), 1 - F.levenshtein(x, y) / longer).otherwise(0.0)
+    distance = F.call_function("levenshtein", x, y, F.floor((1 - least) * longer).cast("int") + 1)  # one more than can count; -1 beyond it
+    return F.when((x != "") & (y != "") & (distance >= 0), 1 - distance / longer).otherwise(0.0)
 
 
 def formula_key(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import matching_ratio
 from ..functions.names import same, similarity
+from ..functions.tiles import tile_scores
 from ..sources.scratch import written
 
 @dataclass(frozen=True)
@@ -43,21 +44,26 @@ def chosen_matches(table: DataFrame, columns: list[str], most: int = 4, fallback
     return [Match(c, rows[c]["weight"], rows[c]["kind"], rows[c]["threshold"] or 0.85) for c in names]
 
 
-def tiled(df: DataFrame, key: str, block: str, rows_a_tile: int) -> tuple[DataFrame, DataFrame]:
-    """The two sides of a join of blocks with themselves, by (block, _i, _j): a block of many rows is cut into tiles by a hash of the key, and every two tiles meet once, under a key of their own."""
+def tiled(df: DataFrame, key: str, block: str, rows_a_tile: int, pairs_a_task: int = 2_000_000) -> tuple[DataFrame, DataFrame, int, float]:
+    """The two sides of a join of blocks with themselves, by (block, _i, _j): a block of many rows is cut into tiles by a hash of the key, and every two tiles meet once, under a key of their own.
+
+    Then the number of tasks for the pairs, as few rows can make many of them, and the mean pairs of a block.
+    """
     rows = df.where(F.col(block).isNotNull())
-    large = rows.groupBy(F.col(block).alias("_block")).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_a_tile).select("_block", F.ceil(F.col("_n") / rows_a_tile).cast("int").alias("_tiles"))
+    sizes = rows.groupBy(F.col(block).alias("_large")).agg(F.count("*").alias("_n"))
+    met = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_n")).alias("pairs"), F.max("_n").alias("most"), F.count("*").alias("blocks")).first()
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, int((met["pairs"] or 0) / 2 / pairs_a_task)))
     tiles, tile = F.lit(1), F.lit(0)
-    if not large.isEmpty():
-        large = written(large)
+    if (met["most"] or 0) > rows_a_tile:
+        large = written(sizes.where(F.col("_n") > rows_a_tile).select("_large", F.ceil(F.col("_n") / rows_a_tile).cast("int").alias("_tiles")))
         few = large.count() <= 100_000
-        rows = rows.join(F.broadcast(large) if few else large, rows[block] == large["_block"], "left").drop("_block")
+        rows = rows.join(F.broadcast(large) if few else large, rows[block] == large["_large"], "left").drop("_large")
         tiles = F.coalesce("_tiles", F.lit(1))
         tile = F.pmod(F.xxhash64(key), tiles).cast("int")
     rows = rows.withColumns({"_t": tile, "_of": tiles}).drop("_tiles")
     left = rows.withColumn("_j", F.explode(F.sequence(F.col("_t"), F.col("_of") - 1))).withColumnRenamed("_t", "_i").drop("_of")
     right = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_t")))).withColumnRenamed("_t", "_j").drop("_of")
-    return left, right
+    return left, right, tasks, (met["pairs"] or 0) / 2 / max(1, met["blocks"])
 
 
 def candidate_pairs(df: DataFrame, key: str, block: str | None, columns: list[str], most: int = 5000, rows_a_tile: int = 2000) -> DataFrame:
@@ -67,13 +73,14 @@ def candidate_pairs(df: DataFrame, key: str, block: str | None, columns: list[st
     """
     wanted = list(dict.fromkeys([key, *([block] if block else []), *columns]))
     if block:
-        left, right = tiled(df.select(*wanted), key, block, rows_a_tile)
-        x = left.select(F.col(block).alias("_block"), "_i", "_j", F.struct(*wanted).alias("x"))
-        y = right.select(F.col(block).alias("_block"), "_i", "_j", F.struct(*wanted).alias("y"))
-        first = F.col(f"x.{key}") < F.col(f"y.{key}")
-        met = x.join(y, ["_block", "_i", "_j"]).where(first | ((F.col("_i") < F.col("_j")) & (F.col(f"x.{key}") > F.col(f"y.{key}"))))
-        a, b = F.when(first, F.col("x")).otherwise(F.col("y")), F.when(first, F.col("y")).otherwise(F.col("x"))
-        return met.select(a.alias("a"), b.alias("b")).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in wanted))
+        left, right, tasks, _ = tiled(df.select(*wanted), key, block, rows_a_tile)
+        left, right = (side.repartition(tasks, block, "_i", "_j") for side in (left, right))
+        x = left.select(F.col(block).alias("_block"), "_i", "_j", *(F.col(c).alias(f"x_{c}") for c in wanted))
+        y = right.select(F.col(block).alias("_block"), "_i", "_j", *(F.col(c).alias(f"y_{c}") for c in wanted))
+        first = F.col(f"x_{key}") < F.col(f"y_{key}")
+        met = x.join(y, ["_block", "_i", "_j"]).where(first | ((F.col("_i") < F.col("_j")) & (F.col(f"x_{key}") > F.col(f"y_{key}"))))
+        one = lambda c, p, q: F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}"))
+        return met.select(*(one(c, "x", "y").alias(f"a_{c}") for c in wanted), *(one(c, "y", "x").alias(f"b_{c}") for c in wanted))
     a = df.select(*(F.col(c).alias(f"a_{c}") for c in wanted))
     b = df.select(*(F.col(c).alias(f"b_{c}") for c in wanted))
     n = df.count()
@@ -90,7 +97,7 @@ def scored_pairs(pairs: DataFrame, key: str, matches: list[Match]) -> DataFrame:
         if f"a_{m.column}" not in pairs.columns:
             continue
         a, b = F.col(f"a_{m.column}"), F.col(f"b_{m.column}")
-        alike = similarity(a, b) if m.kind == "fuzzy" else matching_ratio(a, b, m.threshold) if m.kind == "blocks" else F.when(F.coalesce(same(a, b), F.lit(False)), 1.0).otherwise(0.0)
+        alike = similarity(a, b, m.threshold) if m.kind == "fuzzy" else matching_ratio(a, b, m.threshold) if m.kind == "blocks" else F.when(F.coalesce(same(a, b), F.lit(False)), 1.0).otherwise(0.0)
         hit = alike >= (1.0 if m.kind == "exact" else m.threshold)
         terms.append(F.when(hit, m.weight * alike).otherwise(0.0))
         hits.append(F.when(hit, F.lit(m.column)))
@@ -98,6 +105,24 @@ def scored_pairs(pairs: DataFrame, key: str, matches: list[Match]) -> DataFrame:
     return pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), score.alias("score"), F.array_sort(F.array_compact(F.array(*hits))).alias("matched_on"))
 
 
+def block_scores(df: DataFrame, key: str, block: str, matches: list[Match], named: bool = True, rows_a_tile: int = 2000, large: int = 5000) -> DataFrame:
+    """scored_pairs() of the candidate pairs of df, all of them; without matched_on unless named.
+
+    Where blocks have `large` pairs and more in the mean, a tile of rows is scored at once over Arrow instead of joined pair by pair.
+    """
+    columns = list(dict.fromkeys(m.column for m in matches))
+    text = lambda m: F.col(m.column).cast("string") if m.kind == "blocks" else F.lower(F.trim(F.col(m.column).cast("string")))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(block).alias("_block"), F.col(key).alias("_key"), *(text(m).alias(f"_m{k}") for k, m in enumerate(matches)))
+    left, right, tasks, mean = tiled(rows, "_key", "_block", rows_a_tile)
+    if mean < large:
+        scored = scored_pairs(candidate_pairs(df, key, block, columns, rows_a_tile=rows_a_tile), key, matches)
+        return scored if named else scored.drop("matched_on")
+    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1))).repartition(tasks, "_block", "_i", "_j")
+    held = dict(rows.dtypes)["_key"]
+    score = tile_scores([(m.column, m.weight, m.kind, m.threshold) for m in matches], named)
+    return both.groupBy("_block", "_i", "_j").applyInArrow(score, f"a {held}, b {held}, score double" + (", matched_on array<string>" if named else ""))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over links (a, b), by least labels with pointer jumping."""
     ends = links.select("a", "b").where("a <> b")

@@ -247,7 +247,7 @@ _RATIO = "1 - levenshtein(lower(trim(a.{c})), lower(trim(b.{c}))) / greatest(len
   select a, b, ((case when r >= 0.85 then r else 0 end) + (case when e then 1.5 else 0 end)) / 2.5 as score from p""")
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "supplier")
-    return mdm.scored_pairs(mdm.candidate_pairs(df, "s_suppkey", "s_nationkey", ["s_name", "s_acctbal"]), "s_suppkey", MATCHES).select("a", "b", "score")
+    return mdm.block_scores(df, "s_suppkey", "s_nationkey", MATCHES, named=False)
 
 
 PEOPLE = [mdm.Match("full_name", 1.0), mdm.Match("segment", 1.0)]

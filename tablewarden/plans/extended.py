@@ -41,8 +41,8 @@ def _contained_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x10_matching_blocks")
 def matched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of one nation by the ratio of matching blocks of their names; tested against the standard library on all pairs."""
-    pairs = mdm.candidate_pairs(load(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", ["s_name", "s_acctbal"])
-    return mdm.scored_pairs(pairs, "s_suppkey", [mdm.Match("s_name", 1.0, "blocks", 0.9), mdm.Match("s_acctbal", 1.5)]).select("a", "b", F.bround("score", 9).alias("score"))
+    matches = [mdm.Match("s_name", 1.0, "blocks", 0.9), mdm.Match("s_acctbal", 1.5)]
+    return mdm.block_scores(load(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", matches, named=False).select("a", "b", F.bround("score", 9).alias("score"))
 
 
 # --- governed views --------------------------------------------------------------------------------------------------------------------

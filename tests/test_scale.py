@@ -7,10 +7,11 @@ import random
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewarden.functions import blocks, names
+from tablewarden.functions import blocks, names, tiles
 from tablewarden.operators import governance, lineage, mdm, profile, protect
 from tablewarden.operators.containment import contained
 
@@ -95,6 +96,60 @@ def test_pairs_of_a_large_block_are_spread(spark):
     assert len(each) == 8 and sum(each) > 1500 * 1499 // 2 and max(each) <= 2 * sorted(each)[4]
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def odd_texts(rng):
+    made = ["".join(rng.choice("ab1Éß語😀 ") for _ in range(rng.randrange(12))) for _ in range(30)] + [f"Supplier#{rng.randrange(400):09d}" for _ in range(25)]
+    long = ["x" * 63 + "y", "x" * 64 + "y", "x" * 70, "abc" * 30, "abc" * 29 + "abd", "a" * 400]
+    return list(dict.fromkeys([*made, *long, "", " ", "a" * 6]))
+
+
+@pytest.mark.parametrize("least", [0.0, 0.5, 0.85, 1.0])
+def test_likeness_of_all_pairs(least):
+    texts = odd_texts(random.Random(11))
+    a, b = (np.array(x) for x in zip(*itertools.product(range(len(texts)), repeat=2)))
+    for kind in ("fuzzy", "blocks"):
+        got = tiles.Likeness(texts, kind, least)(a, b)
+        if kind == "fuzzy":
+            want = [1 - plain_distance(x, y) / max(len(x), len(y)) if x and y else 0.0 for x, y in itertools.product(texts, repeat=2)]
+        else:
+            want = blocks.ratios([texts[k] for k in a], [texts[k] for k in b])
+        assert [x if x >= least else 0 for x in got.tolist()] == [x if x >= least else 0 for x in want]
+    assert tiles.Likeness(texts, "fuzzy", least)(np.array([-1, 3]), np.array([3, -1])).tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("tile", [7, 2000])
+def test_scores_of_tiles_equal_those_of_joined_pairs(spark, tile):
+    rng = random.Random(4)
+    texts = odd_texts(rng)
+    rows = [(f"k{k}" if k else None, rng.choice(["big", "big", "b", None]), rng.choice([*texts, " Ana RUIZ", "ana ruiz", None]), rng.choice([1.0, 2.5, None])) for k in range(130)]
+    df = spark.createDataFrame(rows, "id string, block string, name string, amount double")
+    matches = [mdm.Match("name", 1.0, "fuzzy", 0.7), mdm.Match("amount", 1.5), mdm.Match("name", 0.3, "blocks", 0.6)]
+    want = sorted(map(tuple, mdm.scored_pairs(mdm.candidate_pairs(df, "id", "block", ["name", "amount"]), "id", matches).collect()))
+    got = mdm.block_scores(df, "id", "block", matches, rows_a_tile=tile, large=0)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 2500
+    assert sorted(map(tuple, mdm.block_scores(df, "id", "block", matches, named=False, rows_a_tile=tile, large=0).collect())) == [x[:3] for x in want]
+
+
+def test_few_rows_with_many_pairs_are_spread(spark, tmp_path):
+    spark.range(3000).selectExpr("id as k", "0 as block", "concat('v', id) as v").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")  # small enough to be sent to the tasks of the other side, which is one file
+    for pairs in (mdm.candidate_pairs(df, "k", "block", [], rows_a_tile=200), mdm.block_scores(df, "k", "block", [mdm.Match("v")], rows_a_tile=200)):
+        assert pairs.groupBy(F.spark_partition_id()).count().count() == 4
+
+
+def test_large_blocks_under_any_name(spark):
+    df = spark.range(50).selectExpr("id as k", "0 as _block")
+    assert mdm.candidate_pairs(df, "k", "_block", [], rows_a_tile=9).count() == 50 * 49 // 2
+
+
 @pytest.mark.parametrize("least", [0.3, 0.5, 0.9])
 def test_clusters_of_classes_equal_those_of_all_pairs(spark, least, monkeypatch):
     rng = random.Random(3)
