@@ -20,18 +20,25 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, down: bool = True
     step = written(edges.select(F.col(src).alias("at"), F.col(dst).alias("next")).where("at is not null and next is not null").distinct())
     starts = starts if starts is not None else edges.select(F.explode(F.array("src", "dst")).alias("start")).distinct()
     seen = written(starts.where("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
-    jumps, length, known, most = step, 1, seen.count(), growth * step.count() + 1000
+    edge_count = step.count()
+    one_way = any(step.groupBy(end).agg(F.count("*").alias("n")).where("n > 1").isEmpty() for end in ("at", "next"))  # then jumps of one length are no more than edges, and none comes twice
+    jumps, length, known, most, many = step, 1, seen.count(), growth * edge_count + 1000, edge_count
     while jumps is not None:
+        if not many:
+            return seen.where("depth > 0")
         reached = seen.join(jumps, seen["node"] == jumps["at"]).select("start", F.col("next").alias("node"), (F.col("depth") + length).alias("depth"))
         seen = written(seen.unionByName(reached).groupBy("start", "node").agg(F.min("depth").alias("depth")))
         before, known, length = known, seen.count(), length * 2
         if known == before:
             return seen.where("depth > 0")
         through = 0
-        if jumps.count() > 1000:  # fewer make a million at most
+        if one_way:
+            through = many
+        elif many > 1000:  # fewer make a million at most
             through = jumps.groupBy(F.col("next").alias("at")).agg(F.count("*").alias("i")).join(jumps.groupBy("at").agg(F.count("*").alias("o")), "at").agg(F.sum(F.col("i") * F.col("o")).alias("n")).first()["n"] or 0
-        further = jumps.select(F.col("at").alias("from"), F.col("next").alias("at")).join(jumps, "at").select(F.col("from").alias("at"), "next").distinct()
-        jumps = written(further) if through <= most else None
+        further = jumps.select(F.col("at").alias("from"), F.col("next").alias("at")).join(jumps, "at").select(F.col("from").alias("at"), "next")
+        jumps = written(further if one_way else further.distinct()) if through <= most else None
+        many = jumps.count() if jumps is not None else 0
     depth, frontier = length - 1, seen.where(F.col("depth") == length - 1).select("start", "node")
     while True:
         depth += 1

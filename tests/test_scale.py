@@ -201,6 +201,19 @@ def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) < 40
 
 
+def test_jumps_over_chains_are_joined_once_and_end_with_them(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(lineage, "written", lambda df, old=lineage.written: made.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or old(df))
+    chains = [(f"c{c}_{k}", f"c{c}_{k + 1}") for c in range(40) for k in range(10)]
+    cycle = [("z0", "z1"), ("z1", "z2"), ("z2", "z0")]
+    got = lineage.closure(spark.createDataFrame(chains, "src string, dst string"), spark.createDataFrame([(f"c{c}_0",) for c in range(40)], "start string"))
+    assert {tuple(r) for r in got.collect()} == {(f"c{c}_0", f"c{c}_{k}", k) for c in range(40) for k in range(1, 11)}
+    jumps = [plan for columns, plan in made if columns == ["at", "next"]]
+    assert len(made) == 10 and not any("Aggregate" in plan for plan in jumps[1:])
+    got = lineage.closure(spark.createDataFrame([*cycle, ("z1", "y")], "src string, dst string")).collect()
+    assert {(r["start"], r["node"], r["depth"]) for r in got} == {("z0", "z1", 1), ("z0", "z2", 2), ("z0", "y", 2), ("z1", "z2", 1), ("z1", "z0", 2), ("z1", "y", 1), ("z2", "z0", 1), ("z2", "z1", 2), ("z2", "y", 3)}
+
+
 def test_distinct_values_of_a_wide_table(spark):
     wide = spark.range(60).select("id", *(F.when(F.col("id") % (k + 2) != 0, F.col("id") % (k + 1)).alias(f"c{k}") for k in range(200)))
     found = profile.profile_table(wide, "id").select("column", "unique_values")
