@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, mix, parts_of, shingles, slices, small_batches, stored, tasks, utf8
+from .common import U64, binary, dropped, mix, parts_of, shingles, slices, small_batches, stored, tasks, utf8
 from .components import components, merged
 
 #: The share of the hash space whose shingles every document emits, so that their frequency is known; more than 1 - t.
 KNOWN = 0.36
 #: Pivots of a region grow by this factor from turn to turn.
 GROWTH = 8
+#: Up to so many sets to be measured are picked by a broadcast of their names, so that the others are not shuffled.
+FEW = 1 << 19
 SLICE = 1 << 19
 
 
@@ -143,7 +145,9 @@ def first_shingles(sets: DataFrame, percent: int) -> DataFrame:
     own = tokens.groupBy("cls").agg(F.count("*").alias("most"), F.sum(F.log2("df")).alias("frequency")).join(sets.select("cls", F.size("shingles").cast("long").alias("n")), "cls")
     own = own.selectExpr("cls", "n", "most", "frequency / n as centre", f"n - (({percent} * n + 99) div 100) + 1 - (n - most) as first").where("first > 0")
     kept = tokens.join(own, "cls").selectExpr("*", "row_number() over (partition by cls order by df, token) as k").where("k <= first").select("token", "cls", "n", "most", "centre")
-    return linkable(kept, percent)
+    out = stored(linkable(kept, percent))
+    dropped(tokens)
+    return out
 
 
 def linkable(state: DataFrame, percent: int) -> DataFrame:
@@ -172,13 +176,19 @@ def set_table(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """cls, pivot, common, d and linked of the pairs (cls, n, pivot, pivot_n) that are at most 2 (1 - t) apart; pairs of too unlike sizes are not measured."""
+    """cls, pivot, common, d and linked of the pairs (cls, n, pivot, pivot_n) that are at most 2 (1 - t) apart, written; pairs of too unlike sizes are not measured."""
     wide = max(0, 2 * percent - 100)
-    near = pairs.where(f"100 * least(n, pivot_n) >= {wide} * greatest(n, pivot_n)")
+    near = stored(pairs.where(f"100 * least(n, pivot_n) >= {wide} * greatest(n, pivot_n)").distinct())
+    ends = stored(near.select(F.explode(F.array("cls", "pivot")).alias("cls")).distinct())
+    if ends.count() <= FEW:
+        sets = sets.join(F.broadcast(ends), "cls", "left_semi")
     a, b = sets.select("cls", F.col("shingles").alias("x")), sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("y"))
     both = near.join(b, "pivot").join(a, "cls").select("cls", "pivot", "n", "pivot_n", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
     exact = both.withColumn("union", F.expr("n + pivot_n - common")).where(f"100 * common >= {wide} * union")
-    return exact.selectExpr("cls", "pivot", "common", "1 - common / union as d", f"100 * common >= {percent} * union as linked")
+    out = stored(exact.selectExpr("cls", "pivot", "common", "1 - common / union as d", f"100 * common >= {percent} * union as linked"))
+    for spent in (near, ends):
+        dropped(spent)
+    return out
 
 
 def drawn(rows: DataFrame, region: str, many: int) -> DataFrame:
@@ -189,20 +199,25 @@ def drawn(rows: DataFrame, region: str, many: int) -> DataFrame:
 
 def cells(regions: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """All pairs measured (cls, pivot, d, linked), and the cells (cls, pivot): of each region that a class left for a cell, its nearest pivot."""
-    state, many, tables, homes = regions, 1, [], []
+    state, many, tables, homes, spent = regions, 1, [], [], []
     while True:
         pivots = stored(drawn(state, "token", many))
         met = stored(state.join(pivots, "token").where("cls <> pivot"))
-        new = stored(measured(met.select("cls", "n", "pivot", "pivot_n").distinct(), sets, percent))
+        new = measured(met.select("cls", "n", "pivot", "pivot_n"), sets, percent)
         nearest = stored(met.join(new.where("linked"), ["cls", "pivot"]).groupBy("token", "cls").agg(F.min_by("pivot", F.struct("d", "pivot")).alias("pivot")))
         tables.append(new)
-        homes.append(nearest.select("cls", "pivot").distinct())
+        homes.append(nearest)
         gone = nearest.select("token", "cls").unionByName(pivots.select("token", F.col("pivot").alias("cls")))
         left = stored(state.join(gone, ["token", "cls"], "left_anti"))
         state, many = stored(linkable(left, percent)), many * GROWTH
+        for x in (*spent, pivots, met, left):
+            dropped(x)
+        spent = [state]
         if state.isEmpty():
-            union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
-            return stored(union(tables)), stored(union(homes))
+            out = tuple(stored(reduce(DataFrame.unionByName, parts).distinct()) for parts in (tables, [x.select("cls", "pivot") for x in homes]))
+            for x in (*spent, *tables, *homes):
+                dropped(x)
+            return out
 
 
 def boundary_links(labels: DataFrame, met: DataFrame, homes: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,13 +225,16 @@ def boundary_links(labels: DataFrame, met: DataFrame, homes: DataFrame, sizes: D
     radius = 1 - percent / 100 + 1e-9
     core = homes.join(met.select("cls", "pivot", "common", "d"), ["cls", "pivot"]).join(sizes, "cls")
     edge = met.where("not linked").select(F.col("pivot").alias("cell"), "cls", "common", "d").join(sizes, "cls")
-    many = 1
+    many, spent = 1, []
     while True:
         of_cls, of_cell = labels.select(F.col("node").alias("cls"), F.col("label").alias("own")), labels.select(F.col("node").alias("cell"), F.col("label").alias("main"))
         # labels holds what has links; a class without any is its own component
         apart = edge.join(of_cls, "cls", "left").join(of_cell, "cell", "left").where("coalesce(own, cls) <> coalesce(main, cell)").drop("own", "main")
         edge = stored(apart)
+        for x in spent:
+            dropped(x)
         if edge.isEmpty():
+            dropped(edge)
             return labels
         pivots = drawn(edge, "cell", many).join(edge.select("cell", F.col("cls").alias("pivot"), F.col("d").alias("pivot_d"), F.col("most").alias("pivot_most"), F.col("common").alias("pivot_common")), ["cell", "pivot"])
         pivots = stored(pivots)
@@ -224,8 +242,10 @@ def boundary_links(labels: DataFrame, met: DataFrame, homes: DataFrame, sizes: D
         both = "least(common, pivot_common) + least(most - common, pivot_most - pivot_common)"
         possible = f"cls <> pivot and abs(d - pivot_d) <= {radius} and {100 + percent} * ({both}) >= {percent} * (n + pivot_n)"
         window = core.select(F.col("pivot").alias("cell"), "cls", "n", "most", "common", "d").join(pivots, "cell").where(possible)
-        found = measured(window.select("cls", "n", "pivot", "pivot_n").distinct(), sets, percent).where("linked")
-        labels = merged(labels, found.select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+        found = measured(window.select("cls", "n", "pivot", "pivot_n"), sets, percent)
+        labels = merged(labels, found.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+        dropped(found)
+        spent = [edge, pivots]
         edge, many = edge.join(pivots.select("cell", F.col("pivot").alias("cls")), ["cell", "cls"], "left_anti"), many * GROWTH
 
 
@@ -234,7 +254,11 @@ def link_classes(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     met, homes = cells(regions, sets, percent)
     links = met.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
     labels = components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
-    return boundary_links(labels, met, homes, stored(regions.select("cls", "n", "most", "centre").distinct()), sets, percent)
+    sizes = stored(regions.select("cls", "n", "most", "centre").distinct())
+    out = boundary_links(labels, met, homes, sizes, sets, percent)
+    for spent in (met, homes, sizes):
+        dropped(spent)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -252,9 +276,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     # as many shingles of its own as a set has first ones: no partner
     wanted = classes.join(shared, "cls", "left").where(f"n - (({percent} * n + 99) div 100) + 1 > known - coalesce(shared, 0)").select("cls", "rep")
     sets = set_table(core, wanted, size)
-    labels = link_classes(stored(first_shingles(sets, percent)), sets, percent)
+    regions = first_shingles(sets, percent)
+    labels = link_classes(regions, sets, percent)
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     names = named.groupBy("label").agg(F.min("rep").alias("component"))
     by_class = stored(named.join(names, "label").select("cls", "component"))
+    for spent in (sets, regions, labels):
+        dropped(spent)
     return (heads.join(by_class, "cls", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
