@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm import jaccard_join, packing, queries, suffix_dedup, toxicity
-from tablewarden.llm.common import fresh_names, stored
+from tablewarden.llm.common import dropped, fresh_names, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are linked under ids of their own, so rows of different texts stay apart whatever their
     doc_id, null or repeated. Texts without shingles (null, empty, blank) are linked with nothing
     and stay; only repeats of one doc_id with such a text count once. No rows give no rows.
+    The result is written: so neither the numbered rows nor what their join shuffles is left on disk for later stages.
     """
     row, = fresh_names(docs, 1)
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
@@ -39,7 +40,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kind = F.when(shingled, 0).when(F.col("doc_id").isNotNull(), 1).otherwise(2).alias("kind")
     group = F.when(shingled, F.col(f"{row}_c")).when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull())).otherwise(F.col(row)).alias("group")
     kept = rows.join(groups, rows[row] == F.col(f"{row}_g")).groupBy(kind, group).agg(F.min_by(row, order).alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    out = stored(rows.join(kept, row, "left_semi").select(*docs.columns))
+    dropped(rows)
+    return out
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
+        if k + 1 < len(STAGES) and stage is not near_duplicate_stage:  # its rows are written already
             docs = stored(docs)
     return docs
