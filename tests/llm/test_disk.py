@@ -5,7 +5,7 @@ import uuid
 import numpy as np
 import pytest
 
-from tablewarden.llm import common, jaccard_join
+from tablewarden.llm import common, compact_windows, jaccard_join
 
 VOCAB = [f"w{i}" for i in range(400)]
 
@@ -58,3 +58,50 @@ def test_near_duplicate_stage_leaves_its_result_and_small_tables(spark, shared,
     assert left == set(groups.values())
     names = [spark.read.parquet(str(p)).columns for p in shared.iterdir()]
     assert [n for n in names if "text" in n] == [["doc_id", "text", "source"]] and not [n for n in names if "shingles" in n or "token" in n]
+
+
+def passage_rows():
+    """Texts that share a passage, exact or with changed words, between words of their own."""
+    rows = []
+    for i in range(20):
+        rng = np.random.default_rng(1000 + i)
+        passage = list(np.random.default_rng(i % 6).choice(VOCAB, 90))
+        for k in rng.choice(90, int(rng.integers(0, 4)), replace=False):
+            passage[k] = f"new{i}x{k}"
+        rows.append((i, " ".join([f"own{i}x{k}" for k in range(30)] + passage + list(rng.choice(VOCAB, 40)))))
+    return rows
+
+
+def test_near_passages_keep_no_texts_and_no_shingles(spark, shared):
+    docs = spark.createDataFrame(passage_rows(), "doc_id long, text string").repartition(3)
+    out = compact_windows.near_passages(docs)
+    assert out.count() >= 8
+    names = [set(spark.read.parquet(str(p)).columns) for p in shared.iterdir()]
+    assert names and not [n for n in names if n & {"text", "hashes", "data", "cut0"}]
+
+
+def test_passages_are_measured_alike_in_one_turn_and_in_several(spark, shared, monkeypatch):
+    docs = spark.createDataFrame(passage_rows(), "doc_id long, text string").repartition(3)
+    turns, whole = [], compact_windows.measured
+
+    def counted(pairs, chunks, s):
+        turns.append(1)
+        return whole(pairs, chunks, s)
+
+    monkeypatch.setattr(compact_windows, "measured", counted)
+    one = sorted(map(tuple, compact_windows.near_passages(docs).collect()))
+    assert len(turns) == 1
+    monkeypatch.setattr(compact_windows, "LEAST_ROOM", 40_000)
+    monkeypatch.setattr(compact_windows, "ROOM", 0)
+    assert sorted(map(tuple, compact_windows.near_passages(docs).collect())) == one and len(turns) > 2
+
+
+def test_windows_of_much_repeated_values_are_those_of_brute_force():
+    for k in range(40):
+        rng = np.random.default_rng(k)
+        line = rng.integers(1, 9, rng.integers(3, 14)).astype(np.uint64)
+        x, y = (np.concatenate([np.tile(line, 12), rng.integers(1, 60, 60).astype(np.uint64)])[rng.integers(0, 40) :] for _ in range(2))
+        n, sets = 12, lambda u: {tuple(u[i : i + 12].tolist()): frozenset(u[i : i + 12].tolist()) for i in range(len(u) - 11)}
+        want = {(a, b): len(u & v) for a, u in sets(x).items() for b, v in sets(y).items() if 100 * len(u & v) >= 75 * len(u | v)}
+        got = {(tuple(x[i : i + n].tolist()), tuple(y[j : j + n].tolist())): c for i, j, c in compact_windows.near_windows(x, y, n, 75).tolist()}
+        assert got == want
