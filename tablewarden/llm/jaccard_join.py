@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, dropped, mix, parts_of, shingles, slices, small_batches, stored, tasks, utf8
+from .common import U64, binary, dropped, mix, no_broadcasts, parts_of, shingles, slices, small_batches, stored, tasks, utf8
 from .components import components, merged
 
 #: The share of the hash space whose shingles every document emits, so that their frequency is known; more than 1 - t.
 KNOWN = 0.36
 #: Pivots of a region grow by this factor from turn to turn.
 GROWTH = 8
-#: Up to so many sets to be measured are picked by a broadcast of their names, so that the others are not shuffled.
-FEW = 1 << 19
+#: Up to so many sets to be measured are picked by a broadcast of their names (some 2 MB in the driver), so that the others are not shuffled; more are picked by a join.
+FEW = 1 << 14
 SLICE = 1 << 19
 
 
@@ -180,8 +180,8 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     wide = max(0, 2 * percent - 100)
     near = stored(pairs.where(f"100 * least(n, pivot_n) >= {wide} * greatest(n, pivot_n)").distinct())
     ends = stored(near.select(F.explode(F.array("cls", "pivot")).alias("cls")).distinct())
-    if ends.count() <= FEW:
-        sets = sets.join(F.broadcast(ends), "cls", "left_semi")
+    # both sides of the pairs read the same picked sets, so these are shuffled once
+    sets = sets.join(F.broadcast(ends) if ends.count() <= FEW else ends.hint("merge"), "cls", "left_semi")
     a, b = sets.select("cls", F.col("shingles").alias("x")), sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("y"))
     both = near.join(b, "pivot").join(a, "cls").select("cls", "pivot", "n", "pivot_n", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
     exact = both.withColumn("union", F.expr("n + pivot_n - common")).where(f"100 * common >= {wide} * union")
@@ -261,16 +261,8 @@ def link_classes(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return out
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs (doc_id, text).
-
-    Links hold exactly where 100 * intersection >= percent * union of the shingle sets;
-    component_id is the smallest doc_id reachable. Null, empty and blank texts have no
-    shingles and stay alone. Equal sets are one class, measured once. Repeated rows are
-    kept each; a null doc_id is never a component's name unless no other is there. Other
-    columns are ignored. An empty table gives an empty result.
-    """
-    core = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _classes(core: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets as tally() has them, and (cls, component) of every set that is not empty, written."""
     heads, shared = tally(core, size)
     classes = heads.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("known").alias("known"))
     # as many shingles of its own as a set has first ones: no partner
@@ -283,5 +275,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     by_class = stored(named.join(names, "label").select("cls", "component"))
     for spent in (sets, regions, labels):
         dropped(spent)
+    return heads, by_class
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of docs (doc_id, text).
+
+    Links hold exactly where 100 * intersection >= percent * union of the shingle sets;
+    component_id is the smallest doc_id reachable. Null, empty and blank texts have no
+    shingles and stay alone. Equal sets are one class, measured once. Repeated rows are
+    kept each; a null doc_id is never a component's name unless no other is there. Other
+    columns are ignored. An empty table gives an empty result.
+    """
+    core = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    with no_broadcasts(docs.sparkSession):
+        heads, by_class = _classes(core, size, percent)
     return (heads.join(by_class, "cls", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))

@@ -60,6 +60,32 @@ def test_near_duplicate_stage_leaves_its_result_and_small_tables(spark, shared,
     assert [n for n in names if "text" in n] == [["doc_id", "text", "source"]] and not [n for n in names if "shingles" in n or "token" in n]
 
 
+def broadcasts(monkeypatch, module):
+    """Collects, for every table that module writes, whether its plan builds a table in the driver."""
+    seen, whole = [], common.stored
+
+    def looked_at(df, *args):
+        seen.append("BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, *args)
+
+    monkeypatch.setattr(module, "stored", looked_at)
+    return seen
+
+
+def test_near_duplicates_build_no_tables_in_the_driver(spark, shared, monkeypatch):
+    """Joins of small tables are not broadcast unasked, many names are not broadcast at all, and the session's settings are as before."""
+    docs = spark.createDataFrame(near_rows(60), "doc_id long, text string").repartition(3)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    assert "-1" not in before.values() and jaccard_join.FEW <= 1 << 14
+    seen = broadcasts(monkeypatch, jaccard_join)
+    asked = found(jaccard_join.near_duplicates(docs))
+    assert any(seen)  # the few names of sets to be measured
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    seen.clear()
+    assert found(jaccard_join.near_duplicates(docs)) == asked and len(seen) > 10 and not any(seen)
+    assert {k: spark.conf.get(k, None) for k in before} == before
+
+
 def passage_rows():
     """Texts that share a passage, exact or with changed words, between words of their own."""
     rows = []
