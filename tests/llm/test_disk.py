@@ -86,6 +86,16 @@ def test_near_duplicates_build_no_tables_in_the_driver(spark, shared, monkeypatc
     assert {k: spark.conf.get(k, None) for k in before} == before
 
 
+def test_near_duplicate_stage_builds_no_table_in_the_driver(spark, shared, monkeypatch):
+    """Which rows stay is joined by shuffles, as their number grows with the input."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"words of text {i % 3}") for i in range(9)], "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline.jaccard_join, "near_duplicates", lambda rows: rows.selectExpr("doc_id", "4L as n_shingles", "crc32(text) as component_id"))
+    seen = broadcasts(monkeypatch, corpus_pipeline)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 1, 2] and seen and not any(seen)
+
+
 def passage_rows():
     """Texts that share a passage, exact or with changed words, between words of their own."""
     rows = []
