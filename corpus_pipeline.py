@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm import jaccard_join, packing, queries, suffix_dedup, toxicity
-from tablewarden.llm.common import dropped, fresh_names, no_broadcasts, stored
+from tablewarden.llm.common import dropped, fresh_names, small_broadcasts, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kind = F.when(shingled, 0).when(F.col("doc_id").isNotNull(), 1).otherwise(2).alias("kind")
     group = F.when(shingled, F.col(f"{row}_c")).when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull())).otherwise(F.col(row)).alias("group")
     kept = rows.join(groups, rows[row] == F.col(f"{row}_g")).groupBy(kind, group).agg(F.min_by(row, order).alias(row))
-    with no_broadcasts(spark):
+    with small_broadcasts(spark):
         out = stored(rows.join(kept, row, "left_semi").select(*docs.columns))
     dropped(rows)
     return out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, dropped, mix, no_broadcasts, parts_of, shingles, slices, small_batches, stored, tasks, utf8
+from .common import U64, binary, dropped, mix, small_broadcasts, parts_of, shingles, slices, small_batches, stored, tasks, utf8
 from .components import components, merged
 
 #: The share of the hash space whose shingles every document emits, so that their frequency is known; more than 1 - t.
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     columns are ignored. An empty table gives an empty result.
     """
     core = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    with no_broadcasts(docs.sparkSession):
+    with small_broadcasts(docs.sparkSession):
         heads, by_class = _classes(core, size, percent)
     return (heads.join(by_class, "cls", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))

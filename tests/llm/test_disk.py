@@ -60,40 +60,46 @@ def test_near_duplicate_stage_leaves_its_result_and_small_tables(spark, shared,
     assert [n for n in names if "text" in n] == [["doc_id", "text", "source"]] and not [n for n in names if "shingles" in n or "token" in n]
 
 
-def broadcasts(monkeypatch, module):
-    """Collects, for every table that module writes, whether its plan builds a table in the driver."""
+KEYS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def thresholds(spark, monkeypatch, module):
+    """Collects the settings of broadcasts that hold whenever module writes a table."""
     seen, whole = [], common.stored
 
     def looked_at(df, *args):
-        seen.append("BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString())
+        seen.append(tuple(spark.conf.get(k, None) for k in KEYS))
         return whole(df, *args)
 
     monkeypatch.setattr(module, "stored", looked_at)
     return seen
 
 
-def test_near_duplicates_build_no_tables_in_the_driver(spark, shared, monkeypatch):
-    """Joins of small tables are not broadcast unasked, many names are not broadcast at all, and the session's settings are as before."""
-    docs = spark.createDataFrame(near_rows(60), "doc_id long, text string").repartition(3)
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
-    assert "-1" not in before.values() and jaccard_join.FEW <= 1 << 14
-    seen = broadcasts(monkeypatch, jaccard_join)
-    asked = found(jaccard_join.near_duplicates(docs))
-    assert any(seen)  # the few names of sets to be measured
-    monkeypatch.setattr(jaccard_join, "FEW", 0)
-    seen.clear()
-    assert found(jaccard_join.near_duplicates(docs)) == asked and len(seen) > 10 and not any(seen)
-    assert {k: spark.conf.get(k, None) for k in before} == before
+def test_near_duplicates_have_only_small_tables_built_in_the_driver(spark, shared, monkeypatch):
+    docs = spark.createDataFrame(near_rows(20), "doc_id long, text string").coalesce(1)
+    before = [spark.conf.get(k, None) for k in KEYS]
+    seen = thresholds(spark, monkeypatch, jaccard_join)
+    assert len(found(jaccard_join.near_duplicates(docs))) == 20 and jaccard_join.FEW <= 1 << 14
+    assert len(seen) > 10 and set(seen) == {("262144", None)} and [spark.conf.get(k, None) for k in KEYS] == before
+
+
+def test_settings_that_are_smaller_stay(spark):
+    before = [spark.conf.get(k, None) for k in KEYS]
+    with common.settings(spark, dict(zip(KEYS, ("-1", "1m")))):
+        with common.small_broadcasts(spark):
+            assert [spark.conf.get(k) for k in KEYS] == ["-1", "262144"]
+        assert [spark.conf.get(k) for k in KEYS] == ["-1", "1m"]
+    assert [spark.conf.get(k, None) for k in KEYS] == before and [common.size_of(x) for x in ("10485760b", "256k", "-1", "2 MB")] == [10 << 20, 256 << 10, -1, 2 << 20]
 
 
-def test_near_duplicate_stage_builds_no_table_in_the_driver(spark, shared, monkeypatch):
-    """Which rows stay is joined by shuffles, as their number grows with the input."""
+def test_near_duplicate_stage_has_only_small_tables_built_in_the_driver(spark, shared, monkeypatch):
+    """Which rows stay grows with the input."""
     import corpus_pipeline
 
     docs = spark.createDataFrame([(i, f"words of text {i % 3}") for i in range(9)], "doc_id long, text string")
     monkeypatch.setattr(corpus_pipeline.jaccard_join, "near_duplicates", lambda rows: rows.selectExpr("doc_id", "4L as n_shingles", "crc32(text) as component_id"))
-    seen = broadcasts(monkeypatch, corpus_pipeline)
-    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 1, 2] and seen and not any(seen)
+    seen = thresholds(spark, monkeypatch, corpus_pipeline)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 1, 2] and seen[-1] == ("262144", None)
 
 
 def passage_rows():
